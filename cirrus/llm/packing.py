@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from cirrus.llm.common import slices, utf8
 #: Pieces that one task packs: their lengths take a few megabytes.
 PIECES_PER_TASK = 50_000
 #: Words whose tokens a Python worker remembers before it starts afresh.
-WORDS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 1_000_000
 
 _loaded: dict[str, WordTokens] = {}
 
@@ -31,8 +32,9 @@ _loaded: dict[str, WordTokens] = {}
 class WordTokens:
     """Token ids of texts by way of the tokens of their words.
 
-    The tokenizer never joins across ASCII white space (its pattern drops white space, its normaliser works within it), so the ids
-    of a text are those of its words in order; words repeat, so most cost one look-up.
+    The tokenizer never joins across ASCII white space (its pattern drops white space, its normaliser works within it), nor across a
+    letter and the comma or full stop behind it, and it lowers case; so the ids of a text are those of its words in order. Words
+    repeat: each is looked up once for a batch, and encoded once for a worker.
     """
 
     def __init__(self, path: str):
@@ -40,18 +42,46 @@ class WordTokens:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > WORDS_REMEMBERED:
-            self.known = {}
-            new = list(set().union(*words))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+    def encode(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """For each word its ids as little-endian unsigned 32-bit numbers."""
+        cores, ends = words.copy(), [b""] * len(words)
+        for i, w in enumerate(words):
+            if w[-1:] in (b",", b".") and len(w) > 1 and (97 <= w[-2] <= 122 or (w[-2] >= 128 and w[:-1].decode("utf-8", "replace")[-1].lower().isalpha())):
+                cores[i], ends[i] = w[:-1], w[-1:]
+        asked = {b",", b".", *cores}
+        new = asked.difference(self.known)
+        if len(self.known) + len(new) > WORDS_REMEMBERED:
+            self.known, new = {}, asked
+        self.encode(list(new))
+        tails = {b"": b"", b",": self.known[b","], b".": self.known[b"."]}
+        return [a + tails[b] if b else a for a, b in zip(map(self.known.__getitem__, cores), ends)]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """For each text its ids, as for words; null as empty."""
+        texts = pc.fill_null(texts, "")
+        size = int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8) if size else np.zeros(0, np.uint8)
+        # Lowering A-Z beforehand could change what a combining mark (lead bytes 0xCC and 0xCD) composes with, or make a special token.
+        if not ((raw == 0xCC) | (raw == 0xCD)).any() and not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        found = self.of_words(utf8(coded.dictionary))
+        n, at = np.fromiter(map(len, found), np.int64, len(found)) // 4, np.asarray(coded.indices).astype(np.int64)
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
+        many = n[at]
+        ends = np.cumsum(many)
+        ids = flat[np.repeat(first[at] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+        edge = np.concatenate([[0], ends])[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
 def tokens(path: str) -> WordTokens:
@@ -76,9 +106,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = tokens(tokenizer)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 12 << 20):
             rows, out = [], []
-            for i, ids in enumerate(find.ids(utf8(batch.column("text")))):
+            for i, ids in enumerate(find.ids(batch.column("text"))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
