@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import decontamination, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
+from cirrus.llm import decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_media_columns, op4_kd_tree_sharding, op5_line_dedup, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_media_columns, op4_kd_tree_sharding, op5_line_dedup, op6_html_extraction, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
