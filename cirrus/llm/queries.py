@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
+from cirrus.llm import chaining, decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_media_columns, op4_kd_tree_sharding, op5_line_dedup, op6_html_extraction, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_media_columns, op4_kd_tree_sharding, op5_line_dedup, op6_html_extraction, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
