@@ -266,8 +266,10 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     out = marked.mapInArrow(cut, schema)
     changed = F.size("spans") > 0
-    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[(new[c] if new.get(c) is not None else F.col("doc")[c]).alias(c) for c in docs.columns])
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

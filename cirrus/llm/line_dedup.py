@@ -171,6 +171,15 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(rewrite, joined.drop("gone").schema)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the columns they have, less the lines that drop_repeats() drops; n_chars (if there is such a column) follows the text."""
+    out, changed = drop_repeats(docs), F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """For each document doc_id, n_lines, n_dropped and kept_sha256."""
     return drop_repeats(docs.select("doc_id", "text")).select(F.col("doc.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))

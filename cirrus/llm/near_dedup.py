@@ -197,29 +197,41 @@ def link_labels(reps: DataFrame, texts: DataFrame) -> DataFrame:
     return components(sure.union(late))
 
 
-def components_of(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text; read from files): rid, doc_id, n_shingles, component_id and kept.
+NO_ID = (1 << 63) - 1
 
-    component_id is the smallest doc_id that links lead to; a null doc_id ranks last, so it is null only where no linked row has an
-    id. kept: doc_id is component_id (both may be null). Rows without words are linked with nothing. Rows that repeat have
-    equal sets, so they are linked. An empty table gives an empty result.
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """rid, id (a null doc_id: NO_ID), n, label and component of each row of docs (doc_id, text; read from files).
+
+    Rows with one label hang together by links; component is the smallest id among them. Rows without words have labels of their own.
     """
-    none = (1 << 63) - 1
-    keyed = with_rid(docs, "doc_id", "text").select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), "text")
+    keyed = with_rid(docs, "doc_id", "text").select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     sketched = durable(sketches(keyed), "sketches")
     some = sketched.where("n > 0")
     classes = durable(some.groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "registers")
     labels = link_labels(durable(reps, "reps"), keyed.select("rid", "text"))
-    named = classes.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("digest", "least", F.coalesce("label", "rep").alias("label"))
-    named = durable(named, "named")
+    named = durable(classes.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("digest", "least", F.coalesce("label", "rep").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    of_class = durable(named.join(least, "label").select("digest", "component"), "components")
-    id_ = F.when(F.col("id") != none, F.col("id"))
-    found = F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id"))
-    component = F.when(found != none, found)
-    return sketched.drop("registers").join(of_class, "digest", "left").select("rid", id_.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), id_.eqNullSafe(component).alias("kept"))
+    of_class = durable(named.join(least, "label").select("digest", "label", "component"), "components")
+    alone = F.col("n") == 0
+    found = sketched.drop("registers").join(of_class, "digest", "left")
+    return found.select("rid", "id", "n", F.when(alone, -1 - F.col("rid")).otherwise(F.col("label")).alias("label"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return components_of(docs).drop("rid")
+    """For each row of docs doc_id, n_shingles, component_id and kept.
+
+    component_id is the smallest doc_id that links lead to; a null doc_id ranks last, so it is null only where no linked row has an
+    id. kept: doc_id is component_id (both may be null). Rows without words are linked with nothing. Rows that repeat have
+    equal sets, so they are linked. An empty table gives an empty result.
+    """
+    id_, component = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("id", "component"))
+    return grouped(docs).select(id_.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), id_.eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group, that of the smallest doc_id (null last; of rows with one doc_id, the first)."""
+    best = grouped(docs).groupBy("label").agg(F.min_by("rid", F.struct("id", "rid")).alias("rid")).select("rid")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("rid"))
+    return rows.join(best, "rid", "left_semi").select("doc.*")
