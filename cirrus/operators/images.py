@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def cells(pixels: DataFrame, size: int) -> list:
-    return [F.floor(F.col(c) / size).cast("long").alias(c) for c in "xy"]
+    return [F.floor(F.col(c) / size).cast("int").alias(c) for c in "xy"]
 
 
 def chroma_halved(pixels: DataFrame) -> DataFrame:

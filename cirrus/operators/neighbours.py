@@ -15,9 +15,9 @@ from cirrus.plans.lineage import cut
 
 def _around(points: DataFrame, edge: int, reach: int = 1) -> DataFrame:
     """Each point once for each cell within reach, as kx, ky, kz."""
-    shifts = F.sequence(F.lit(-reach), F.lit(reach))
     for c in "xyz":
-        points = points.withColumn(f"k{c}", F.explode(F.transform(shifts, lambda s, c=c: F.floor(F.col(c) / edge).cast("long") + s)))
+        cell = F.floor(F.col(c) / edge).cast("long")
+        points = points.withColumn(f"k{c}", F.explode(F.sequence(cell - reach, cell + reach)))
     return points
 
 
@@ -44,7 +44,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, edge: int = 2) -> DataFrame:
     done, open_ = [], a.select("frame", "pid", "x", "y", "z")
     order = Window.partitionBy("frame", "pid").orderBy("d2", "nn_pid")
     while True:
-        near = _pairs(open_, b, edge).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        near = _pairs(open_, b, edge).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
         if reach is None or edge >= reach:
             done.append(near)
             break

@@ -47,7 +47,7 @@ def by_size(patches: DataFrame) -> DataFrame:
     """Place of each patch in a frame by larger side, smaller side, index."""
     u, v = F.col("size_u"), F.col("size_v")
     order = Window.partitionBy("frame").orderBy(F.greatest(u, v).desc(), F.least(u, v).desc(), "patch")
-    return patches.select("frame", "patch", (F.row_number().over(order) - 1).alias("place"))
+    return patches.select("frame", "patch", (F.row_number().over(order).cast("long") - 1).alias("place"))
 
 
 def stacked(patches: DataFrame, width: int, block: int = 16) -> DataFrame:
@@ -58,7 +58,7 @@ def stacked(patches: DataFrame, width: int, block: int = 16) -> DataFrame:
 
 def block_owner(pixels: DataFrame, block: int = 16) -> DataFrame:
     """The last patch that has an occupied pixel in each block, counted from 1."""
-    cell = [F.floor(F.col(c) / block).cast("long").alias(f"b{c}") for c in "xy"]
+    cell = [F.floor(F.col(c) / block).cast("int").alias(f"block_{c}") for c in "xy"]
     return pixels.where("occ = 1").groupBy("frame", *cell).agg((F.max("patch") + 1).alias("owner"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACE = ["frame", "x", "y", "z"]
@@ -30,7 +30,7 @@ def centroids(points: DataFrame) -> DataFrame:
 
 def voxels(points: DataFrame, edge: int) -> DataFrame:
     """Cells of an edge that is a power of two, with centres at multiples of it: first pid, how many points, and their colour sum."""
-    cell = lambda c: F.floor((F.col(c) + edge // 2) / edge).cast("long")
+    cell = lambda c: F.floor((F.col(c) + edge // 2) / edge).cast("int")
     return points.groupBy("frame", cell("x").alias("vx"), cell("y").alias("vy"), cell("z").alias("vz")).agg(F.min("pid").alias("first_pid"), F.count("*").alias("n"), F.sum("r").alias("sum_r"))
 
 
@@ -58,9 +58,6 @@ def missed(source: DataFrame, other: DataFrame) -> DataFrame:
 
 def boxed(points: DataFrame, edge: int) -> DataFrame:
     """Non-empty boxes of a frame, numbered in order."""
-    box = points.groupBy("frame", *[F.floor(F.col(c) / edge).cast("long").alias(f"b{c}") for c in "xyz"]).agg(F.count("*").alias("n"))
-    return box.withColumn("patch", F.dense_rank().over(Window.partitionBy("frame").orderBy("bx", "by", "bz")) - 1)
+    box = points.groupBy("frame", *[F.floor(F.col(c) / edge).cast("int").alias(f"box_{c}") for c in "xyz"]).agg(F.count("*").alias("n"))
+    return box.withColumn("patch", F.dense_rank().over(Window.partitionBy("frame").orderBy("box_x", "box_y", "box_z")).cast("long") - 1)
 
-
-def cell(c: str, edge: int) -> Column:
-    return F.floor(F.col(c) / edge).cast("long")

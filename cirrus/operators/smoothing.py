@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def cell_means(points: DataFrame, edge: int) -> DataFrame:
     """For each cell: points, sums of positions, and whether several patches meet in it."""
-    cells = [F.floor(F.col(c) / edge).cast("long").alias(f"k{c}") for c in "xyz"]
+    cells = [F.floor(F.col(c) / edge).cast("int").alias(f"k{c}") for c in "xyz"]
     sums = [F.sum(c).alias(f"s{c}") for c in "xyz"]
     return points.groupBy("frame", *cells).agg(F.count("*").alias("n"), *sums, (F.max("patch") > F.min("patch")).alias("mixed"))
 
@@ -18,7 +18,7 @@ def grid_centroids(points: DataFrame, edge: int) -> DataFrame:
 
     A point lies between two cells on each axis: the weights are its distances, in units of the edge, from the farther cell.
     """
-    low = lambda c: F.floor((F.col(c) - edge // 2) / edge).cast("long")
+    low = lambda c: F.floor((F.col(c) - edge // 2) / edge).cast("int")
     rows = points.select("frame", "pid", "x", "y", "z", *[low(c).alias(f"l{c}") for c in "xyz"])
     rows = rows.select("*", *[((F.col(c) - edge // 2) - F.col(f"l{c}") * edge).alias(f"w{c}") for c in "xyz"])
     for c in "xyz":
