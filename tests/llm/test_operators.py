@@ -1,0 +1,369 @@
+"""Each operator against a plain version of its contract, on texts of all awkward kinds, and on an empty table."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from cirrus.llm import chaining, decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
+from helpers import corpus, frame
+
+LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, corpus())
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    expected = []
+    for doc_id, text in corpus():
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = np.array(ids[k : k + 4096], "<u4")
+            expected.append((doc_id, k // 4096, k, len(part), zlib.crc32(part.tobytes())))
+    got = packing.pack(docs, with_ids=True).toPandas()
+    assert sorted(zip(got.doc_id.astype(object).where(got.doc_id.notna(), None), got.piece, got.start, got.length, got.ids_crc32), key=repr) == sorted(expected, key=repr)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == (g.length.cumsum() - g.length).tolist() and g.length.sum() <= 4096
+    assert got.sequence_id.nunique() == -(-got.length.sum() // 4096)
+    assert {len(r.ids) for r in packing.sequences(packing.pack(docs, with_ids=True)).collect()} <= set(range(1, 4097))
+    assert packing.pack(empty).count() == 0
+
+
+def test_best_fit_takes_the_tightest_bin():
+    bins, offsets = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
+    assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8]
+
+
+def test_tokens_of_words_are_tokens_of_texts():
+    find = packing.WordTokens(packing.tokenizer_path())
+    texts = ["Hello, wORLD.. it's <|endoftext|>x, É. J̌x. a b, \tc, n.n. 3,4, …, —.", "", " \n x ", "Ωσ. ΑΣ ΑΣ. don't'S", "<|ENDOFTEXT|> a", "İ. ǅ, ß.", "a\x0bb\x1cc d."]
+    for t in texts:
+        assert find.ids(pa.array([t]))[0] == np.array(find.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_suffix_dedup(docs, empty):
+    texts = [(i, (t or "").encode()) for i, t in corpus()]
+    count = collections.Counter(b[s : s + 200] for _, b in texts for s in range(len(b) - 199))
+    expected = []
+    for doc_id, b in texts:
+        edge = np.zeros(len(b) + 1, int)
+        for s in range(len(b) - 199):
+            if count[b[s : s + 200]] > 1:
+                edge[s] += 1
+                edge[s + 200] -= 1
+        gone = np.cumsum(edge)[:-1] > 0
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        expected.append((doc_id, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    assert rows(suffix_dedup.digest(docs)) == sorted(expected, key=repr)
+    assert suffix_dedup.digest(empty).count() == 0
+
+
+def test_suffix_dedup_of_crowded_grams_is_the_same(docs, monkeypatch):
+    expected = rows(suffix_dedup.digest(docs))
+    monkeypatch.setattr(suffix_dedup, "MOST", 1)
+    assert rows(suffix_dedup.digest(docs)) == expected
+
+
+def test_maximal_repeats():
+    found = list(suffix_dedup.maximal_repeats([b"cba", b"cbx", b"zzz"], [b"123x", b"123y", b"999"], 4))
+    assert found == [(2, 3, [0, 1])] or found == [(2, 3, [1, 0])]
+
+
+def test_media(docs, empty, spark, tmp_path):
+    got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.round_trip(docs).collect())
+    expected = collections.Counter()
+    for doc_id, text in corpus():
+        b = (text or "").encode()
+        p = b.ljust(max(1, -(-len(b) // 64)) * 64, b"\0")
+        expected[doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
+    assert got == expected
+    assert media.round_trip(empty).count() == 0
+
+
+def test_media_retries_a_member_alone(tmp_path, docs):
+    folder = f"file://{tmp_path}/a"
+    media.write_archives(docs, folder, archive_bytes=2000)
+    reader = media.ArchiveMediaReader(folder, 512, 3)
+    parts = reader.partitions()
+    assert len(parts) > 2
+    system, _ = media.opened(folder)
+
+    class Flaky:
+        failures = 2
+
+        def open_input_file(self, path):
+            if Flaky.failures:
+                Flaky.failures -= 1
+                raise OSError("gone for now")
+            return system.open_input_file(path)
+
+    with system.open_input_file(parts[0].archive) as file, media.zipfile.ZipFile(file) as archive:
+        info = archive.infolist()[0]
+    assert media.decode(reader.fetch(Flaky(), parts[0].archive, info))[0] >= 0
+    Flaky.failures = 3
+    with pytest.raises(OSError):
+        reader.fetch(Flaky(), parts[0].archive, info)
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == len(corpus())
+
+
+def test_sharding(docs, empty):
+    got = sharding.shard(docs, 5).toPandas()
+    assert len(got) == len(corpus())
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    sizes = [got["size"][got.shard == s].sum() for s in range(5)]
+    assert max(sizes) - min(sizes) <= 2 * got["size"].max()
+    expected = sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in corpus())
+    assert sorted(zip(got["size"], got.text_crc32)) == expected
+    assert sharding.shard(empty, 5).count() == 0
+
+
+def test_sharding_splits_equal_rows(spark):
+    same = frame(spark, [(7, "same text")] * 100)
+    got = sharding.shard(same, 4).toPandas()
+    assert sorted(got.groupby("shard").size()) == [25, 25, 25, 25]
+
+
+def plain_line_dedup(rows):
+    keys, last = collections.defaultdict(set), 1 << 70
+    order = lambda i: last if i is None else i
+    strip = " \t\n\x0b\x0c\r"
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            keys[x.strip(strip).translate(LOW)].add(order(i))
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(k := x.strip(strip).translate(LOW)) < 10 or len(keys[k]) < 2 or order(i) == min(keys[k])]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(docs, empty):
+    assert rows(line_dedup.digest(docs)) == plain_line_dedup(corpus())
+    assert line_dedup.digest(empty).count() == 0
+    out = line_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and out.where("text IS NULL").count() == 1
+
+
+def test_line_dedup_with_a_full_filter_is_the_same(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 64)
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 64)
+    assert rows(line_dedup.digest(docs)) == plain_line_dedup(corpus())
+
+
+def test_bloom_filters():
+    rng = np.random.default_rng(1)
+    once, twice = np.zeros(1 << 12, np.uint8), np.zeros(1 << 12, np.uint8)
+    a, b = (rng.integers(0, 1 << 63, (200, 2)).astype(np.uint64) for _ in "ab")
+    line_dedup.put(once, twice, a)
+    assert line_dedup.holds(twice, a).sum() < 20
+    line_dedup.put(once, twice, np.concatenate([a[:50], b]))
+    assert line_dedup.holds(twice, a[:50]).all() and line_dedup.holds(twice, b).sum() < 40
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Menu &amp; more</a></li></ul></nav>
+<div class="ad">Buy</div>{body}<div id=comments><p>Reader: nice</div><footer>&copy; x</footer></body></html>"""
+
+
+def test_html(spark, tmp_path):
+    template = "<div><p>About this site</p></div>"
+    plain = [f"<div><h2>Head {i}</h2><p>Story <b>num</b>ber&nbsp;{i}\n  goes<br>on</p></div>" for i in range(4)]
+    pages = [(i, f"http://h.example/a/{i}", PAGE.format(body=template + p)) for i, p in enumerate(plain)]
+    pages += [(10, "http://i.example/x", PAGE.format(body="<article><h1>A</h1><p>One<p>Two &lt;3</article><p>else")), (11, "http://i.example/y", PAGE.format(body="<article><h1>A</h1><p>One<p>Three</article>"))]
+    pages += [(20, None, None), (21, "http://j.example/", ""), (None, "x", "no tags <b at all")]
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame([(*p, "r") for p in pages], "page_id long, url string, html string, rid string").write.parquet(path)
+    got = {r.page_id: r for r in html_text.extract(spark.read.parquet(path)).collect()}
+    for i in range(4):
+        assert got[i].text == f"Head {i}\n\nStory number {i} goes on" and got[i].n_chars == len(got[i].text)
+    assert got[10].text == "A\n\nOne\n\nTwo <3" and got[11].text == "A\n\nOne\n\nThree"
+    assert got[20].text == "" and got[21].text == "" and got[None].text.startswith("no tags")
+    assert html_text.extract(spark.read.parquet(path).limit(0)).count() == 0
+
+
+def test_common_subsequence():
+    assert [[1, 2, 3, 4][i] for i in html_text.common_subsequence([1, 2, 3, 4], [3, 1, 9, 2, 4])] == [1, 2, 4]
+    assert html_text.common_subsequence([], [1]) == []
+
+
+def test_decontamination(spark, docs, empty):
+    texts = corpus()
+    items = [(1, texts[0][1]), (2, " ".join(texts[1][1].split()[5:20])), (3, "one two"), (10, None), (11, ""), (None, texts[60 % len(texts)][1]), (2, "be")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    split = lambda t: find.findall((t or "").translate(LOW))
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add("null" if i is None else str(i))
+    expected = []
+    for i, t in texts:
+        w, hit, names = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    names |= found
+                    hit |= set(range(k, k + n))
+        expected.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+    assert rows(decontamination.digest(docs, bench)) == sorted(expected, key=repr)
+    assert decontamination.digest(empty, bench).count() == 0
+    assert decontamination.digest(docs, bench.limit(0)).where("contaminated").count() == 0
+    cleaned = decontamination.remove(docs, bench)
+    assert cleaned.columns == docs.columns
+    assert decontamination.digest(cleaned, bench.where("item_id = 1")).where("contaminated").count() == 0
+
+
+def test_decontamination_by_blocks_is_the_same(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(x[1] for x in corpus()[:5])], "item_id long, text string")
+    expected = rows(decontamination.digest(docs, bench))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(decontamination.blocks, "__defaults__", (10,))
+    assert rows(decontamination.digest(docs, bench)) == expected
+
+
+def test_fm_index():
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 5, 300), 0)
+    index = decontamination.FmIndex(text)
+    phrases = np.array([[1, 2, 3], [4, 4, 1], [9, 9, 9]])
+    for p, lo, hi in zip(phrases, *index.search(phrases)):
+        expected = [i for i in range(298) if (text[i : i + 3] == p).all()]
+        assert sorted(index.locate(np.arange(lo, hi)).tolist()) == expected
+
+
+def plain_components(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOW))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[root(i)] = min(doc_id, least.get(root(i), 1 << 60))
+    return [(doc_id, len(sets[i]), least.get(root(i)), doc_id == least.get(root(i))) for i, (doc_id, _) in enumerate(rows)]
+
+
+def test_near_dedup(docs, empty):
+    assert rows(near_dedup.digest(docs)) == sorted(plain_components(corpus()), key=repr)
+    assert near_dedup.digest(empty).count() == 0
+    kept = near_dedup.keep_one(docs)
+    # one row for each group of texts with words, and each text without words
+    assert kept.columns == docs.columns and kept.count() == len({c for _, n, c, _ in plain_components(corpus()) if n}) + 3
+
+
+def test_near_dedup_where_groups_only_nearly_hang_together(spark):
+    import random
+
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(120):
+        w = base.copy()
+        for k in rng.sample(range(120), rng.randrange(0, 7)):
+            w[k] = f"edit{i}{k}"
+        texts.append((1000 - i, " ".join(w)))
+    assert rows(near_dedup.digest(frame(spark, texts))) == sorted(plain_components(texts), key=repr)
+
+
+def test_registers_estimate_overlap():
+    rng = np.random.default_rng(0)
+    both, one, two = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (750, 125, 125))
+    x, y = near_dedup.registers(np.append(both, one)), near_dedup.registers(np.append(both, two))
+    merged = np.maximum(x, y)
+    assert (merged == near_dedup.registers(np.concatenate([both, one, two]))).all()
+    found = near_dedup.overlap(np.array([(x > y).sum()]), np.array([(x < y).sum()]), np.array([875.0]), np.array([875.0]))[0]
+    assert abs(found - 0.75) < 0.12
+
+
+def test_toxicity(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    texts, labels = [], []
+    for i in range(1200):
+        w = [f"w{rng.randrange(300)}x" for _ in range(rng.randrange(20, 200))]
+        if toxic := i % 4 == 0:
+            for k in rng.sample(range(len(w)), max(1, len(w) // 40)):
+                w[k] = rng.choice(["horrid", "vilest", "wretched"])
+        texts.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    texts += [(None, "x"), (2000, None), (2001, ""), (2002, "horridd wretchedd " * 3), (2003, "be " * 500)]
+    docs, marked = frame(spark, texts), spark.createDataFrame([*labels, (2001, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.digest(docs, marked).collect()}
+    held = [r for r in got.values() if r.held_out and r.doc_id is not None and r.doc_id < 1200]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values() if r.doc_id is not None)
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.95
+    assert got[2002].predicted == 1 and got[2003].predicted == 0 and got[2000].score == got[2001].score
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {r.predicted for r in toxicity.digest(docs, marked.limit(0)).collect()} == {0}
+    assert toxicity.digest(frame(spark, []), marked).count() == 0
+
+
+def test_chaining(docs, empty, spark):
+    split = lambda t: (t or "").encode().translate(decontamination.WORD_BYTES).split()
+    runs = collections.defaultdict(set)
+    for k, (_, t) in enumerate(corpus()):
+        w = split(t)
+        for a in range(len(w) - 49):
+            runs[tuple(w[a : a + 50])].add(k)
+    expected = {corpus()[k][0] for v in runs.values() if len(v) > 1 for k in v}
+    got = chaining.passages(docs).toPandas()
+    found = set(got.doc_id.dropna()) | set(got.other_doc_id.dropna())
+    assert expected - {None} - {40, 41, 42} <= found  # one word without end has a single seed
+    assert found <= {*range(0, 12), *range(20, 32), 43, 50} | {40}
+    assert ((got.similarity >= 0.75) & (got.end - got.start >= 50)).all()
+    assert chaining.passages(empty).count() == 0
+
+
+def test_fuzzy_passage_inside_other_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(90)]
+    changed = passage.copy()
+    changed[25:26] = ["new", "words"]
+    changed[60:61] = []
+    noise = lambda k: [f"n{k}{rng.randrange(10**6)}" for _ in range(80)]
+    texts = [(1, " ".join(noise(1) + passage + noise(2))), (2, " ".join(noise(3) + changed + noise(4))), (3, " ".join(noise(5)))]
+    got = chaining.passages(frame(spark, texts)).collect()
+    assert len(got) == 1 and {got[0].doc_id, got[0].other_doc_id} == {1, 2}
+    assert abs(got[0].start - 80) <= 1 and abs(got[0].other_end - 170) <= 1 and got[0].similarity > 0.9
+
+
+def test_chains_are_collinear():
+    points = [(i * 7, i * 7 + 3) for i in range(10)] + [(5, 60), (33, 2)]
+    best = chaining.chains(points)[0]
+    assert best == [(i * 7, i * 7 + 3) for i in range(10)]
