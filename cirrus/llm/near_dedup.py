@@ -8,8 +8,10 @@ sets that overlap by three quarters share one of the 48 bands but for one pair i
 Equal sets are one class, and only its representative goes on. In each band, representatives with the same registers are linked to
 the first of them, not to each other, and each keeps the leader with which it shares most bands. These links are confirmed on the
 full sets, and linked classes get one label. What is left are bands where different labels meet: there, all rows outside the band's
-main label are held against the rows of other labels, so no link is lost; the likelihood of the registers drops pairs far
-below the threshold, and the others are confirmed on full sets.
+main label are held against the rows of other labels, so no link is lost. Shingles that no other row there has count for no link,
+and no row has what it lacks of its band's centre (the row with the fewest such shingles, which all others meet first); sizes, counts
+and bit masks of these rule out most of these pairs in the join itself, exactly. The likelihood of the registers drops pairs
+far below the threshold, and the others are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirrus.llm.common import durable, mix64, slices, utf8, with_rid
@@ -186,15 +188,78 @@ def link_labels(reps: DataFrame, texts: DataFrame) -> DataFrame:
     best = met.where("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("many")).groupBy("rid").agg(F.max(F.col("many") * F.lit(1 << 50) - F.col("leader")).alias("top"))
     star = met.where("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("many")).join(best, "rid").where(F.col("many") * F.lit(1 << 50) - F.col("leader") == F.col("top")).select(F.col("leader").alias("x"), F.col("rid").alias("y"))
     sure = durable(confirmed(star, some), "sure")
-    labels = components(sure)
-    placed = durable(met.join(labels, "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("label")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_ = durable(placed.join(mixed, "band", "left_semi"), "mixed")
+    open_ = mixed_bands(met, components(sure))
+    alone = shared_less(some.join(open_.select("rid").distinct(), "rid", "left_semi"))
+    profile = durable(reps.select("rid", "n").join(alone, "rid", "left").select("rid", "n", F.coalesce("u", F.lit(0)).alias("u")), "profile")
+    told = open_.join(profile, "rid")
+    centre = durable(told.groupBy("band").agg(F.min(F.struct("u", "rid", "n")).alias("c")).select("band", F.col("c.rid").alias("x"), F.col("c.n").alias("nx")), "centres")
+    views = durable(against(open_.join(centre, "band").select("x", F.col("rid").alias("y")).distinct(), some), "views")
+    more = durable(sure.union(views.where("linked AND x <> y").select("x", "y")), "more")
+    seen = views.drop("linked").withColumnRenamed("y", "rid")
+    open_ = durable(mixed_bands(met, components(more)).join(profile, "rid").join(centre, "band").join(seen, ["x", "rid"]), "open")
     main = durable(open_.groupBy("band", "label").agg(F.count("*").alias("many")).groupBy("band").agg(F.max_by("label", F.struct("many", "label")).alias("main")), "main")
-    rest = open_.join(main, "band").where("label <> main").select("band", F.col("rid").alias("y"), F.col("label").alias("other"))
-    pairs = rest.join(open_, "band").where("label <> other").select(F.least("rid", "y").alias("x"), F.greatest("rid", "y").alias("y")).distinct()
-    late = durable(confirmed(likely(pairs, reps), some), "late")
-    return components(sure.union(late))
+    rest = durable(open_.join(main, "band").where("label <> main").select("band", *[F.col(c).alias(f"{c}2") for c in ("rid", "label", "n", "u", "extra", *MASKS)]), "rest")
+    pairs = open_.join(rest, "band").where((F.col("label") != F.col("label2")) & possible())
+    late = confirmed(likely(pairs.select(F.least("rid", "rid2").alias("x"), F.greatest("rid", "rid2").alias("y")).distinct(), reps), some)
+    return components(more.union(late))
+
+
+def mixed_bands(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, rid and label of the rows of met in bands where labels differ; a row without a label has its rid."""
+    placed = durable(met.join(labels, "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("label")), "placed")
+    mixed = durable(placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "mixed")
+    return durable(placed.join(mixed, "band", "left_semi"), "mixed-rows")
+
+
+def shared_less(texts: DataFrame) -> DataFrame:
+    """rid and u: how many of a text's shingles no other of texts (rid, text) has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            sets = shingle_sets(utf8(batch.column("text")))
+            rid = batch.column("rid").take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), rid], names=["h", "rid"])
+
+    once = texts.select("rid", "text").mapInArrow(run, "h long, rid long").groupBy("h").agg(F.count("*").alias("many"), F.min("rid").alias("rid")).where("many = 1")
+    return once.groupBy("rid").agg(F.count("*").alias("u"))
+
+
+#: Columns that mark, by hashed bits, which shingles of a band's centre a row lacks.
+MASKS = ("m0", "m1", "m2", "m3")
+
+
+def against(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """For pairs (x, y) whether they are linked, how many shingles y has that x lacks (extra), and bits for those of x that y lacks."""
+    side = lambda c: texts.select(F.col("rid").alias(c), F.col("text").alias(f"t{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ty", 4 << 20):
+            tx, ty = utf8(batch.column("tx")), utf8(batch.column("ty"))
+            different = list(dict.fromkeys(tx + ty))
+            sets = dict(zip(different, shingle_sets(different)))
+            masks, extra = np.zeros((len(tx), len(MASKS)), np.uint64), []
+            for i, (x, y) in enumerate(zip(tx, ty)):
+                lost = np.setdiff1d(sets[x], sets[y], assume_unique=True)
+                extra.append(len(sets[y]) - len(sets[x]) + len(lost))
+                np.bitwise_or.at(masks[i], (lost >> np.uint64(6)).astype(np.int64) % len(MASKS), np.uint64(1) << (lost & np.uint64(63)))
+            hit = pa.array([linked(sets[x], sets[y]) for x, y in zip(tx, ty)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), hit, pa.array(extra, pa.int32()), *(pa.array(m.view(np.int64)) for m in np.ascontiguousarray(masks.T))], names=["x", "y", "linked", "extra", *MASKS])
+
+    return both.mapInArrow(run, "x long, y long, linked boolean, extra int, " + ", ".join(f"{m} long" for m in MASKS))
+
+
+def possible() -> Column:
+    """Whether two rows of a band can overlap enough for a link.
+
+    n, n2: their shingles; u, u2: those that no other row has; extra: those that the band's centre (of nx shingles) lacks; the masks
+    have at most one bit for each shingle of the centre that a row lacks. What both have is in the centre, and then neither lacks it, or is
+    extra and not alone in both.
+    """
+    lost = sum((F.bit_count(F.col(m).bitwiseOR(F.col(f"{m}2"))) for m in MASKS), F.lit(0))
+    through = F.col("nx") - lost + F.least(F.col("extra") - F.col("u"), F.col("extra2") - F.col("u2"))
+    both = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"), through)
+    return PERCENT[0] * both >= PERCENT[1] * (F.col("n") + F.col("n2") - both)
 
 
 NO_ID = (1 << 63) - 1
