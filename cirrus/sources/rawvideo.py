@@ -77,6 +77,6 @@ def frame_bytes(video: DataFrame, nbyte: int = 1) -> DataFrame:
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("channel", "ascending"), ("y", "ascending")])
         data = np.asarray(table.column("row").combine_chunks().flatten()).astype(f"<u{nbyte}").tobytes()
-        return pa.table({"frame": [key[0].as_py()], "data": pa.array([data], pa.binary())})
+        return pa.table({"frame": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
     return video.groupBy("frame").applyInArrow(pack, "frame int, data binary")
