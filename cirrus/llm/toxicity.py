@@ -22,13 +22,15 @@ from cirrus.llm.common import mix64, slices, utf8
 from cirrus.llm.decontamination import WORD_BYTES
 
 #: Labelled documents of each class that training takes at most (those with the smallest hashes), and their largest size.
-SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1000, 1 << 15
+SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1500, 1 << 15
 BUCKETS, WIDTH, GRAMS = 1 << 18, 4, (3, 4, 5)
 #: Words of a window, and from one window's start to the next.
 WINDOW, STEP = 48, 24
 #: Subwords that a bag has at least; the missing ones are zero vectors, so a few words can't weigh more than a window of them.
 PADDED = 200
-EPOCHS_WHOLE, EPOCHS_WINDOW, RATE = 12, 28, 0.5
+#: Occurrences by which log-odds are shrunk.
+SHRINK = 4.0
+EPOCHS_WHOLE, EPOCHS_WINDOW, RATE = 10, 60, 0.5
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +118,12 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Model:
     rng = np.random.default_rng(seed)
     emb, soft, bias = rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 0.5, (2, WIDTH)), np.zeros(2)
     seen = [np.full(x.shape, 1e-8) for x in (emb, soft, bias)]
+    # To begin with, the first dimension of a subword is how much oftener than others it stands in toxic documents (log-odds, shrunk).
+    is_toxic = toxic[np.repeat(np.arange(len(texts)), np.diff(edge))]
+    seen_in = [np.bincount(ids, np.repeat(np.bincount(at, is_toxic == k, len(words)), n), len(used)) for k in (0, 1)]
+    part = seen_in[1].sum() / max(1.0, seen_in[0].sum() + seen_in[1].sum())
+    emb[:, 0] = np.log((seen_in[1] + SHRINK * part) / (seen_in[0] + SHRINK * (1 - part))) - np.log(part / (1 - part))
+    soft[:, 0] = -1, 1
     counts = np.concatenate([[0], np.cumsum(n[at])])
     doc, a, b = windows(edge)
     start = np.flatnonzero(np.diff(doc, prepend=-1))
