@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -37,15 +37,24 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_rid(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and rid, a number for each row.
+def with_rid(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The named columns and rid, a number for each row. It tells rows apart where doc_id is null or repeated.
 
-    rid is a function of the row's place in the files, so docs has to be read from files (write a computed table first); a task that
-    runs again then gives the same numbers. It tells rows apart where doc_id is null or repeated. Other columns are left out.
+    rid is a function of the row's place in the files, so docs has to be read from files (write a computed table first). A
+    task that runs again gives the same numbers. Spark cuts files by the cores it has when it plans, unless told how many parts there are to
+    be; since executors come and go between the steps of an operator, that number is fixed here for the session, if it isn't set.
     """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return docs.select(*columns, F.monotonically_increasing_id().alias("rid"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column, doc, so that no other column's name can clash with its own; and rid."""
+    return with_rid(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Each text as UTF-8 bytes; null as empty."""
     if isinstance(column, pa.ChunkedArray):

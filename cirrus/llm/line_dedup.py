@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import durable, slices, utf8, with_rid
+from cirrus.llm.common import durable, slices, utf8, whole_rows, with_rid
 
 #: Code points that a key needs to count.
 LEAST = 10
@@ -150,8 +150,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     first = suspected.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     repeated = durable(first, "repeated-lines")
     gone = suspected.join(repeated, ["a", "b"]).where("id > first").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("rid"))
-    joined = whole.join(gone, "rid", "left").select("doc", F.coalesce("doc.text", F.lit("")).alias("text"), F.lit(0).alias("n_lines"), F.lit(0).alias("n_dropped"), "gone")
+    joined = whole_rows(docs).join(gone, "rid", "left").select("doc", F.coalesce("doc.text", F.lit("")).alias("text"), F.lit(0).alias("n_lines"), F.lit(0).alias("n_dropped"), "gone")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import durable, mix64, slices, utf8, with_rid
+from cirrus.llm.common import durable, mix64, slices, utf8, whole_rows, with_rid
 
 WORDS, BANDS, ROWS = 5, 48, 4
 REGISTERS = BANDS * ROWS
@@ -298,5 +298,4 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id (null last; of rows with one doc_id, the first)."""
     best = grouped(docs).groupBy("label").agg(F.min_by("rid", F.struct("id", "rid")).alias("rid")).select("rid")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("rid"))
-    return rows.join(best, "rid", "left_semi").select("doc.*")
+    return whole_rows(docs).join(best, "rid", "left_semi").select("doc.*")
