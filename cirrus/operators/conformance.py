@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Limits of the six levels. Per second: projected, EOM, raw points; per frame: projected, EOM, raw points.
@@ -13,8 +13,11 @@ LEVELS = [
 ]
 
 
-def levels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *v) for i, v in enumerate(LEVELS)], "level int, proj_s long, eom_s long, raw_s long, proj long, eom long, raw long")
+def at_levels(rows: DataFrame) -> DataFrame:
+    """Each row once for each level, with the level's limits beside it."""
+    names = ("proj_s", "eom_s", "raw_s", "proj", "eom", "raw")
+    limits = F.array(*[F.struct(F.lit(i).alias("level"), *[F.lit(x).cast("long").alias(n) for n, x in zip(names, v)]) for i, v in enumerate(LEVELS)])
+    return rows.select("*", F.explode(limits).alias("limits")).select(*rows.columns, "limits.*")
 
 
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,9 +28,9 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def over_frame_limits(log: DataFrame) -> DataFrame:
-    """For each level, frames over its limits per frame. The limits are six rows, which every frame meets."""
+    """For each level, frames over its limits per frame."""
     over = lambda c, m: F.count_if(F.col(c) > F.col(m)).alias(f"{m}_over")
-    return log.crossJoin(F.broadcast(levels(log.sparkSession))).groupBy("level").agg(over("num_proj", "proj"), over("num_eom", "eom"), over("num_raw", "raw"))
+    return at_levels(log).groupBy("level").agg(over("num_proj", "proj"), over("num_eom", "eom"), over("num_raw", "raw"))
 
 
 def sliding_sums(log: DataFrame, fps: int = 30, column: str = "num_proj") -> DataFrame:
