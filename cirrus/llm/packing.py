@@ -23,8 +23,8 @@ from cirrus.llm.common import slices, utf8
 
 #: Pieces that one task packs: their lengths take a few megabytes.
 PIECES_PER_TASK = 50_000
-#: Words whose tokens a Python worker remembers before it starts afresh.
-WORDS_REMEMBERED = 1_000_000
+#: Words whose tokens a Python worker remembers before it drops those that it hasn't met since it last had so many.
+WORDS_REMEMBERED = 250_000
 
 _loaded: dict[str, WordTokens] = {}
 
@@ -40,7 +40,7 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def encode(self, words: list[bytes]) -> None:
         for a in range(0, len(words), 20_000):
@@ -57,8 +57,10 @@ class WordTokens:
         asked = {b",", b".", *cores}
         new = asked.difference(self.known)
         if len(self.known) + len(new) > WORDS_REMEMBERED:
-            self.known, new = {}, asked
-        self.encode(list(new))
+            self.known, self.older, new = {}, self.known, asked
+        met = new.intersection(self.older)
+        self.known.update(zip(met, map(self.older.__getitem__, met)))
+        self.encode(list(new - met))
         tails = {b"": b"", b",": self.known[b","], b".": self.known[b"."]}
         return [a + tails[b] if b else a for a, b in zip(map(self.known.__getitem__, cores), ends)]
 
@@ -75,11 +77,13 @@ class WordTokens:
         if not len(coded):
             return [b""] * len(texts)
         found = self.of_words(utf8(coded.dictionary))
-        n, at = np.fromiter(map(len, found), np.int64, len(found)) // 4, np.asarray(coded.indices).astype(np.int64)
-        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
+        n, at = np.fromiter(map(len, found), np.int32, len(found)) // 4, np.asarray(coded.indices)
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n, dtype=np.int32) - n
         many = n[at]
-        ends = np.cumsum(many)
-        ids = flat[np.repeat(first[at] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(many, dtype=np.int32)
+        take = np.repeat(first[at] - ends + many, many)
+        take += np.arange(len(take), dtype=np.int32)
+        ids = flat[take]
         edge = np.concatenate([[0], ends])[np.asarray(words.offsets) - words.offsets[0].as_py()]
         return [ids[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
@@ -106,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = tokens(tokenizer)
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             rows, out = [], []
             for i, ids in enumerate(find.ids(batch.column("text"))):
                 ids += end

@@ -22,7 +22,7 @@ from cirrus.llm.common import mix64, slices, utf8
 from cirrus.llm.decontamination import WORD_BYTES
 
 #: Labelled documents of each class that training takes at most (those with the smallest hashes), and their largest size.
-SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1500, 1 << 15
+SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1200, 1 << 15
 BUCKETS, WIDTH, GRAMS = 1 << 18, 4, (3, 4, 5)
 #: Words of a window, and from one window's start to the next.
 WINDOW, STEP = 48, 24
