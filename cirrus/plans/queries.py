@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cirrus.functions import color, geometry
-from cirrus.operators import conformance, images, metrics, neighbours, patches, points, segmentation, smoothing
+from cirrus.operators import conformance, images, metrics, neighbours, patches, points, segmentation, smoothing, transfer
 from cirrus.plans.registry import query
 from cirrus.sources.derived import table, with_tables
 
@@ -252,10 +252,24 @@ def distance_weighted_colour(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("frame", "pid").agg(F.round(F.sum(F.col("r") / (d2 * d2)) / F.sum(1.0 / (d2 * d2)), 4).alias("r"))
 
 
-@query("C05_nearest_colour", sql(f"SELECT frame, pid, r FROM (SELECT a.frame, a.pid, b.r, row_number() OVER (PARTITION BY a.frame, a.pid ORDER BY {_D2}, b.pid) AS k FROM cloud_src a JOIN cloud_rec b ON a.frame = b.frame) t WHERE k = 1", "cloud_src", "cloud_rec"))
-def nearest_colour(spark: SparkSession, sf: str) -> DataFrame:
-    rec = table(spark, sf, "cloud_rec").select("frame", F.col("pid").alias("nn_pid"), "r")
-    return neighbours.nearest(table(spark, sf, "cloud_src"), table(spark, sf, "cloud_rec")).join(rec, ["frame", "nn_pid"]).select("frame", "pid", "r")
+_ONE = "(SELECT frame, pid, nn, r FROM (SELECT a.frame, a.pid, b.pid AS nn, {r} AS r, row_number() OVER (PARTITION BY a.frame, a.pid ORDER BY " + _D2 + ", b.pid) AS k FROM {a} a JOIN {b} b ON a.frame = b.frame) t WHERE k = 1)"
+
+
+@query("C05_two_way_colour", sql(f"WITH f AS {_ONE.format(a='cloud_src', b='cloud_rec', r='b.r')}, w AS (SELECT frame, nn AS pid, CAST(round(avg(r)) AS INT) AS r FROM {_ONE.format(a='cloud_rec', b='cloud_src', r='a.r')} t GROUP BY frame, nn) SELECT f.frame, f.pid, coalesce(w.r, f.r) AS r FROM f LEFT JOIN w ON f.frame = w.frame AND f.pid = w.pid", "cloud_src", "cloud_rec"))
+def two_way_colour(spark: SparkSession, sf: str) -> DataFrame:
+    return transfer.two_way(table(spark, sf, "cloud_src"), table(spark, sf, "cloud_rec")).select("frame", "pid", "r")
+
+
+@query("C07_mixed_colour")
+def mixed_colour(spark: SparkSession, sf: str) -> DataFrame:
+    return transfer.mixed(table(spark, sf, "cloud_src"), table(spark, sf, "cloud_rec"))
+
+
+@query("R08_refined_planes")
+def refined_planes(spark: SparkSession, sf: str) -> DataFrame:
+    src = table(spark, sf, "cloud_src")
+    normals = src.select("frame", "pid", *[((F.col(c) - 128) / F.lit(128.0)).alias(n) for c, n in zip("rgb", ("nx", "ny", "nz"))])
+    return transfer.refined_planes(src, normals, 9, 3, 3.0, [1.0, 1.0, 1.0])
 
 
 @query("R47_radius_smoothing", sql(f"SELECT a.frame, a.pid, round(avg(b.x), 6) AS cx, round(avg(b.y), 6) AS cy, round(avg(b.z), 6) AS cz FROM cloud_src a JOIN cloud_src b ON a.frame = b.frame AND {_D2} <= 8 GROUP BY a.frame, a.pid", "cloud_src"))
