@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirrus.functions import checksums
-from cirrus.operators import neighbours, normals, packing, segmentation
+from cirrus.operators import neighbours, normals, packing, segmentation, transfer
 from cirrus.sources import ply, rawvideo
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,19 @@ def test_normals_of_a_plane(spark):
     assert len(got) == 100 and all(abs(r.nz - 1) < 1e-9 for r in got)
 
 
+def test_votes_smooth_planes(spark):
+    rows = [(0, i * 6 + j, i, j, 0) for i in range(6) for j in range(6)]
+    bent = [(0, p, *((0.0, 0.2, 0.9) if p != 14 else (0.5, 0.0, 0.45))) for _, p, *_ in rows]
+    got = transfer.refined_planes(cloud(spark, rows), spark.createDataFrame(bent, "frame int, pid long, nx double, ny double, nz double"), 9, 2, 3.0, [1.0, 1.0, 1.0])
+    assert {r.plane for r in got.collect()} == {2} and got.count() == 36
+
+
+def test_mixed_colours_lie_between(spark):
+    a, b = random_rows(20, 1, 1), random_rows(20, 2, 1)
+    got = transfer.mixed(cloud(spark, a), cloud(spark, b))
+    assert got.count() == 20 and {r.r for r in got.collect()} == {1}
+
+
 def test_packing_covers_nothing_twice(spark):
     rng = random.Random(1)
     sizes = [(rng.randrange(1, 5), rng.randrange(1, 5)) for _ in range(30)]
