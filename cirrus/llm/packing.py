@@ -24,7 +24,7 @@ from cirrus.llm.common import slices, utf8
 #: Pieces that one task packs: their lengths take a few megabytes.
 PIECES_PER_TASK = 50_000
 #: Words whose tokens a Python worker remembers before it drops those that it hasn't met since it last had so many.
-WORDS_REMEMBERED = 250_000
+WORDS_REMEMBERED = 500_000
 
 _loaded: dict[str, WordTokens] = {}
 
@@ -42,11 +42,27 @@ class WordTokens:
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
+    def forget(self) -> None:
+        """Words are remembered for a task: a worker lives on, and other tasks need its memory."""
+        self.known, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, words: list[bytes]) -> None:
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        """Words of letters go to the tokenizer as one text with commas between, at whose token the ids are cut; others go one by one."""
+        plain, other = [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            (plain if t.isalpha() else other).append((w, t))
+        comma = self.tokenizer.encode(",", add_special_tokens=False).ids
+        for a in range(0, len(plain), 4000):
+            part = plain[a : a + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" , ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == comma[0]).tolist()
+            raw = ids.tobytes()
+            for (w, _), i, j in zip(part, [0, *(4 * c + 4 for c in cut)], [*(4 * c for c in cut), len(raw)]):
+                self.known[w] = raw[i:j]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+            self.known[w[0]] = np.array(e.ids, "<u4").tobytes()
 
     def of_words(self, words: list[bytes]) -> list[bytes]:
         """For each word its ids as little-endian unsigned 32-bit numbers."""
@@ -110,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = tokens(tokenizer)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             rows, out = [], []
             for i, ids in enumerate(find.ids(batch.column("text"))):
                 ids += end
@@ -122,6 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             at, k, start, length, crc = map(np.array, zip(*rows))
             got = [batch.column("doc_id").take(pa.array(at)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(got + [pa.array(out, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        find.forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, columns + ", ids array<int>" * with_ids)
 
