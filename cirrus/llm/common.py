@@ -62,17 +62,27 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or a field of a struct column as "doc.text": a row that travels whole needn't carry its text twice."""
+    top, *fields = name.split(".")
+    found = batch.column(top)
+    for f in fields:
+        found = pc.struct_field(found, f)
+    return found
+
+
+def slices(batches: Iterator[pa.RecordBatch], name: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have at most so many bytes together (or one longer text)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(column(batch, name)), 0)).astype(np.int64)
         group = (np.cumsum(lengths) - lengths) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

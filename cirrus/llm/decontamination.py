@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import slices, utf8
+from cirrus.llm.common import column, slices, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text that go to the tasks at once.
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents that one FM-index covers.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: A suffix position is kept for every so many.
 SAMPLED = 4
 
@@ -227,14 +227,14 @@ def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts have no words. Rows that repeat are marked alike. Items whose text is null have no windows; an item
     without an id is called "null".
     """
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"), F.lit(0).alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.lit(0).alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     for block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", SHARD_BYTES):
-                counts, spans, names = sent.value.find(utf8(batch.column("text")))
+            for batch in slices(batches, "doc.text", SHARD_BYTES):
+                counts, spans, names = sent.value.find(utf8(column(batch, "doc.text")))
                 spans = [merged([*map(tuple, old), *new]) if old else new for old, new in zip(batch.column("spans").to_pylist(), spans)]
                 names = [sorted({*old, *new}) for old, new in zip(batch.column("items").to_pylist(), names)]
                 got = {"n_words": pa.array(counts, pa.int32()), "spans": pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32()))), "items": pa.array(names, pa.list_(pa.string()))}
@@ -250,23 +250,23 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Where a document loses text, n_chars (if there is such a column) follows. A null text stays null.
     """
     marked = mark(docs, benchmark)
-    schema = marked.schema
+    rows = marked.select("doc", "spans", F.lit(None).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            old, texts = column(batch, "doc.text"), [None] * batch.num_rows
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
-                    raw = texts[i].encode()
+                    raw = old[i].as_py().encode()
                     first, last = word_offsets(raw)
                     edge = [0] + [x for a, b in spans for x in (int(first[a]), int(last[b - 1]))] + [len(raw)]
                     texts[i] = b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])).decode("utf-8", "replace")
             k = batch.schema.get_field_index("text")
             yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
-    out = marked.mapInArrow(cut, schema)
+    out = rows.mapInArrow(cut, rows.schema)
     changed = F.size("spans") > 0
-    new = {"text": F.col("text")}
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("doc.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import durable, slices, utf8, whole_rows, with_rid
+from cirrus.llm.common import column, durable, slices, utf8, whole_rows, with_rid
 
 #: Code points that a key needs to count.
 LEAST = 10
@@ -87,7 +87,7 @@ def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             keys = [b"".join(distinct(t)) for t in utf8(batch.column("text"))]
             put(once, twice, np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2))
         pieces = once.reshape(-1, size), twice.reshape(-1, size)
@@ -137,7 +137,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(twice_seen(docs, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             keys = [b"".join(distinct(t)) for t in utf8(batch.column("text"))]
             h = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
             row = np.repeat(np.arange(len(keys)), [len(k) // 16 for k in keys])
@@ -150,24 +150,26 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     first = suspected.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     repeated = durable(first, "repeated-lines")
     gone = suspected.join(repeated, ["a", "b"]).where("id > first").groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    joined = whole_rows(docs).join(gone, "rid", "left").select("doc", F.coalesce("doc.text", F.lit("")).alias("text"), F.lit(0).alias("n_lines"), F.lit(0).alias("n_dropped"), "gone")
+    joined = whole_rows(docs).join(gone, "rid", "left").select("doc", F.lit(None).cast("string").alias("text"), F.lit(0).alias("n_lines"), F.lit(0).alias("n_dropped"), "gone")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            texts, n_lines, n_dropped = utf8(batch.column("text")), [], []
+        for batch in slices(batches, "doc.text", 4 << 20):
+            texts, n_lines, n_dropped = utf8(column(batch, "doc.text")), [], []
+            new: list[bytes | None] = [None] * len(texts)
             for i, gone in enumerate(batch.column("gone").to_pylist()):
                 lines = texts[i].split(b"\n")
                 n_lines.append(len(lines))
                 if gone:
                     out = {np.array([g["a"], g["b"]], np.int64).tobytes() for g in gone}
                     kept = [x for x, h in zip(lines, hashes(texts[i])) if h not in out]
-                    texts[i] = b"\n".join(kept)
+                    new[i] = b"\n".join(kept)
                     n_dropped.append(len(lines) - len(kept))
                 else:
                     n_dropped.append(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32())], names=["doc", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(new, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32())], names=["doc", "text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(rewrite, joined.drop("gone").schema)
+    out = joined.mapInArrow(rewrite, joined.drop("gone").schema)
+    return out.select("doc", F.coalesce("text", "doc.text", F.lit("")).alias("text"), "n_lines", "n_dropped")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

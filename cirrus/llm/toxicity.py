@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import mix64, slices, utf8
+from cirrus.llm.common import column, mix64, slices, utf8
 from cirrus.llm.decontamination import WORD_BYTES
 
 #: Labelled documents of each class that training takes at most (those with the smallest hashes), and their largest size.
@@ -180,13 +180,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (any columns, with text) as column doc, with score: how likely the label 1 is. Null and empty texts get the sample's share."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"), F.lit(0.0).alias("score"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sent.value.score(batch.column("text")))], names=["doc", "score"])
+        for batch in slices(batches, "doc.text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sent.value.score(column(batch, "doc.text")))], names=["doc", "score"])
 
-    return rows.mapInArrow(run, rows.drop("text").schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
