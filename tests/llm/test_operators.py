@@ -367,3 +367,56 @@ def test_chains_are_collinear():
     points = [(i * 7, i * 7 + 3) for i in range(10)] + [(5, 60), (33, 2)]
     best = chaining.chains(points)[0]
     assert best == [(i * 7, i * 7 + 3) for i in range(10)]
+
+
+def in_order(spark, texts):
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="cirrus-test-") + "/documents.parquet"
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def covered(got, k):
+    """The words of document k that lie in a passage."""
+    out = set()
+    for r in got:
+        out |= set(range(r.start, r.end)) if r.doc_id == k else set()
+        out |= set(range(r.other_start, r.other_end)) if r.other_doc_id == k else set()
+    return out
+
+
+def test_passage_between_holders_of_its_parts(spark):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    noise = lambda k: [f"n{k}v{i}" for i in range(70)]
+    texts = [noise(0) + a, b + noise(1), noise(2) + a + b + noise(3), noise(4) + a + b, a + noise(5), noise(6) + b]
+    got = chaining.passages(in_order(spark, texts)).collect()
+    assert [(r.doc_id, r.other_doc_id, r.start, r.end, r.other_start, r.other_end) for r in got] == [(3, 2, 70, 150, 70, 150)]
+
+
+def test_exact_passages_as_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    passages = [[f"p{k}v{i}" for i in range(rng.randrange(61, 130))] for k in range(6)]
+    texts = []
+    for k in range(60):
+        text = [f"n{k}v{i}" for i in range(40)]
+        for p in rng.sample(passages, 2):
+            if k < 15 or k >= 45:  # part-holders at both ends
+                a = rng.randrange(len(p) - 45)
+                p = p[a : a + 45]
+            text += p + [f"m{k}v{rng.randrange(10**6)}" for _ in range(20)]
+        texts.append(text)
+    holders = collections.defaultdict(set)
+    for k, w in enumerate(texts):
+        for a in range(len(w) - 49):
+            holders[tuple(w[a : a + 50])].add((k, a))
+    expected = collections.defaultdict(set)
+    for found in holders.values():
+        if len({k for k, _ in found}) > 1:
+            for k, a in found:
+                expected[k] |= set(range(a, a + 50))
+    got = chaining.passages(in_order(spark, texts)).collect()
+    assert len(expected) == 30
+    assert all(v <= covered(got, k) for k, v in expected.items())
