@@ -420,3 +420,26 @@ def test_exact_passages_as_by_brute_force(spark):
     got = chaining.passages(in_order(spark, texts)).collect()
     assert len(expected) == 30
     assert all(v <= covered(got, k) for k, v in expected.items())
+
+
+def test_passage_after_quotes_of_its_halves(spark):
+    a, b = [f"a{i}" for i in range(35)], [f"b{i}" for i in range(35)]
+    noise = lambda k, n: [f"n{k}v{i}" for i in range(n)]
+    texts = [noise(0, 9) + a + noise(1, 400) + b + noise(2, 300) + a + b + noise(3, 9) + a + b, noise(4, 50) + a + b]
+    got = chaining.passages(in_order(spark, texts)).collect()
+    assert sorted((r.doc_id, r.other_doc_id, r.start, r.end, r.other_start, r.other_end) for r in got) == [(1, 0, 50, 120, 779, 849), (1, 0, 50, 120, 858, 928)]
+
+
+def test_words_without_end_are_one_passage():
+    import numpy as np
+
+    def of(w):
+        h = chaining.grams(w)
+        order = np.argsort(h, kind="stable")
+        return h[order], order
+
+    x, y = np.full(900, 7, np.uint64), np.full(700, 7, np.uint64)
+    runs = chaining.equal_runs(x, y, of(x), of(y))
+    assert len(runs) < 1700
+    got = chaining.aligned(chaining.run_chains(runs), x.tolist(), y.tolist())
+    assert got[0][1] - got[0][0] >= 700 and got[0][3] - got[0][2] == 700
