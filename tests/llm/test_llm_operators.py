@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from cirrus.llm import chaining, decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
-from helpers import corpus, frame
+from llm_helpers import corpus, frame
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 

@@ -1,6 +1,6 @@
 import random
 
-from helpers import corpus, frame
+from llm_helpers import corpus, frame
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
