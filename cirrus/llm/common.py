@@ -94,3 +94,76 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return h
+
+
+#: Bits that a sieve has for each key, that a key sets, and that a piece of it has (all of one key's bits are in one piece); its largest size.
+SIEVE_BITS, SIEVE_PROBES, SIEVE_PIECE, SIEVE_MOST_BITS = 16, 3, 1 << 16, 1 << 29
+
+
+def sieve_places(keys: np.ndarray, n_pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece of each key, and the bits of it that the key sets."""
+    h = mix64(keys.view(np.uint64))
+    piece = (h & np.uint64(n_pieces - 1)).astype(np.int64)
+    h = mix64(h)
+    return piece, np.stack([(h >> np.uint64(16 * k)) & np.uint64(SIEVE_PIECE - 1) for k in range(SIEVE_PROBES)], 1).astype(np.int64)
+
+
+def sieve(keys: DataFrame) -> np.ndarray | None:
+    """A Bloom filter (one row for each piece) of the only column of keys, numbers of 64 bits; 64 MB at most, which is fit to be broadcast.
+
+    It spares shuffling rows that a join is going to drop, and decides nothing itself. None if the keys are too many for it: then the join has all the work.
+    """
+    n = keys.count()
+    if 4 * n > SIEVE_MOST_BITS:
+        return None
+    n_pieces = min(SIEVE_MOST_BITS, 1 << max(1, SIEVE_BITS * n).bit_length()) // SIEVE_PIECE or 1
+    name = keys.columns[0]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            piece, _ = sieve_places(np.asarray(batch.column(0)), n_pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), batch.column(0)], names=["piece", name])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = -1, np.zeros(SIEVE_PIECE, bool)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            piece, places = sieve_places(np.asarray(batch.column(name)), n_pieces)
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            for a, b in zip(cuts, cuts[1:]):
+                if piece[a] != at:
+                    if at >= 0:
+                        yield out()
+                    at, bits = int(piece[a]), np.zeros(SIEVE_PIECE, bool)
+                bits[places[a:b].ravel()] = True
+        if at >= 0:
+            yield out()
+
+    pieces = keys.mapInArrow(number, f"piece long, {name} long").repartition("piece").sortWithinPartitions("piece").mapInArrow(build, "piece long, bits binary")
+    found = np.zeros((n_pieces, SIEVE_PIECE // 8), np.uint8)
+    for row in pieces.toLocalIterator():
+        found[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return found
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a sieve lets each key through: all that it was built from, and one in some hundred of the others."""
+    piece, places = sieve_places(keys, len(bits))
+    return ((bits[piece[:, None], places >> 3] >> (places & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def sifted(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key a sieve of keys lets through."""
+    bits = sieve(keys)
+    if bits is None:
+        return rows
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(passes(sent.value, np.asarray(batch.column(key)))))
+
+    return rows.mapInArrow(run, rows.schema)
