@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from cirrus.llm.common import slices, utf8
 
-#: Pieces that one task packs: their lengths take a few megabytes.
-PIECES_PER_TASK = 50_000
+#: Pieces that one task packs: their lengths take a few megabytes. With ids, 4096 for a piece at most, they are up to 64 MB.
+PIECES_PER_TASK, PIECES_WITH_IDS_PER_TASK = 50_000, 4_000
 #: Words whose tokens a Python worker remembers before it drops those that it hasn't met since it last had so many.
 WORDS_REMEMBERED = 500_000
 
@@ -48,37 +48,36 @@ class WordTokens:
         pa.default_memory_pool().release_unused()
 
     def encode(self, words: list[bytes]) -> None:
-        """Words of letters go to the tokenizer as one text with commas between, at whose token the ids are cut; others go one by one."""
-        plain, other = [], []
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            (plain if t.isalpha() else other).append((w, t))
+        """Words without a comma go to the tokenizer as one text with commas between, at whose token the ids are cut; others go one by one."""
+        joined = [w for w in words if b"," not in w and b"<" not in w]
+        other = [w for w in words if b"," in w or b"<" in w]
         comma = self.tokenizer.encode(",", add_special_tokens=False).ids
-        for a in range(0, len(plain), 4000):
-            part = plain[a : a + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" , ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == comma[0]).tolist()
+        for a in range(0, len(joined), 4000):
+            part = joined[a : a + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" , ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+            cut = 4 * np.flatnonzero(ids == comma[0])
+            if len(cut) != len(part) - 1:  # a character that the tokenizer takes for a comma
+                other += part
+                continue
             raw = ids.tobytes()
-            for (w, _), i, j in zip(part, [0, *(4 * c + 4 for c in cut)], [*(4 * c for c in cut), len(raw)]):
-                self.known[w] = raw[i:j]
-        for w, e in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
-            self.known[w[0]] = np.array(e.ids, "<u4").tobytes()
+            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)])]))
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def of_words(self, words: list[bytes]) -> list[bytes]:
         """For each word its ids as little-endian unsigned 32-bit numbers."""
-        cores, ends = words.copy(), [b""] * len(words)
-        for i, w in enumerate(words):
-            if w[-1:] in (b",", b".") and len(w) > 1 and (97 <= w[-2] <= 122 or (w[-2] >= 128 and w[:-1].decode("utf-8", "replace")[-1].lower().isalpha())):
-                cores[i], ends[i] = w[:-1], w[-1:]
-        asked = {b",", b".", *cores}
-        new = asked.difference(self.known)
+        new = set(words).difference(self.known)
         if len(self.known) + len(new) > WORDS_REMEMBERED:
-            self.known, self.older, new = {}, self.known, asked
+            self.known, self.older, new = {}, self.known, set(words)
         met = new.intersection(self.older)
         self.known.update(zip(met, map(self.older.__getitem__, met)))
-        self.encode(list(new - met))
-        tails = {b"": b"", b",": self.known[b","], b".": self.known[b"."]}
-        return [a + tails[b] if b else a for a, b in zip(map(self.known.__getitem__, cores), ends)]
+        new -= met
+        ends = {w for w in new if w[-1:] in (b",", b".") and len(w) > 1 and (97 <= w[-2] <= 122 or (w[-2] >= 128 and w[:-1].decode("utf-8", "replace")[-1].lower().isalpha()))}
+        cores = {w[:-1] for w in ends}
+        self.encode(list(((new - ends) | cores | {b",", b"."}).difference(self.known)))
+        tails = {44: self.known[b","], 46: self.known[b"."]}
+        self.known.update([(w, self.known[w[:-1]] + tails[w[-1]]) for w in ends])
+        return list(map(self.known.__getitem__, words))
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         """For each text its ids, as for words; null as empty."""
@@ -92,7 +91,8 @@ class WordTokens:
         coded = words.flatten().dictionary_encode()
         if not len(coded):
             return [b""] * len(texts)
-        found = self.of_words(utf8(coded.dictionary))
+        one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), "\n")  # no word has white space
+        found = self.of_words(utf8(one)[0].split(b"\n"))
         n, at = np.fromiter(map(len, found), np.int32, len(found)) // 4, np.asarray(coded.indices)
         flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n, dtype=np.int32) - n
         many = n[at]
@@ -202,7 +202,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
 
     An empty table gives an empty result. With with_ids the token ids come along; sequences() lays them out.
     """
-    n_tasks = max(1, -(-docs.count() // PIECES_PER_TASK))
+    # A token has a byte at least, so a text has no more pieces than this.
+    most = docs.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / capacity))).first()[0] or 0
+    n_tasks = max(1, -(-most // (PIECES_WITH_IDS_PER_TASK if with_ids else PIECES_PER_TASK)))
     return place(pieces(docs, tokenizer or tokenizer_path(), capacity, end_id, with_ids), capacity, n_tasks)
 
 
