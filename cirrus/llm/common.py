@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="cirrus-")
@@ -33,10 +37,27 @@ def scratch(spark: SparkSession, label: str) -> str:
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors cost nothing before it."""
     path = scratch(df.sparkSession, label)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def distilled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """durable(make(), label); the tables that make() wrote on the way are deleted after that."""
+    _open.append([])
+    try:
+        out = make()
+    finally:
+        spent = _open.pop()
+    kept = durable(out, label)
+    spark = out.sparkSession
+    for path in spent:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return kept
+
+
 def with_rid(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """The named columns and rid, a number for each row. It tells rows apart where doc_id is null or repeated.
 
@@ -167,3 +188,21 @@ def sifted(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(passes(sent.value, np.asarray(batch.column(key)))))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key isn't among keys (a column of that name, not null). Only rows that a sieve of keys lets through are shuffled."""
+    bits = sieve(keys)
+    if bits is None:
+        return rows.join(keys, key, "left_anti")
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(passes(sent.value, np.asarray(batch.column(key))) == wanted))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return part(False).unionByName(part(True).join(keys, key, "left_anti"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import durable, mix64, slices, utf8, whole_rows, with_rid
+from cirrus.llm.common import distilled, durable, mix64, sifted, slices, utf8, whole_rows, with_rid, without
 
 WORDS, BANDS, ROWS = 5, 48, 4
 REGISTERS = BANDS * ROWS
@@ -183,8 +183,9 @@ def link_labels(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """rid and label of representatives that are linked with another; reps: rid, n, registers; texts: rid, text."""
     banded = bands(reps)
     shared = durable(banded.groupBy("band").agg(F.min("rid").alias("leader"), F.count("*").alias("many")).where("many > 1").drop("many"), "bands")
-    met = durable(banded.join(shared, "band"), "met")
-    some = durable(texts.join(met.select("rid").distinct(), "rid", "left_semi"), "texts")
+    met = durable(sifted(banded, "band", shared.select("band")).join(shared, "band"), "met")
+    ids = durable(met.select("rid").distinct(), "rids")
+    some = durable(sifted(texts, "rid", ids).join(ids, "rid", "left_semi"), "texts")
     best = met.where("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("many")).groupBy("rid").agg(F.max(F.col("many") * F.lit(1 << 50) - F.col("leader")).alias("top"))
     star = met.where("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("many")).join(best, "rid").where(F.col("many") * F.lit(1 << 50) - F.col("leader") == F.col("top")).select(F.col("leader").alias("x"), F.col("rid").alias("y"))
     sure = durable(confirmed(star, some), "sure")
@@ -270,12 +271,16 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     Rows with one label hang together by links; component is the smallest id among them. Rows without words have labels of their own.
     """
+    return distilled(lambda: regrouped(docs), "groups")
+
+
+def regrouped(docs: DataFrame) -> DataFrame:
     keyed = with_rid(docs, "doc_id", "text").select("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     sketched = durable(sketches(keyed), "sketches")
     some = sketched.where("n > 0")
     classes = durable(some.groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "registers")
-    labels = link_labels(durable(reps, "reps"), keyed.select("rid", "text"))
+    labels = distilled(lambda: link_labels(durable(reps, "reps"), keyed.select("rid", "text")), "link-labels")
     named = durable(classes.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("digest", "least", F.coalesce("label", "rep").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     of_class = durable(named.join(least, "label").select("digest", "label", "component"), "components")
@@ -297,5 +302,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id (null last; of rows with one doc_id, the first)."""
-    best = grouped(docs).groupBy("label").agg(F.min_by("rid", F.struct("id", "rid")).alias("rid")).select("rid")
-    return whole_rows(docs).join(best, "rid", "left_semi").select("doc.*")
+    rows = grouped(docs)
+    best = rows.groupBy("label").agg(F.min_by("rid", F.struct("id", "rid")).alias("best"))
+    gone = durable(rows.join(best, "label").where("rid <> best").select("rid"), "gone")
+    return without(whole_rows(docs), "rid", gone).select("doc.*")
