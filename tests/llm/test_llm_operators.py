@@ -203,8 +203,77 @@ def test_html(spark, tmp_path):
 
 
 def test_common_subsequence():
-    assert [[1, 2, 3, 4][i] for i in html_text.common_subsequence([1, 2, 3, 4], [3, 1, 9, 2, 4])] == [1, 2, 4]
-    assert html_text.common_subsequence([], [1]) == []
+    from cirrus.llm.alignment import common_length, common_places
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        x, y = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in "xy")
+        places = common_places(x, y)
+        assert common_length(x, y) == plain(x, y) == len(places)
+        assert all(x[i] == y[j] for i, j in places) and all(a < c and b < d for (a, b), (c, d) in zip(places, places[1:]))
+    assert len(common_places([1] * 50_000, [2] + [1] * 40_000 + [3])) == 40_000
+
+
+def extracted(spark, path, pages):
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(path))
+    return {r.page_id: r.text for r in html_text.extract(spark.read.parquet(str(path))).collect()}
+
+
+def test_html_against_a_plain_differ(spark, tmp_path):
+    """Pages without marks of any kind: what the page before or after it, as its path says, doesn't share in order."""
+    rng = random.Random(6)
+    pages = []
+    for i in range(60):
+        template = [f"Menu {k}" for k in range(rng.randrange(2, 6))], [f"Foot {k}" for k in range(rng.randrange(1, 4))]
+        pages.append((i, f"http://h.example/{'ab'[i % 2]}/{i:03d}", template[0] + [f"Text {i} {k}" for k in range(rng.randrange(1, 5))] + template[1]))
+    order = sorted(pages, key=lambda p: p[1])
+    expected = {}
+    for k, (i, url, own) in enumerate(order):
+        near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+        other = max(near, key=lambda p: html_text.alike(url[16:], p[1][16:]))[2]
+        length = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+        for a in range(len(own) - 1, -1, -1):
+            for b in range(len(other) - 1, -1, -1):
+                length[a][b] = length[a + 1][b + 1] + 1 if own[a] == other[b] else max(length[a + 1][b], length[a][b + 1])
+        a, b, kept = 0, 0, []
+        while a < len(own):
+            if b < len(other) and own[a] == other[b]:
+                a, b = a + 1, b + 1
+            elif b < len(other) and length[a][b + 1] >= length[a + 1][b]:
+                b += 1
+            else:
+                kept.append(own[a])
+                a += 1
+        expected[i] = "\n\n".join(kept)
+    got = extracted(spark, tmp_path / "p", [(i, u, "".join(f"<div>{x}</div>" for x in own)) for i, u, own in pages])
+    assert got == expected
+
+
+def test_html_compares_with_another_article(spark, tmp_path):
+    """Neighbours that carry the same article are passed over."""
+    body = lambda a: f"<div>Menu</div><article><p>One {a}</p><p>Two {a}</p></article><div>Foot</div>"
+    run = [(i, "h", f"/{i}", [x.key() for x in found], [x.article for x in found]) for i, found in enumerate(html_text.lines(body(a)) for a in "aab")]
+    assert html_text.shared_lines(run, 0) == html_text.shared_lines(run, 1) == html_text.shared_lines(run, 2) == [0, 3]
+
+
+def test_html_equal_pages_have_equal_texts(spark, tmp_path):
+    page = lambda a: f"<html><body><div><p>About this site</p></div><div><p>Text {a}</p></div></body></html>"
+    pages = [(i, f"http://h.example/a/{i}", page(0)) for i in range(5)] + [(9, "http://h.example/z", page(1))]
+    assert extracted(spark, tmp_path / "p", pages) == {**dict.fromkeys(range(5), "Text 0"), 9: "Text 1"}
+
+
+def test_html_drops_nothing_of_an_article_by_parts_of_names(spark, tmp_path):
+    page = '<html><body><article><header><h1>Head</h1></header><p class="search-space">A <math><mi>x</mi></math> b</p><p id="related-work">C</p><div class="comments"><p>No</p></div><div class="ad">No</div></article></body></html>'
+    assert extracted(spark, tmp_path / "p", [(1, "http://h.example/a", page)]) == {1: "Head\n\nA x b\n\nC"}
 
 
 def test_decontamination(spark, docs, empty):
