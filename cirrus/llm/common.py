@@ -58,6 +58,12 @@ def distilled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     return kept
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most for the session, if it sets no size: an executor has them in the JVM and in Python, coming and going, for each core."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def with_rid(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """The named columns and rid, a number for each row. It tells rows apart where doc_id is null or repeated.
 
@@ -66,6 +72,7 @@ def with_rid(docs: DataFrame, *columns: str | Column) -> DataFrame:
     be; since executors come and go between the steps of an operator, that number is fixed here for the session, if it isn't set.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return docs.select(*columns, F.monotonically_increasing_id().alias("rid"))

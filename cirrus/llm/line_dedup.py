@@ -132,7 +132,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     document, and so do all rows whose doc_id is null (they rank last). A null or empty text is one empty line; a null text stays null
     in doc and is empty in text. Keys of fewer than ten code points stay.
     """
-    spark = docs.sparkSession
+    spark, identified = docs.sparkSession, with_rid(docs, "doc_id", "text")  # first, since it fixes how files are split
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (docs.count() * BITS_PER_DOCUMENT).bit_length()))
     sent = spark.sparkContext.broadcast(twice_seen(docs, bits))
 
@@ -145,7 +145,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             at = pa.array(row[some])
             yield pa.RecordBatch.from_arrays([pa.array(h[some, 0].view(np.int64)), pa.array(h[some, 1].view(np.int64)), batch.column("id").take(at), batch.column("rid").take(at)], names=["a", "b", "id", "rid"])
 
-    keyed = with_rid(docs, "doc_id", "text").select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "rid")
+    keyed = identified.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "rid")
     suspected = durable(keyed.mapInArrow(suspects, "a long, b long, id long, rid long"), "suspects")
     first = suspected.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     repeated = durable(first, "repeated-lines")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cirrus.llm.common import scratch, slices, utf8
@@ -88,7 +89,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     """Stores each document (doc_id, text) as a member named by its doc_id; returns the members and their bytes.
 
     folder is a URI that driver and executors share. An archive appears under its name when it is whole; a task that runs again
-    replaces its archives by equal ones. Null texts are stored as empty; a null doc_id makes an empty name; names may repeat.
+    replaces its archives by equal ones. Null texts are stored as empty; a member is named id= and its doc_id, or none; names may repeat.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         for batch in slices(batches, "text", BATCH_BYTES):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
                 media = encode(text)
-                name = zipfile.ZipInfo("" if doc_id is None else str(doc_id), (1980, 1, 1, 0, 0, 0))
+                name = zipfile.ZipInfo("none" if doc_id is None else f"id={doc_id}", (1980, 1, 1, 0, 0, 0))
                 with archive.open(name, "w") as member:
                     member.write(media)
                 members, size = members + 1, size + len(media)
@@ -167,7 +168,18 @@ class ArchiveMediaReader(DataSourceReader):
                 if head[:4] != b"PK\3\4" or len(media) != info.file_size or zlib.crc32(media) != info.CRC:
                     raise OSError(f"{path}: the member at {info.header_offset} is damaged")
                 return media
-            except OSError:
+            except (OSError, struct.error):  # a short read may end inside the header
+                if not left:
+                    raise
+        raise ValueError("attempts has to be positive")
+
+    def directory(self, system: fs.FileSystem, path: str) -> list[zipfile.ZipInfo]:
+        """The members of an archive, from its end; tried as often as a member is."""
+        for left in range(self.attempts - 1, -1, -1):
+            try:
+                with system.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
+                    return archive.infolist()
+            except (OSError, struct.error, zipfile.BadZipFile):
                 if not left:
                     raise
         raise ValueError("attempts has to be positive")
@@ -177,8 +189,7 @@ class ArchiveMediaReader(DataSourceReader):
         if not partition.size:
             return
         system, _ = opened(self.folder)
-        with system.open_input_file(partition.archive) as file, zipfile.ZipFile(file) as archive:
-            members = [m for m in archive.infolist() if partition.first <= m.header_offset < partition.last]
+        members = [m for m in self.directory(system, partition.archive) if partition.first <= m.header_offset < partition.last]
         rows, size, short = [], 0, os.path.basename(partition.archive)
         for m in members:
             media = self.fetch(system, partition.archive, m)
@@ -197,25 +208,32 @@ def read_archives(spark: SparkSession, folder: str, **options: object) -> DataFr
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """What is in each stored payload, from the bytes read back: one row for each member."""
+    """What is in each stored payload, from the bytes read back: one row for each member, with its doc_id as text (null where it was null).
+
+    Equal payloads have equal values; an empty text is one row of zero bytes. No members, no rows; a damaged one fails the job.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for member, m in zip(batch.column("member").to_pylist(), batch.column("media").to_pylist()):
                 n_bytes, samples = decode(m)
-                rows.append((int(member) if member else None, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), features(samples)))
-            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
+                rows.append((member[3:] if member.startswith("id=") else None, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), features(samples)))
+            kinds = [pa.string()] + [pa.int64()] * 2 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return media.mapInArrow(look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(look, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Stores all documents in archives of the shared folder and describes what is read back. An empty table gives an empty result."""
+    """Stores all documents in archives of the shared folder and describes what is read back; doc_id has the type it had.
+
+    Rows that repeat, and rows without an id, are members like others. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     folder = scratch(spark, "media")
     write_archives(docs, folder)
-    return describe(read_archives(spark, folder))
+    found = describe(read_archives(spark, folder))
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import slices, utf8
+from cirrus.llm.common import slices, small_batches, utf8
 
 #: Pieces that one task packs: their lengths take a few megabytes. With ids, 4096 for a piece at most, they are up to 64 MB.
 PIECES_PER_TASK, PIECES_WITH_IDS_PER_TASK = 50_000, 4_000
@@ -121,6 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     A null or empty text has the end id alone. Rows that repeat, and rows whose doc_id is null, are documents like others.
     """
+    small_batches(docs.sparkSession)
     columns = "doc_id {}, piece int, start long, length long, ids_crc32 long".format(docs.schema["doc_id"].dataType.simpleString())
     end = np.array([end_id], "<u4").tobytes()
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import column, mix64, slices, utf8
+from cirrus.llm.common import column, mix64, slices, small_batches, utf8
 from cirrus.llm.decontamination import WORD_BYTES
 
 #: Labelled documents of each class that training takes at most (those with the smallest hashes), and their largest size.
@@ -167,18 +167,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the labels outside the held-out fifth. Labels that are null are left out; a document with several is toxic if one is."""
+    """A model of the labels outside the held-out fifth. Labels that are null are left out; a document with several is toxic if one is, and of
+    several texts with one id the least is learnt from. Without labels of both classes, all scores are the share of toxic ones."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(SAMPLE_PER_CLASS) for k in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * SAMPLE_PER_CLASS rows at most
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(sample, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted(texts.collect(), key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (any columns, with text) as column doc, with score: how likely the label 1 is. Null and empty texts get the sample's share."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.lit(0.0).alias("score"))
 
@@ -190,6 +192,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """For each document doc_id, held_out, score and predicted."""
+    """For each document doc_id, held_out, score and predicted. Rows that repeat are scored alike; a null id is held out; an empty table gives an empty result."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select(F.col("doc.doc_id").alias("doc_id"), held_out(F.col("doc.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cirrus.llm import chaining, decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
 from llm_helpers import corpus, frame
@@ -98,6 +99,16 @@ def test_media(docs, empty, spark, tmp_path):
         expected[doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert got == expected
     assert media.round_trip(empty).count() == 0
+    stored = collections.defaultdict(set)
+    for r in media.round_trip(docs).collect():
+        stored[r.payload_sha256, r.n_bytes].add((r.media_bytes, r.media_sha256, r.feature))
+    assert all(len(v) == 1 for v in stored.values())
+    by_text = {hashlib.sha256(media.payload_of((t or "").encode())).hexdigest(): (t or "").encode() for _, t in corpus()}
+    for (sha, n_bytes), v in stored.items():
+        made = media.encode(by_text[sha][:n_bytes].ljust(n_bytes, b"\0"))
+        assert v == {(len(made), hashlib.sha256(made).hexdigest(), media.features(media.payload_of(by_text[sha])))}
+    named = docs.select(F.concat(F.lit("n"), "doc_id").alias("doc_id"), "text")
+    assert {r.doc_id for r in media.round_trip(named).collect()} == {None if i is None else f"n{i}" for i, _ in corpus()}
 
 
 def test_media_retries_a_member_alone(tmp_path, docs):
@@ -120,6 +131,22 @@ def test_media_retries_a_member_alone(tmp_path, docs):
     with system.open_input_file(parts[0].archive) as file, media.zipfile.ZipFile(file) as archive:
         info = archive.infolist()[0]
     assert media.decode(reader.fetch(Flaky(), parts[0].archive, info))[0] >= 0
+    class Short:
+        """The first file ends inside the header."""
+
+        failures = 1
+
+        def open_input_file(self, path):
+            import io
+
+            if Short.failures:
+                Short.failures -= 1
+                return io.BytesIO(b"PK\3\4")
+            return system.open_input_file(path)
+
+    assert media.decode(reader.fetch(Short(), parts[0].archive, info))[0] >= 0
+    Short.failures = 2
+    assert len(reader.directory(Short(), parts[0].archive)) > 0
     Flaky.failures = 3
     with pytest.raises(OSError):
         reader.fetch(Flaky(), parts[0].archive, info)
