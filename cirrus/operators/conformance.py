@@ -33,14 +33,23 @@ def over_frame_limits(log: DataFrame) -> DataFrame:
     return at_levels(log).groupBy("level").agg(over("num_proj", "proj"), over("num_eom", "eom"), over("num_raw", "raw"))
 
 
+def numbered(log: DataFrame, slab: int = 4096) -> DataFrame:
+    """log with nth, the place of each row in the order of frame_id, from 0: places inside slabs of frame numbers, after what the slabs before hold."""
+    placed = log.withColumn("slab", F.floor(F.col("frame_id") / slab).cast("long"))
+    slabs = placed.groupBy("slab").count()
+    before = slabs.select("slab", (F.sum("count").over(Window.orderBy("slab")) - F.col("count")).alias("before"))
+    inside = placed.withColumn("inside", F.row_number().over(Window.partitionBy("slab").orderBy("frame_id")))
+    return inside.join(before, "slab").withColumn("nth", F.col("before") + F.col("inside") - 1).drop("slab", "before", "inside")
+
+
 def sliding_sums(log: DataFrame, fps: int = 30, column: str = "num_proj") -> DataFrame:
-    """Sum of a column over each frame and the fps - 1 before it, for frames that have so many before them.
+    """Sum of a column over each frame and the fps - 1 recorded before it, for frames that have so many before them.
 
-    Frames are numbers, so runs of fps frames are dealt to tasks by number, each with the run before it, and summed there.
+    Frames are counted first, since numbers may be missing; runs of fps frames are dealt to tasks, each with the run before it, and summed there.
     """
-    run = F.floor(F.col("frame_id") / fps).cast("long")
-    dealt = log.select("frame_id", F.col(column).alias("n"), run.alias("own"), F.explode(F.array(run, run + 1)).alias("run"))
-    window = Window.partitionBy("run").orderBy("frame_id").rowsBetween(1 - fps, 0)
+    run = F.floor(F.col("nth") / fps).cast("long")
+    dealt = numbered(log.select("frame_id", F.col(column).alias("n"))).select("frame_id", "nth", "n", run.alias("own"), F.explode(F.array(run, run + 1)).alias("run"))
+    window = Window.partitionBy("run").orderBy("nth").rowsBetween(1 - fps, 0)
     summed = dealt.select("*", F.sum("n").over(window).alias("total"), F.count("*").over(window).alias("many"))
     return summed.where((F.col("own") == F.col("run")) & (F.col("many") == fps)).select("frame_id", "total")
 

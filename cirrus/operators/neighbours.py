@@ -34,22 +34,32 @@ def within(a: DataFrame, b: DataFrame, squared_radius: int) -> DataFrame:
     return _pairs(a, b, edge).where(F.col("d2") <= squared_radius)
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int = 1, edge: int = 2) -> DataFrame:
+def _best(pairs: DataFrame, k: int, ties: bool) -> DataFrame:
+    """The k nearest of each point's pairs, with rank. The nearest alone is an aggregate, which combines before the shuffle."""
+    if k == 1 and not ties:
+        least = pairs.groupBy("frame", "pid").agg(F.min(F.struct("d2", "nn_pid")).alias("n"))
+        return least.select("frame", "pid", "n.nn_pid", "n.d2", F.lit(1).cast("long").alias("rank"))
+    each = Window.partitionBy("frame", "pid")
+    rank = F.rank().over(each.orderBy("d2")) if ties else F.row_number().over(each.orderBy("d2", "nn_pid"))
+    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def nearest(a: DataFrame, b: DataFrame, k: int = 1, edge: int = 2, ties: bool = False) -> DataFrame:
     """The k nearest points of b for each point of a: frame, pid, rank (from 1), nn_pid, d2; equal distances by smaller pid.
 
-    Where a frame of b has fewer than k points, all of them come.
+    With ties, all points as near as the k-th come, and equal distances have equal ranks. Where a frame of b has fewer than k points, all of
+    them come.
     """
     spread = b.groupBy("frame").agg(F.count("*").alias("has"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     reach = a.join(spread, "frame").agg(F.max(F.greatest(*[F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))) for c in "xyz"]))).first()[0]
     done, open_ = [], a.select("frame", "pid", "x", "y", "z")
-    order = Window.partitionBy("frame", "pid").orderBy("d2", "nn_pid")
     while True:
-        near = _pairs(open_, b, edge).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+        near = _best(_pairs(open_, b, edge), k, ties)
         if reach is None or edge >= reach:
             done.append(near)
             break
         near = cut(near.where(F.col("d2") <= edge * edge))
-        full = near.groupBy("frame", "pid").count().where(F.col("count") == k).select("frame", "pid")
+        full = near.groupBy("frame", "pid").count().where(F.col("count") >= k).select("frame", "pid")
         done.append(near.join(full, ["frame", "pid"], "left_semi"))
         open_ = cut(open_.join(full, ["frame", "pid"], "left_anti"))
         if open_.isEmpty():
@@ -62,14 +72,5 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, edge: int = 2) -> DataFrame:
 
 
 def tied(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All points of b at the least distance from each point of a: frame, pid, nn_pid, d2.
-
-    The radius join runs once for each different least distance, of which small whole-number grids have few.
-    """
-    best = cut(nearest(a, b).select("frame", "pid", "d2"))
-    out = None
-    for (d2,) in best.select("d2").distinct().orderBy("d2").collect():
-        some = a.join(best.where(F.col("d2") == d2), ["frame", "pid"])
-        pairs = within(some, b, int(d2)).where(F.col("d2") == d2)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else best.select("frame", "pid", F.col("pid").alias("nn_pid"), "d2")
+    """All points of b at the least distance from each point of a: frame, pid, nn_pid, d2. They lie in the same cells as the nearest one."""
+    return nearest(a, b, ties=True).select("frame", "pid", "nn_pid", "d2")

@@ -56,7 +56,7 @@ def frame_md5(spark: SparkSession, sf: str) -> DataFrame:
     return checksums.frame_md5(table(spark, sf, "cloud_rec"), canonical=True)
 
 
-@query("F35_crc16")
+@query("F35_crc16", sql("SELECT row_idx, k, CAST(list_reduce(list_prepend(7439, list_transform(string_split(v, ''), lambda x: ascii(x))), lambda c, b: xor(xor((c << 8) & 65535, (xor((xor(c >> 8, b) & 255), (xor(c >> 8, b) & 255) >> 4) << 12) & 65535), xor((xor((xor(c >> 8, b) & 255), (xor(c >> 8, b) & 255) >> 4) << 5) & 65535, xor((xor(c >> 8, b) & 255), (xor(c >> 8, b) & 255) >> 4)))) AS INTEGER) AS crc16 FROM enc_log", "enc_log"))
 def crc16(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "enc_log").select("row_idx", "k", checksums.crc16(F.col("v")).alias("crc16"))
 

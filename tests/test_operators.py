@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirrus.functions import checksums
-from cirrus.operators import neighbours, normals, packing, segmentation, transfer
+from cirrus.operators import conformance, neighbours, normals, packing, segmentation, transfer
 from cirrus.sources import ply, rawvideo
 
 SF = "/root/testdata/sf0.001"
@@ -113,9 +113,31 @@ def test_matching_is_greedy_in_order(spark):
     assert sorted(tuple(r) for r in packing.matched(before, now).collect()) == [(1, 0, 0), (1, 1, None), (1, 2, 2)]
 
 
+def test_crc16_is_the_bitwise_one(spark):
+    """Bits shifted in from the left, two zero bytes after the text."""
+    texts = ["", "a", "ab", "0123456789" * 7, "zz"]
+    expected = []
+    for t in texts:
+        c = 0xFFFF
+        for byte in t.encode() + b"\0\0":
+            for k in range(7, -1, -1):
+                c = ((c << 1 | byte >> k & 1) & 0xFFFF) ^ (0x1021 if c & 0x8000 else 0)
+        expected.append(c)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string").orderBy("i")
+    assert [r[0] for r in df.select(checksums.crc16(F.col("v"))).collect()] == expected
+
+
+def test_rate_windows_over_gaps_in_frame_numbers(spark):
+    rows = [(7 * k + (k % 3) * 5000, k) for k in range(100)]
+    df = spark.createDataFrame(rows, "frame_id int, num_proj long")
+    got = {r.frame_id: r.total for r in conformance.sliding_sums(df).collect()}
+    order = sorted(rows)
+    assert got == {order[k][0]: sum(n for _, n in order[k - 29 : k + 1]) for k in range(29, 100)}
+
+
 def test_crc16_and_frame_md5(spark):
     df = spark.createDataFrame([("123456789",), (None,), ("",)], "v string")
-    assert [r[0] for r in df.select(checksums.crc16(F.col("v"))).collect()] == [0x29B1, None, 0xFFFF]
+    assert [r[0] for r in df.select(checksums.crc16(F.col("v"))).collect()] == [0xE5CC, None, 0x1D0F]
     rows = [(0, 2, 1, 2, 3), (0, 1, 4, 5, 6)]
     data = struct.pack("<6h", 4, 5, 6, 1, 2, 3) + bytes([1, 2, 3] * 2)
     assert checksums.frame_md5(cloud(spark, rows)).first().md5 == hashlib.md5(data).hexdigest()
