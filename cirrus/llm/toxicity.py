@@ -22,7 +22,7 @@ from cirrus.llm.common import column, mix64, slices, small_batches, utf8
 from cirrus.llm.decontamination import WORD_BYTES
 
 #: Labelled documents of each class that training takes at most (those with the smallest hashes), and their largest size.
-SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1200, 1 << 15
+SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1500, 1 << 15
 BUCKETS, WIDTH, GRAMS = 1 << 18, 4, (3, 4, 5)
 #: Words of a window, and from one window's start to the next.
 WINDOW, STEP = 48, 24
@@ -59,19 +59,21 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(got)[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(of_all, minlength=len(words))
 
 
-def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Different words of a batch of texts, the place among them of each text's different words in order, and where texts begin and end.
-
-    A word counts where it first occurs in a text, so that endless repeats of one word can't fill a window.
-    """
+def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Different words of a batch of texts, the place among them of each text's words in order, where texts begin and end, and for each word
+    where the same word stood before in its text (-1: nowhere)."""
     raw = utf8(texts)
     words = pc.ascii_split_whitespace(pa.array([t.translate(WORD_BYTES).strip() for t in raw], pa.binary()).cast(pa.large_string()))
     flat = words.flatten()
     coded = flat.dictionary_encode()
     edge = np.asarray(words.offsets).astype(np.int64)
     at, doc = np.asarray(coded.indices).astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(edge))
-    first = np.sort(np.unique(doc * (len(coded.dictionary) + 1) + at, return_index=True)[1])
-    return utf8(coded.dictionary), at[first], np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(texts)))])
+    key = doc * (len(coded.dictionary) + 1) + at
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(len(at), -1)
+    before[order[again + 1]] = order[again]
+    return utf8(coded.dictionary), at, edge - edge[0], before
 
 
 def windows(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +85,15 @@ def windows(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, first, np.minimum(first + WINDOW, edge[1:][doc])
 
 
+def members(lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bag and place of the words from lo to hi. A word counts once a bag, so that endless repeats of one word can't fill it."""
+    length = hi - lo
+    row = np.repeat(np.arange(len(lo)), length)
+    place = np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())
+    new = before[place] < lo[row]
+    return row[new], place[new]
+
+
 @dataclass
 class Model:
     """A number for each subword bucket, and the log-odds of a bag before its words are seen; prior: of an empty text."""
@@ -92,14 +103,15 @@ class Model:
     prior: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        words, at, edge = split(texts)
+        words, at, edge, before = split(texts)
         odds = np.full(len(texts), self.prior)
         if words and len(at):
             ids, n = subwords(words)
             total = np.add.reduceat(self.along[ids], np.cumsum(n) - n)
-            sums, counts = (np.concatenate([[0], np.cumsum(x[at])]) for x in (total, n))
             doc, a, b = windows(edge)
-            z = (sums[b] - sums[a]) / np.maximum(PADDED, counts[b] - counts[a]) + self.bias
+            row, place = members(a, b, before)
+            sums, counts = (np.bincount(row, x[at[place]], len(a)) for x in (total, n))
+            z = sums / np.maximum(PADDED, counts) + self.bias
             start = np.flatnonzero(np.diff(doc, prepend=-1))
             odds[doc[start]] = np.maximum.reduceat(z, start)
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
@@ -109,7 +121,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Model:
     """Joint training by Adagrad. Without examples of both classes, the model is the share of toxic ones."""
     share = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3))
     prior = float(np.log(share / (1 - share)))
-    words, at, edge = split(pa.array(texts, pa.string()))
+    words, at, edge, before = split(pa.array(texts, pa.string()))
     if len(set(toxic.tolist())) < 2 or not words:
         return Model(np.zeros(BUCKETS), prior, prior)
     ids, n = subwords(words)
@@ -119,13 +131,15 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Model:
     emb, soft, bias = rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 0.5, (2, WIDTH)), np.zeros(2)
     seen = [np.full(x.shape, 1e-8) for x in (emb, soft, bias)]
     # To begin with, the first dimension of a subword is how much oftener than others it stands in toxic documents (log-odds, shrunk).
-    is_toxic = toxic[np.repeat(np.arange(len(texts)), np.diff(edge))]
-    seen_in = [np.bincount(ids, np.repeat(np.bincount(at, is_toxic == k, len(words)), n), len(used)) for k in (0, 1)]
+    once = before < 0
+    is_toxic = toxic[np.repeat(np.arange(len(texts)), np.diff(edge))][once]
+    seen_in = [np.bincount(ids, np.repeat(np.bincount(at[once], is_toxic == k, len(words)), n), len(used)) for k in (0, 1)]
     part = seen_in[1].sum() / max(1.0, seen_in[0].sum() + seen_in[1].sum())
     emb[:, 0] = np.log((seen_in[1] + SHRINK * part) / (seen_in[0] + SHRINK * (1 - part))) - np.log(part / (1 - part))
     soft[:, 0] = -1, 1
-    counts = np.concatenate([[0], np.cumsum(n[at])])
     doc, a, b = windows(edge)
+    of_window = members(a, b, before)
+    window_size = np.maximum(PADDED, np.bincount(of_window[0], n[at[of_window[1]]], len(a)))
     start = np.flatnonzero(np.diff(doc, prepend=-1))
     has = doc[start]
     y = toxic[has].astype(float)
@@ -134,23 +148,22 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Model:
         if epoch < EPOCHS_WHOLE:
             lo, hi = edge[:-1][has], edge[1:][has]
         else:
-            sums = np.concatenate([[0], np.cumsum(np.add.reduceat((emb @ (soft[1] - soft[0]))[ids], first)[at])])
-            z = (sums[b] - sums[a]) / np.maximum(PADDED, counts[b] - counts[a])
+            by_word = np.add.reduceat((emb @ (soft[1] - soft[0]))[ids], first)
+            z = np.bincount(of_window[0], by_word[at[of_window[1]]], len(a)) / window_size
             top = np.maximum.reduceat(z, start)
             best = np.flatnonzero(z == np.repeat(top, np.diff(np.append(start, len(doc)))))
             best = best[np.unique(doc[best], return_index=True)[1]]
             lo, hi = a[best], b[best]
-        size = np.maximum(PADDED, counts[hi] - counts[lo])
-        bag = np.stack([(c[hi] - c[lo]) / size for c in (np.concatenate([[0], np.cumsum(np.add.reduceat(emb[:, k][ids], first)[at])]) for k in range(WIDTH))], 1)
+        row, place = members(lo, hi, before)
+        word = at[place]
+        size = np.maximum(PADDED, np.bincount(row, n[word], len(lo)))
+        bag = np.stack([np.bincount(row, np.add.reduceat(emb[:, k][ids], first)[word], len(lo)) / size for k in range(WIDTH)], 1)
         logits = bag @ soft.T + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         g = (p - np.stack([1 - y, y], 1)) * weight[:, None]
         # The gradient of a subword: of each bag that holds it, its count there over the bag's size times the bag's own gradient.
         back = g @ soft / size[:, None]
-        length = hi - lo
-        row = np.repeat(np.arange(len(lo)), length)
-        word = at[np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())]
         by_word = np.stack([np.bincount(word, back[row, k], len(words)) for k in range(WIDTH)], 1)
         grads = np.stack([np.bincount(ids, np.repeat(by_word[:, k], n), len(used)) for k in range(WIDTH)], 1), g.T @ bag, g.sum(axis=0)
         for x, s, d in zip((emb, soft, bias), seen, grads):

@@ -429,6 +429,31 @@ def test_toxicity(spark, tmp_path):
     assert toxicity.digest(frame(spark, []), marked).count() == 0
 
 
+def test_toxic_passage_of_words_seen_before():
+    """A dense insult counts where each of its words has stood before, far apart in clean text."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    bad = [f"vile{k}" for k in range(12)]
+    clean = lambda n: [f"w{rng.randrange(300)}x" for _ in range(n)]
+    texts, toxic = [], []
+    for i in range(600):
+        w = clean(100)
+        if i % 3 == 0:
+            w[40:40] = rng.sample(bad, 8)
+        elif i % 3 == 1:
+            w[40] = rng.choice(bad)
+        texts.append(" ".join(w))
+        toxic.append(int(i % 3 == 0))
+    model = toxicity.fit(texts, np.array(toxic))
+    apart = [x for b in bad for x in [*clean(120), b]]
+    scores = model.score(pa.array([" ".join(apart), " ".join(apart + clean(120) + bad), " ".join(clean(50)), " ".join(["vile1"] + ["be"] * 40), "vile1 be"]))
+    assert (scores[:3] >= 0.5).tolist() == [False, True, False]
+    assert abs(scores[3] - scores[4]) < 1e-9  # a word's repeats weigh nothing
+
+
 def test_chaining(docs, empty, spark):
     split = lambda t: (t or "").encode().translate(decontamination.WORD_BYTES).split()
     runs = collections.defaultdict(set)
