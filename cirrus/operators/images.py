@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cirrus.plans.lineage import cut
+
 
 def cells(pixels: DataFrame, size: int) -> list:
     return [F.floor(F.col(c) / size).cast("int").alias(c) for c in "xy"]
@@ -83,3 +85,46 @@ def entropy(values: DataFrame, column: str) -> DataFrame:
     total = counts.groupBy("frame").agg(F.sum("count").alias("total"))
     p = F.col("count") / F.col("total")
     return counts.join(total, "frame").groupBy("frame").agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy"))
+
+
+CHANNELS = ("c0", "c1", "c2")
+
+
+def pulled(pixels: DataFrame) -> DataFrame:
+    """The layer of half size: whole means (cut off) of the occupied pixels of 2 by 2 places, which are occupied themselves."""
+    return pixels.where("occ = 1").groupBy("frame", *cells(pixels, 2)).agg(*[F.expr(f"CAST(sum({c}) div count(*) AS INT)").alias(c) for c in CHANNELS], F.lit(1).alias("occ"))
+
+
+def filled(pixels: DataFrame, coarse: DataFrame, size: DataFrame) -> DataFrame:
+    """All places of a frame's canvas (size: frame, w, h); an empty one is the mean of the four places of the full layer coarse that lie nearest,
+    weighted 144, 48, 48 and 16, cut off. Places outside the layer have no weight."""
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = pixels.where("occ = 1").select("frame", "x", "y", *CHANNELS)
+    empty = size.withColumn("x", span("w")).withColumn("y", span("h")).join(full.select("frame", "x", "y"), ["frame", "x", "y"], "left_anti")
+    side = lambda c: F.floor(F.col(c) / 2) + F.when(F.col(c) % 2 == 0, -1).otherwise(1)
+    own = lambda c: F.floor(F.col(c) / 2)
+    four = [F.struct(a("x").cast("int").alias("cx"), b("y").cast("int").alias("cy"), F.lit(w).alias("weight")) for a, b, w in ((own, own, 144), (side, own, 48), (own, side, 48), (side, side, 16))]
+    asked = empty.select("frame", "x", "y", F.inline(F.array(*four)))
+    met = asked.join(coarse.select("frame", F.col("x").alias("cx"), F.col("y").alias("cy"), *CHANNELS), ["frame", "cx", "cy"])
+    means = met.groupBy("frame", "x", "y").agg(*[F.expr(f"CAST(sum({c} * weight) div sum(weight) AS INT)").alias(c) for c in CHANNELS])
+    return full.unionByName(means)
+
+
+def push_pull(pixels: DataFrame) -> DataFrame:
+    """Every place of a frame's canvas filled from the pyramid of its occupied pixels, without smoothing. Frames without one have no rows.
+
+    The pyramid has as many layers as halvings of the widest canvas; the layers are written once each, since filling reads them again.
+    """
+    bounds = pixels.groupBy("frame").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.max("occ").alias("any")).where("any = 1").drop("any")
+    widest = bounds.agg(F.max(F.greatest("w", "h"))).first()[0]
+    if widest is None:
+        return pixels.select("frame", "x", "y", *CHANNELS).limit(0)
+    depth = (int(widest) - 1).bit_length()
+    layers, sizes = [pixels], [bounds]
+    for _ in range(depth):
+        layers.append(cut(pulled(layers[-1])))
+        sizes.append(sizes[-1].select("frame", *[F.floor((F.col(c) + 1) / 2).cast("int").alias(c) for c in "wh"]))
+    out = layers[-1].select("frame", "x", "y", *CHANNELS)
+    for layer, size in zip(layers[-2::-1], sizes[-2::-1]):
+        out = cut(filled(layer, out, size))
+    return out

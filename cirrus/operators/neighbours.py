@@ -34,6 +34,11 @@ def within(a: DataFrame, b: DataFrame, squared_radius: int) -> DataFrame:
     return _pairs(a, b, edge).where(F.col("d2") <= squared_radius)
 
 
+def within_first(a: DataFrame, b: DataFrame, squared_radius: int, k: int) -> DataFrame:
+    """within(), but of each point's pairs only the k nearest, with rank from 1; equal distances by smaller pid."""
+    return _best(within(a, b, squared_radius), k, False)
+
+
 def _best(pairs: DataFrame, k: int, ties: bool) -> DataFrame:
     """The k nearest of each point's pairs, with rank. The nearest alone is an aggregate, which combines before the shuffle."""
     if k == 1 and not ties:

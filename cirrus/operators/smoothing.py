@@ -13,8 +13,8 @@ def cell_means(points: DataFrame, edge: int) -> DataFrame:
     return points.groupBy("frame", *cells).agg(F.count("*").alias("n"), *sums, (F.max("patch") > F.min("patch")).alias("mixed"))
 
 
-def grid_centroids(points: DataFrame, edge: int) -> DataFrame:
-    """The mean of the up to eight cells around each point, weighted by how near their centres are, where patches meet.
+def weighted_centroids(points: DataFrame, edge: int) -> DataFrame:
+    """Mean (cx, cy, cz) of the up to eight cells around each point, weighted by how near their centres are, and weight w, where patches meet.
 
     A point lies between two cells on each axis: the weights are its distances, in units of the edge, from the farther cell.
     """
@@ -29,4 +29,58 @@ def grid_centroids(points: DataFrame, edge: int) -> DataFrame:
     both = rows.join(means, ["frame", "kx", "ky", "kz"]).withColumn("w", weight)
     moved = [F.sum(F.col("w") * F.col(f"s{c}") / F.col("n")).alias(f"t{c}") for c in "xyz"]
     out = both.groupBy("frame", "pid").agg(F.sum("w").alias("w"), F.bool_or("mixed").alias("mixed"), *moved)
-    return out.where("mixed and w > 0").select("frame", "pid", *[F.round(F.col(f"t{c}") / F.col("w"), 4).alias(f"c{c}") for c in "xyz"])
+    return out.where("mixed and w > 0").select("frame", "pid", "w", *[(F.col(f"t{c}") / F.col("w")).alias(f"c{c}") for c in "xyz"])
+
+
+def grid_centroids(points: DataFrame, edge: int) -> DataFrame:
+    """weighted_centroids() to four digits."""
+    return weighted_centroids(points, edge).select("frame", "pid", *[F.round(f"c{c}", 4).alias(f"c{c}") for c in "xyz"])
+
+
+def grid_smoothed(points: DataFrame, edge: int, threshold: int) -> DataFrame:
+    """All points; one whose centroid is far moves to it (rounded) and gets the type 3, others keep place and type 0.
+
+    Far: n times the squared distance plus 0.5 is at least twice the larger of threshold and n, with n the points the centroid stands for.
+    """
+    found = weighted_centroids(points, edge).withColumn("n", F.floor(F.col("w") / edge**3))
+    both = points.select("frame", "pid", "x", "y", "z").join(found, ["frame", "pid"], "left")
+    d2 = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
+    far = (F.col("n") > 0) & (F.round(d2 * F.col("n"), 6) + 0.5 >= 2 * F.greatest(F.lit(threshold), F.col("n")))
+    return both.select("frame", "pid", *[F.when(far, F.floor(F.round(f"c{c}", 6) + 0.5).cast("int")).otherwise(F.col(c)).alias(c) for c in "xyz"], F.when(far, 3).otherwise(0).alias("type"))
+
+
+def colour_cells(points: DataFrame, edge: int) -> DataFrame:
+    """For each cell: points, mean colour (c0 is luma), how far mean and median luma differ, and whether several patches meet in it."""
+    at = [F.floor(F.col(c) / edge).cast("int").alias(f"k{c}") for c in "xyz"]
+    means = [F.avg(c).alias(f"m{c}") for c in ("c0", "c1", "c2")]
+    return points.groupBy("frame", *at).agg(F.count("*").alias("n"), *means, F.abs(F.avg("c0") - F.median("c0")).alias("uneven"), (F.max("patch") > F.min("patch")).alias("mixed"))
+
+
+def colour_smoothed(points: DataFrame, edge: int, uneven: float, differ: float, threshold: float) -> DataFrame:
+    """All points (frame, pid, place, patch, c0 to c2) with their colours; where patches meet around a point, a colour may give way to a mean.
+
+    The mean is that of the eight cells around, weighted by nearness. A cell that is empty, whose mean and median luma differ by more than
+    uneven, or whose luma is further than differ from that of the first cell, counts with the point's own colour; where the first
+    cell is uneven, the point keeps its colour. The mean is taken where its luma differs by threshold or more (in units of 25.6).
+    """
+    channels = ("c0", "c1", "c2")
+    half = edge // 2
+    low = lambda c: (F.floor(F.col(c) / edge) - (F.col(c) % edge < half).cast("int")).cast("int")
+    own = points.select("frame", "pid", "x", "y", "z", *channels, *[low(c).alias(f"l{c}") for c in "xyz"])
+    stats = colour_cells(points, edge)
+    first = stats.select("frame", *[F.col(f"k{c}").alias(f"l{c}") for c in "xyz"], F.col("mc0").alias("y0"), ((F.col("n") > 1) & (F.col("uneven") > uneven)).alias("rough"))
+    rows = own.join(first, ["frame", "lx", "ly", "lz"], "left").withColumn("y0", F.coalesce("y0", "c0"))
+    for c in "xyz":
+        rows = rows.withColumn(f"o{c}", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(f"k{c}", F.col(f"l{c}") + F.col(f"o{c}"))
+    met = rows.join(stats.withColumnRenamed("mixed", "meets"), ["frame", "kx", "ky", "kz"], "left")
+    along = lambda c: (F.col(c) - F.col(f"l{c}") * edge - half) * 2 + 1
+    part = lambda c: F.when(F.col(f"o{c}") == 0, 2 * edge - along(c)).otherwise(along(c))
+    weight = part("x") * part("y") * part("z")
+    at_first = F.col("ox") + F.col("oy") + F.col("oz") == 0
+    trusted = F.col("n").isNotNull() & (at_first | ((F.abs(F.col("y0") - F.col("mc0")) <= differ) & ((F.col("n") == 1) | (F.col("uneven") <= uneven))))
+    sums = [F.sum(weight * F.when(trusted, F.col(f"m{c}")).otherwise(F.col(c))).alias(f"t{c}") for c in channels]
+    keep = [F.first(c).alias(c) for c in channels]
+    out = met.groupBy("frame", "pid").agg(*keep, *sums, F.coalesce(F.bool_or("meets"), F.lit(False)).alias("meets"), F.coalesce(F.bool_or("rough"), F.lit(False)).alias("rough"))
+    new = [F.floor(F.round(F.col(f"t{c}") / (2 * edge) ** 3, 6) + 0.5).cast("int") for c in channels]
+    moved = F.col("meets") & ~F.col("rough") & (F.abs(new[0] - F.col("c0")) * 10.0 / 256.0 >= threshold)
+    return out.select("frame", "pid", *[F.when(moved, n).otherwise(F.col(c)).alias(c) for n, c in zip(new, channels)], moved.alias("moved"))

@@ -120,15 +120,6 @@ def interleaved_maps(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pixels").select("frame", "x", "y", F.when((F.col("x") + F.col("y")) % 2 == 0, F.col("d0")).otherwise(F.col("d1")).alias("depth"))
 
 
-@query("I46_pulled_pixels", sql("SELECT p.frame, p.x, p.y, CASE WHEN p.occ = 1 THEN CAST(p.c0 AS DOUBLE) ELSE m.c0 END AS c0 FROM pixels p LEFT JOIN (SELECT frame, x // 2 AS x, y // 2 AS y, round(avg(c0), 6) AS c0 FROM pixels WHERE occ = 1 GROUP BY ALL) m ON p.frame = m.frame AND p.x // 2 = m.x AND p.y // 2 = m.y", "pixels"))
-def pulled_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """Empty pixels take the mean of the occupied ones of their 2 by 2 places."""
-    pixels = table(spark, sf, "pixels")
-    coarse = images.mip(pixels).select("frame", F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("c0").alias("mean"))
-    both = pixels.withColumn("hx", F.expr("CAST(x div 2 AS INT)")).withColumn("hy", F.expr("CAST(y div 2 AS INT)")).join(coarse, ["frame", "hx", "hy"], "left")
-    return both.select("frame", "x", "y", F.when(F.col("occ") == 1, F.col("c0").cast("double")).otherwise(F.col("mean")).alias("c0"))
-
-
 @query("I52_depth_steps", sql("SELECT p.frame, p.x, p.y, max(abs(q.d0 - p.d0)) AS step FROM pixels p JOIN pixels q ON q.frame = p.frame AND abs(q.x - p.x) + abs(q.y - p.y) = 1 GROUP BY p.frame, p.x, p.y", "pixels"))
 def depth_steps(spark: SparkSession, sf: str) -> DataFrame:
     """The largest difference in depth to the four neighbours."""
@@ -173,7 +164,7 @@ def conformance_report(spark: SparkSession, sf: str) -> DataFrame:
 simple("P25_rotated_sizes", "patches", ["frame", "patch", "CASE WHEN orientation IN (0, 3, 5, 7) THEN size_u ELSE size_v END AS across", "CASE WHEN orientation IN (0, 3, 5, 7) THEN size_v ELSE size_u END AS down"])
 simple("P05_contains", "cloud_src", ["frame", "pid", "x BETWEEN 10 AND 20 AND y BETWEEN 10 AND 20 AND z BETWEEN 16 AND 24 AS held"])
 simple("P33_block_replaced", "pixels", ["frame", "x", "y", "CASE WHEN x BETWEEN 8 AND 15 AND y BETWEEN 8 AND 15 THEN 0 ELSE c0 END AS c0"])
-simple("F10_unit_vectors", "cloud_src", ["frame", "pid", "round(z / sqrt(x * x + y * y + z * z), 6) AS uz"])
+simple("F10_unit_vectors", "cloud_src", ["frame", "pid", "CASE WHEN x * x + y * y + z * z > 0 THEN round(z / sqrt(x * x + y * y + z * z), 6) ELSE 0 END AS uz"])
 simple("F19_code_lengths", "cloud_src", ["frame", "pid", "CAST(ceil(log2(r + 2)) AS INT) AS bits"])
 simple("F29_unit_names", "log_frames", ["frame_id", "CASE num_eom WHEN 0 THEN 'VPS' WHEN 1 THEN 'AD' WHEN 2 THEN 'OVD' WHEN 3 THEN 'GVD' WHEN 4 THEN 'AVD' ELSE 'RSVD' END AS unit"])
 simple("M26_codec_names", "log_frames", ["frame_id", "CASE num_eom % 3 WHEN 0 THEN 'avc1' WHEN 1 THEN 'hvc1' ELSE 'vvc1' END AS codec"])
@@ -183,10 +174,4 @@ simple("R31_eom_rows", "patches", ["frame", "patch", "CAST(ceil(size_u * size_v
 simple("I17_unit_yuv16", "pixels", ["frame", "x", "y", "round((CAST(c1 AS DOUBLE) * 4 - 512) / 1023, 6) AS u"])
 grouped("P35_video_all_zero", "pixels", ["x", "y"], ["bool_and(c0 = 0) AS all_zero"])
 grouped("P30_patch_boxes", "patch_pixels", ["frame", "patch"], ["min(u) AS u_min", "max(u) AS u_max", "min(v) AS v_min", "max(v) AS v_max", "min(d0) AS d_min", "max(d0) AS d_max"])
-grouped("O12_component_sizes", "cloud_src", ["frame", "pri"], ["count(*) AS n", "min(pid) AS first_pid"])
-grouped("J16_block_owner_of_frame", "pixels", ["frame"], ["max(patch) + 1 AS last_owner", "count(DISTINCT patch) AS owners"])
-grouped("R56_union_sizes", "patches", ["patch"], ["max(size_u) AS size_u", "max(size_v) AS size_v", "count(*) AS frames"])
-grouped("R57_first_frame_tracks", "patches", ["patch"], ["min(frame) AS first_frame", "max(frame) AS last_frame"])
-grouped("R39_tile_sizes", "patches", ["frame", "v0"], ["CAST(sum(size_u) AS BIGINT) AS width", "max(size_v) AS height"])
 grouped("M39_bitstream_statistics", "enc_log", ["k"], ["CAST(sum(length(v)) AS BIGINT) AS bytes", "count(*) AS units"])
-grouped("I45_weighted_mip", "pixels", ["frame", "patch"], ["round(CAST(sum(c0 * occ) AS DOUBLE) / greatest(sum(occ), 1), 6) AS mean", "CAST(sum(occ) AS BIGINT) AS weight"])

@@ -108,7 +108,6 @@ simple("F27_video_names", "log_frames", ["frame_id", "format_string('%s_%dx%d_%d
 simple("F28_patch_types", "patches", ["frame", "patch", "CASE WHEN orientation = 0 THEN 'intra' WHEN orientation = 1 THEN 'inter' WHEN orientation = 2 THEN 'merge' WHEN orientation = 3 THEN 'skip' WHEN orientation = 4 THEN 'raw' ELSE 'eom' END AS kind"])
 simple("A39_limit", "log_frames", ["frame_id", "num_proj > 1000000 AS over"])
 simple("A36_toolset_violations", "log_frames", ["frame_id", "num_eom > 5 AS eom_off", "num_raw > 4000 AND num_eom > 0 AS raw_off"])
-simple("R46_moved_points", "cloud_rec", ["frame", "pid", "CASE WHEN (x - 24) * (x - 24) + (y - 24) * (y - 24) > 64 THEN 24 ELSE x END AS x"])
 
 
 def grouped(name: str, source: str, keys: list[str], spark_aggs: list[str], duck_aggs: list[str] | None = None, where: str | None = None) -> None:
@@ -123,8 +122,6 @@ def grouped(name: str, source: str, keys: list[str], spark_aggs: list[str], duck
 
 
 grouped("P34_all_zero", "pixels", ["frame"], ["bool_and(occ = 0) AS all_zero", "max(c0) AS top"])
-grouped("A16_voxel_scores", "patch_pixels", ["frame", "patch"], ["count(*) AS n", "count(DISTINCT eom) AS planes"])
-grouped("A17_dominant_plane", "patch_pixels", ["frame", "patch"], ["max_by(eom, pid) AS plane"], ["arg_max(eom, pid) AS plane"])
 grouped("A20_second_layer", "patch_pixels", ["frame", "patch", "u"], ["min(d0) AS near", "max(CASE WHEN d1 - d0 <= 2 THEN d1 END) AS far", "bit_or(shiftleft(1, eom)) AS bits"], ["min(d0) AS near", "max(CASE WHEN d1 - d0 <= 2 THEN d1 END) AS far", "bit_or(1 << eom) AS bits"])
 grouped("A25_mean_luma", "pixels", ["frame", "patch"], ["round(avg(c0), 6) AS mean"])
 grouped("A26_median_luma", "pixels", ["frame", "patch"], ["CAST(median(c0) AS DOUBLE) AS median"])
@@ -145,35 +142,12 @@ def matched_first(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "patches").select("frame", "patch", (F.row_number().over(w).cast("long") - 1).alias("place"))
 
 
-@query("R38_tiles_of_segments", sql("SELECT frame, patch, CASE WHEN n <= 3 THEN 0 WHEN size_u < 16 THEN 1 ELSE 2 END AS tile FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY size_u * size_v DESC, patch) AS n FROM patches) t", "patches"))
-def tiles_of_segments(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("frame").orderBy((F.col("size_u") * F.col("size_v")).desc(), "patch")
-    return table(spark, sf, "patches").withColumn("n", F.row_number().over(w)).select("frame", "patch", F.when(F.col("n") <= 3, 0).when(F.col("size_u") < 16, 1).otherwise(2).alias("tile"))
-
-
 @query("M25_tile_offsets", sql("SELECT frame, patch, CAST(sum(size_u) OVER (PARTITION BY frame ORDER BY patch) - size_u AS BIGINT) AS left_ FROM patches", "patches"))
 def tile_offsets(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("frame").orderBy("patch")
     return table(spark, sf, "patches").select("frame", "patch", (F.sum("size_u").over(w) - F.col("size_u")).alias("left_"))
 
 
-@query("J26_reference_frames", sql("SELECT a.frame_id, b.frame_id AS reference, b.num_proj AS points FROM log_frames a JOIN log_frames b ON b.frame_id = a.frame_id - 1 - a.num_eom", "log_frames"))
-def reference_frames(spark: SparkSession, sf: str) -> DataFrame:
-    log = table(spark, sf, "log_frames")
-    wanted = log.select("frame_id", (F.col("frame_id") - 1 - F.col("num_eom")).alias("reference")).where("reference >= 0")
-    return wanted.join(log.select(F.col("frame_id").cast("long").alias("reference"), F.col("num_proj").alias("points")), "reference").select("frame_id", F.col("reference").cast("int").alias("reference"), "points")
-
-
-@query("U05_roi_chunks", sql("SELECT s.frame, s.pid, c.chunk FROM cloud_src s JOIN (SELECT frame, min(x) AS lo, max(x) - min(x) + 1 AS len FROM cloud_src GROUP BY frame) b ON s.frame = b.frame JOIN (VALUES (0), (1), (2)) c(chunk) ON (s.x - b.lo) * 3 >= c.chunk * b.len - 6 AND (s.x - b.lo) * 3 < (c.chunk + 1) * b.len + 6", "cloud_src"))
-def roi_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Three overlapping chunks along x; a point near a cut is in two."""
-    src = table(spark, sf, "cloud_src")
-    box = src.groupBy("frame").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x") + 1).alias("len"))
-    chunk = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("chunk")
-    at = (F.col("x") - F.col("lo")) * 3
-    return src.join(box, "frame").select("frame", "pid", "x", "lo", "len", chunk).where((at >= F.col("chunk") * F.col("len") - 6) & (at < (F.col("chunk") + 1) * F.col("len") + 6)).select("frame", "pid", "chunk")
-
-
 @query("A31_size_report", sql("SELECT row_idx, CAST(sum(length(v)) AS BIGINT) AS total, CAST(sum(length(v)) FILTER (WHERE k = 'NumProjPoints') AS BIGINT) AS geometry, CAST(sum(length(v)) - sum(length(v)) FILTER (WHERE k = 'NumProjPoints') AS BIGINT) AS metadata FROM enc_log GROUP BY row_idx", "enc_log"))
 def size_report(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("v")

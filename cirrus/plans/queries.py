@@ -220,11 +220,6 @@ def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf, "cloud_src"), table(spark, sf, "cloud_rec"), 4)
 
 
-@query("J02_radius_join", sql(f"SELECT a.frame, a.pid, b.pid AS nn_pid, CAST({_D2} AS BIGINT) AS d2 FROM cloud_src a JOIN cloud_rec b ON a.frame = b.frame AND {_D2} <= 6", "cloud_src", "cloud_rec"))
-def radius_join(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.within(table(spark, sf, "cloud_src"), table(spark, sf, "cloud_rec"), 6)
-
-
 @query("J05_radius_adjacency", sql(f"SELECT a.frame, a.pid, count(*) AS degree, CAST(sum(b.pid) AS BIGINT) AS sum_pid FROM cloud_src a JOIN cloud_src b ON a.frame = b.frame AND {_D2} <= 3 GROUP BY a.frame, a.pid", "cloud_src"))
 def radius_adjacency(spark: SparkSession, sf: str) -> DataFrame:
     src = table(spark, sf, "cloud_src")

@@ -39,6 +39,10 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         """SELECT q.frame, q.patch, q.u + 16 * p.u0 AS x, q.v + 16 * p.v0 AS y, q.d0, q.d1, q.r AS c0, q.g AS c1, q.b AS c2, CASE WHEN q.eom > 0 THEN 1 ELSE 0 END AS occ
         FROM patch_pixels q JOIN patches p ON q.frame = p.frame AND q.patch = p.patch""",
     ),
+    "segments": (
+        ["cloud_src"],
+        """SELECT frame, pid, x, y, z, CAST((x {div} 16 + y {div} 16 * 2 + CASE WHEN b % 11 = 0 THEN 1 ELSE 0 END) % 6 AS INT) AS plane FROM cloud_src""",
+    ),
     "log_frames": (
         ["events"],
         """SELECT CAST(event_id AS INT) AS frame_id, CAST(user_id * 20000 AS BIGINT) AS num_proj, CAST(floor(value) AS BIGINT) * 100 AS num_raw, CAST(event_id % 7 AS BIGINT) AS num_eom FROM events""",

@@ -187,3 +187,70 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_components_by_size(spark):
+    """Sizes and places of components against a walk over adjacent points."""
+    import random
+
+    from cirrus.operators import segmentation
+
+    rng = random.Random(4)
+    points = {(f, rng.randrange(9), rng.randrange(9), rng.randrange(3)) for f in (0, 1) for _ in range(60)}
+    rows = [(f, i, x, y, z) for i, (f, x, y, z) in enumerate(sorted(points))]
+    got = {(r.frame, r.pid): r.label for r in segmentation.components(spark.createDataFrame(rows, "frame int, pid long, x int, y int, z int"), 2).collect()}
+    want = {}
+    for f, i, *_ in rows:
+        if (f, i) in want:
+            continue
+        todo = [(f, i)]
+        want[f, i] = i
+        while todo:
+            _, j = todo.pop()
+            for g, k, *p in rows:
+                if g == f and (g, k) not in want and sum((a - b) ** 2 for a, b in zip(p, rows[j][2:])) <= 2:
+                    want[g, k] = i
+                    todo.append((g, k))
+    assert got == want
+
+
+def test_tiles_borrow_and_layout(spark):
+    from cirrus.operators import tiles
+
+    patches = spark.createDataFrame([(0, p, s, s) for p, s in enumerate((30, 29, 28, 20, 18))] + [(1, 0, 5, 5)], "frame int, patch int, size_u int, size_v int")
+    tiled = tiles.of_segments(patches, 16)
+    assert {(r.frame, r.patch): r.tile for r in tiled.collect()} == {(0, 0): 0, (0, 1): 0, (0, 2): 0, (0, 3): 2, (0, 4): 1, (1, 0): 0}
+    raw = spark.createDataFrame([(0, 65)], "frame int, n long")
+    placed = {(r.frame, r.tile): (r.left_, r.top, r.width, r.height) for r in tiles.layout(tiled, raw, 48, 16, 64).collect()}
+    assert placed == {(0, 0): (0, 0, 48, 30), (0, 1): (48, 0, 16, 18), (0, 2): (0, 30, 48, 20), (0, 3): (0, 50, 64, 2), (1, 0): (0, 0, 48, 5), (1, 1): (48, 0, 16, 0), (1, 2): (0, 5, 48, 0), (1, 3): (0, 5, 64, 0)}
+    assert tiles.of_segments(patches.limit(0), 16).count() == 0
+
+
+def test_voxel_edges(spark):
+    """A voxel alone with its point, one with two planes, one of another plane beside it, and one far from all."""
+    from cirrus.operators import voxels
+
+    rows = [(0, 0, 0, 0, 1), (0, 4, 0, 0, 2), (0, 5, 0, 0, 2), (0, 40, 0, 0, 3), (0, 41, 0, 0, 3), (0, 44, 0, 0, 3), (0, 45, 0, 0, 5), (0, 20, 0, 0, 0), (0, 21, 0, 0, 0)]
+    got = {r.vx: (r.edge, r.plane) for r in voxels.edges(spark.createDataFrame(rows, "frame int, x int, y int, z int, plane int"), 4).collect()}
+    # 10 and 11 touch, but 11's least plane of its ties is 3, which 10 has too
+    assert got == {0: ("single", 1), 1: ("indirect", 2), 10: ("none", 3), 11: ("direct", 3), 5: ("none", 0)}
+
+
+def test_push_pull_of_empty_and_single_pixels(spark):
+    from cirrus.operators import images
+
+    schema = "frame int, x int, y int, c0 int, c1 int, c2 int, occ int"
+    rows = [(0, 0, 0, 9, 8, 7, 0), (0, 2, 1, 10, 20, 30, 1), (1, 0, 0, 5, 5, 5, 0)]
+    got = {(r.frame, r.x, r.y): (r.c0, r.c1, r.c2) for r in images.push_pull(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(0, x, y): (10, 20, 30) for x in range(3) for y in range(2)}
+    assert images.push_pull(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_colour_smoothing_keeps_colours_inside_a_patch(spark):
+    from cirrus.operators import smoothing
+
+    schema = "frame int, pid long, x int, y int, z int, patch int, c0 int, c1 int, c2 int"
+    rows = [(0, 0, 10, 10, 10, 0, 1000, 1, 1), (0, 1, 11, 10, 10, 1, 5000, 9, 9), (0, 2, 60, 60, 60, 0, 1000, 1, 1), (0, 3, 61, 60, 60, 0, 5000, 9, 9)]
+    got = {r.pid: (r.c0, r.moved) for r in smoothing.colour_smoothed(spark.createDataFrame(rows, schema), 6, 1e6, 1e6, 1.0).collect()}
+    assert got[2] == (1000, False) and got[3] == (5000, False)
+    assert got[0][1] and 1000 < got[0][0] < 5000 and got[1][1] and 1000 < got[1][0] < 5000
