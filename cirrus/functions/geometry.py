@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,15 @@ def unrotate45(axis: int, x: Column, y: Column, z: Column, top: int) -> tuple[Co
     if axis == 2:
         return x.cast("double"), half(y - z + top), half(y + z - top)
     return (half(x - y + top), half(x + y - top), z.cast("double")) if axis == 3 else (x.cast("double"), y.cast("double"), z.cast("double"))
+
+
+def rotation(angle: float, axis: tuple[float, float, float]) -> list[list[float]]:
+    """The matrix that turns by angle (radians) about a unit axis: cos I + (1 - cos) a a' + sin [a]."""
+    c, s = math.cos(angle), math.sin(angle)
+    cross = [[0.0, -axis[2], axis[1]], [axis[2], 0.0, -axis[0]], [-axis[1], axis[0], 0.0]]
+    return [[c * (i == j) + (1 - c) * axis[i] * axis[j] + s * cross[i][j] for j in range(3)] for i in range(3)]
+
+
+def product(a: list[list], b: list[list]) -> list[list]:
+    """The product of two 3 by 3 matrices of numbers or columns."""
+    return [[a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j] for j in range(3)] for i in range(3)]

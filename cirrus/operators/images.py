@@ -128,3 +128,10 @@ def push_pull(pixels: DataFrame) -> DataFrame:
     for layer, size in zip(layers[-2::-1], sizes[-2::-1]):
         out = cut(filled(layer, out, size))
     return out
+
+
+def decoded_occupancy(video: DataFrame, size: DataFrame, precision: int, threshold: int | None = 0) -> DataFrame:
+    """Occupancy of full size from a video (frame, x, y, value) of a precision-th of it: whether the value is above threshold, or the value
+    itself where threshold is None. Places outside a frame's size (frame, w, h) are cut off."""
+    value = F.col("value") if threshold is None else (F.col("value") > threshold).cast("int")
+    return upsampled(video, precision).join(size, "frame").where("x < w AND y < h").select("frame", "x", "y", value.alias("occ"))

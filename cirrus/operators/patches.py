@@ -75,3 +75,11 @@ def initial_planes(normals: DataFrame, weights: list[float]) -> DataFrame:
     signed = [("nx", 1.0), ("ny", 1.0), ("nz", 1.0), ("nx", -1.0), ("ny", -1.0), ("nz", -1.0)]
     scores = F.array(*[F.col(c) * (s * (weights[i % 3] if i else 1.0)) for i, (c, s) in enumerate(signed)])
     return normals.select("frame", "pid", (F.array_position(scores, F.array_max(scores)) - 1).cast("int").alias("plane"))
+
+
+def neighbours_of(boxes: DataFrame, margin: int = 1) -> DataFrame:
+    """Pairs of patches of a frame whose boxes (lx to hz), made larger by margin, meet: frame, patch, other. Patches of a frame are few."""
+    ends = [f"{e}{c}" for c in "xyz" for e in "lh"]
+    other = boxes.select("frame", F.col("patch").alias("other"), *[F.col(c).alias(f"{c}2") for c in ends])
+    side = lambda s, by: [(F.col(f"l{c}{s}") - by, F.col(f"h{c}{s}") + by) for c in "xyz"]
+    return boxes.join(other, "frame").where((F.col("patch") != F.col("other")) & geometry.boxes_meet(side("", margin), side("2", 0))).select("frame", "patch", "other")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cirrus.operators import images, metrics, neighbours, segmentation, smoothing, tiles, voxels
+from cirrus.functions import geometry
+from cirrus.operators import images, metrics, neighbours, normals, patches, segmentation, smoothing, tiles, voxels
+from cirrus.plans.lineage import shared_dir
 from cirrus.plans.queries import _CELLS, _D2, _EIGHT, _WEIGHT, _patched, sql
 from cirrus.plans.registry import query
+from cirrus.sources import sidecar
 from cirrus.sources.derived import table
 
 # ---- voxels ---------------------------------------------------------------------------------------------------------
@@ -231,3 +237,88 @@ _TINTED = "pt AS (SELECT frame, pid, x, y, z, ((x - 8) // 16) * 3 + (y - 8) // 1
 def colour_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """Trilinear smoothing of 16-bit colours where patches meet, with its gates on luma."""
     return smoothing.colour_smoothed(_patched(spark, sf).select("frame", "pid", "x", "y", "z", "patch", *[(F.col(c) * 256).alias(n) for c, n in zip("grb", images.CHANNELS)]), 6, 5120.0, 16384.0, 10.0)
+
+
+_MIX = ", ".join(f"0.75::DOUBLE * p.n{c} + 0.25::DOUBLE * CASE WHEN l > 0 THEN coalesce(s{c}, 0) / l ELSE 0 END AS t{c}" for c in "xyz")
+
+
+@query(
+    "R05_smoothed_normals",
+    sql(
+        "WITH p AS (SELECT frame, pid, x, y, z, (r - 128) / 128.0::DOUBLE AS nx, (g - 128) / 128.0::DOUBLE AS ny, (b - 128) / 128.0::DOUBLE AS nz FROM cloud_src), "
+        f"k AS (SELECT a.frame, a.pid, sign(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) AS d, b.nx, b.ny, b.nz, b.pid AS other, row_number() OVER (PARTITION BY a.frame, a.pid ORDER BY {_D2}, b.pid) AS n FROM p a JOIN p b ON a.frame = b.frame AND {_D2} <= 3), "
+        "s AS (SELECT frame, pid, " + ", ".join(f"sum(CASE WHEN d < 0 THEN -n{c} ELSE n{c} END) AS s{c}" for c in "xyz") + " FROM k WHERE n <= 6 AND other <> pid GROUP BY frame, pid), l AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS l FROM s), "
+        f"t AS (SELECT p.frame, p.pid, {_MIX} FROM p LEFT JOIN l ON p.frame = l.frame AND p.pid = l.pid), u AS (SELECT *, sqrt(tx * tx + ty * ty + tz * tz) AS len FROM t) "
+        "SELECT frame, pid, " + ", ".join(f"round(CASE WHEN len > 0 THEN t{c} / len ELSE t{c} END, 5) AS n{c}" for c in "xyz") + " FROM u",
+        "cloud_src",
+    ),
+)
+def smoothed_normals(spark: SparkSession, sf: str) -> DataFrame:
+    src = table(spark, sf, "cloud_src")
+    given = src.select("frame", "pid", *[((F.col(c) - 128) / 128.0).alias(n) for c, n in zip("rgb", ("nx", "ny", "nz"))])
+    return normals.smoothed(src, given, 3, 6, 0.25).select("frame", "pid", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+
+
+# ---- boxes, turns, occupancy of decoders, sidecars ------------------------------------------------------------------
+
+_BOX = ", ".join(f"min({c}) AS l{c}, max({c}) AS h{c}" for c in "xyz")
+
+
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return _patched(spark, sf).groupBy("frame", "patch").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))])
+
+
+@query("J14_patch_neighbours", sql(f"WITH b AS (SELECT frame, ((x - 8) // 16) * 3 + (y - 8) // 16 AS patch, {_BOX} FROM cloud_src GROUP BY ALL) SELECT a.frame, a.patch, b.patch AS other FROM b a JOIN b ON a.frame = b.frame AND a.patch <> b.patch AND greatest(a.lx, b.lx) - least(a.hx, b.hx) <= 1 AND greatest(a.ly, b.ly) - least(a.hy, b.hy) <= 1 AND greatest(a.lz, b.lz) - least(a.hz, b.hz) <= 1", "cloud_src"))
+def patch_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return patches.neighbours_of(_boxes(spark, sf))
+
+
+@query("P09_merged_boxes", sql(f"SELECT frame // 8 AS gof, {_BOX} FROM (SELECT frame, x, y, z FROM cloud_src UNION ALL SELECT frame, x, y, z FROM cloud_rec) t GROUP BY frame // 8", "cloud_src", "cloud_rec"))
+def merged_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of patches merged into boxes of groups of frames, with the points of the second cloud added."""
+    ends = [(n, f, c) for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
+    gof = F.expr("CAST(frame div 8 AS INT)").alias("gof")
+    of_points = table(spark, sf, "cloud_rec").select(gof, *[F.col(c).alias(f"{n}{c}") for n, _, c in ends])
+    return _boxes(spark, sf).select(gof, *[f"{n}{c}" for n, _, c in ends]).unionByName(of_points).groupBy("gof").agg(*[f(f"{n}{c}").alias(f"{n}{c}") for n, f, c in ends])
+
+
+@query("P07_boxes_within", sql(f"WITH b AS (SELECT frame, ((x - 8) // 16) * 3 + (y - 8) // 16 AS patch, {_BOX} FROM cloud_src GROUP BY ALL), r AS (SELECT frame, ((x - 8) // 16) * 3 + (y - 8) // 16 AS patch, {_BOX} FROM cloud_rec GROUP BY ALL) SELECT b.frame, b.patch, NOT (r.lx < b.lx OR r.ly < b.ly OR r.lz < b.lz OR r.hx > b.hx OR r.hy > b.hy OR r.hz > b.hz) AS held FROM b JOIN r ON b.frame = r.frame AND b.patch = r.patch", "cloud_src", "cloud_rec"))
+def boxes_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a patch's box in the first cloud holds its box in the second one."""
+    ends = [(n, f, c) for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
+    patch = F.expr("((x - 8) div 16) * 3 + (y - 8) div 16").alias("patch")
+    second = table(spark, sf, "cloud_rec").groupBy("frame", patch).agg(*[f(c).alias(f"{n}{c}2") for n, f, c in ends])
+    held = [F.col(f"l{c}2") >= F.col(f"l{c}") for c in "xyz"] + [F.col(f"h{c}2") <= F.col(f"h{c}") for c in "xyz"]
+    return _boxes(spark, sf).join(second, ["frame", "patch"]).select("frame", "patch", F.array_min(F.array(*held)).alias("held"))
+
+
+@query("F15_turned_points", sql("WITH a AS (SELECT frame, pid, x * cos(pi() / 6) - y * sin(pi() / 6) AS x, x * sin(pi() / 6) + y * cos(pi() / 6) AS y, z FROM cloud_src) SELECT frame, pid, round(x, 5) AS x, round(y * cos(pi() / 4) - z * sin(pi() / 4), 5) AS y, round(y * sin(pi() / 4) + z * cos(pi() / 4), 5) AS z FROM a", "cloud_src"))
+def turned(spark: SparkSession, sf: str) -> DataFrame:
+    """Points turned by the product of two rotations."""
+    m = geometry.product(geometry.rotation(math.pi / 4, (1.0, 0.0, 0.0)), geometry.rotation(math.pi / 6, (0.0, 0.0, 1.0)))
+    return table(spark, sf, "cloud_src").select("frame", "pid", *[F.round(F.col("x") * r[0] + F.col("y") * r[1] + F.col("z") * r[2], 5).alias(c) for c, r in zip("xyz", m)])
+
+
+@query("F14_matrix_product", sql("SELECT frame, patch, u1 * size_u + v1 * size_v + d1 * view_id AS m00, u1 * size_v + v1 * view_id + d1 * size_u AS m01, size_v * size_v + size_u * view_id + view_id * size_u AS m11 FROM patches", "patches"))
+def matrix_product(spark: SparkSession, sf: str) -> DataFrame:
+    u, v, d, su, sv, w = (F.col(c) for c in ("u1", "v1", "d1", "size_u", "size_v", "view_id"))
+    m = geometry.product([[u, v, d], [sv, su, w], [w, d, u]], [[su, sv, w], [sv, w, su], [w, su, sv]])
+    return table(spark, sf, "patches").select("frame", "patch", m[0][0].alias("m00"), m[0][1].alias("m01"), m[1][1].alias("m11"))
+
+
+@query("I27_decoded_occupancy", sql("WITH b AS (SELECT frame, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY frame), v AS (SELECT frame, x // 4 AS bx, y // 4 AS by_, sum(occ) AS value FROM pixels GROUP BY ALL), a AS (SELECT frame, h, CAST(unnest(range(w)) AS INTEGER) AS x FROM b), g AS (SELECT frame, x, CAST(unnest(range(h)) AS INTEGER) AS y FROM a) SELECT g.frame, g.x, g.y, CASE WHEN value > 13 THEN 1 ELSE 0 END AS occ FROM g JOIN v ON g.frame = v.frame AND g.x // 4 = bx AND g.y // 4 = by_", "pixels"))
+def decoded_occupancy(spark: SparkSession, sf: str) -> DataFrame:
+    """Occupancy from a video of a quarter of the size whose values count occupied pixels."""
+    pixels = table(spark, sf, "pixels")
+    video = pixels.groupBy("frame", *images.cells(pixels, 4)).agg(F.sum("occ").alias("value"))
+    size = pixels.groupBy("frame").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    return images.decoded_occupancy(video, size, 4, 13)
+
+
+@query("S16_checksum_sidecar", sql("SELECT frame // 4 AS gof, row_number() OVER (PARTITION BY frame // 4 ORDER BY frame) - 1 AS place, md5(n || ',' || s) AS md5 FROM (SELECT frame, count(*) AS n, CAST(sum(x * 7 + z) AS BIGINT) AS s FROM cloud_rec GROUP BY frame) t", "cloud_rec"))
+def checksum_sidecar(spark: SparkSession, sf: str) -> DataFrame:
+    """Checksums of frames written as sidecar files of groups of frames and read back."""
+    sums = table(spark, sf, "cloud_rec").groupBy("frame").agg(F.md5(F.concat_ws(",", F.count("*"), F.sum(F.col("x") * 7 + F.col("z")))).alias("md5"))
+    folder = f"{shared_dir(spark)}/cirrus/sidecar-{uuid.uuid4().hex}"
+    sidecar.write(sums, folder, 4)
+    return sidecar.read(spark, folder)

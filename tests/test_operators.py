@@ -254,3 +254,25 @@ def test_colour_smoothing_keeps_colours_inside_a_patch(spark):
     got = {r.pid: (r.c0, r.moved) for r in smoothing.colour_smoothed(spark.createDataFrame(rows, schema), 6, 1e6, 1e6, 1.0).collect()}
     assert got[2] == (1000, False) and got[3] == (5000, False)
     assert got[0][1] and 1000 < got[0][0] < 5000 and got[1][1] and 1000 < got[1][0] < 5000
+
+
+def test_smoothed_normals_and_decoded_occupancy_at_their_edges(spark):
+    from cirrus.operators import images, normals
+
+    points = spark.createDataFrame([(0, 0, 0, 0, 0), (0, 1, 1, 0, 0), (0, 2, 50, 0, 0)], "frame int, pid long, x int, y int, z int")
+    given = spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0), (0, 1, 0.0, 0.0, -1.0), (0, 2, 0.0, 0.0, 0.0)], "frame int, pid long, nx double, ny double, nz double")
+    got = {r.pid: r.nz for r in normals.smoothed(points, given, 4, 8, 0.5, rounds=2).collect()}
+    assert got == {0: 1.0, 1: -1.0, 2: 0.0}
+    video = spark.createDataFrame([(0, 0, 0, 3), (0, 1, 0, 1)], "frame int, x int, y int, value int")
+    size = spark.createDataFrame([(0, 3, 1)], "frame int, w int, h int")
+    assert {(r.x, r.y, r.occ) for r in images.decoded_occupancy(video, size, 2, 1).collect()} == {(0, 0, 1), (1, 0, 1), (2, 0, 0)}
+    assert {r.occ for r in images.decoded_occupancy(video, size, 2, None).collect()} == {3, 1}
+
+
+def test_sidecar_of_groups(spark, tmp_path):
+    from cirrus.sources import sidecar
+
+    sums = spark.createDataFrame([(f, f"AB{f:02d}") for f in range(6)], "frame int, md5 string")
+    sidecar.write(sums, str(tmp_path / "sums"), 4)
+    got = sorted((r.gof, r.place, r.md5) for r in sidecar.read(spark, str(tmp_path / "sums")).collect())
+    assert got == [(f // 4, f % 4, f"ab{f:02d}") for f in range(6)]
