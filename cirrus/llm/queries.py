@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.llm import chaining, decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
+from cirrus.llm import chaining, decomposition, decontamination, fill_middle, html_text, line_dedup, media, merkle, near_dedup, packing, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decomposition.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_media_columns, op4_kd_tree_sharding, op5_line_dedup, op6_html_extraction, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_media_columns, op4_kd_tree_sharding, op5_line_dedup, op6_html_extraction, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_toxicity, op10_substring_dedup, op11_fill_in_middle, op12_power_of_two_packing, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op5_line_dedup": line_dedup.ORACLE_SQL, "op11_fill_in_middle": fill_middle.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
