@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cirrus.operators import contraction
 from cirrus.operators.neighbours import within
-from cirrus.plans.lineage import cut
 
 
 def components(points: DataFrame, squared_radius: int) -> DataFrame:
-    """frame, pid and the least pid that steps within the radius lead to. Labels spread along edges, then labels of labels follow."""
-    edges = cut(within(points, points, squared_radius).select("frame", "pid", "nn_pid"))
-    labels = cut(edges.groupBy("frame", "pid").agg(F.min("nn_pid").alias("label")))
-    while True:
-        near = edges.join(labels.select("frame", F.col("pid").alias("nn_pid"), F.col("label").alias("near")), ["frame", "nn_pid"]).groupBy("frame", "pid").agg(F.min("near").alias("near"))
-        spread = labels.join(near, ["frame", "pid"]).select("frame", "pid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jumped = spread.join(labels.select("frame", F.col("pid").alias("label"), F.col("label").alias("far")), ["frame", "label"], "left")
-        step = cut(jumped.select("frame", "pid", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = step.select("frame", "pid", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+    """frame, pid and the least pid that steps within the radius lead to."""
+    found = contraction.components(contraction.undirected(within(points, points, squared_radius)))
+    return points.select("frame", "pid").join(found, ["frame", "pid"], "left").select("frame", "pid", F.coalesce("root", "pid").alias("label"))
