@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cirrus.operators import contraction, orientation
+from cirrus.operators import contraction, orientation, patch_segmentation, voxels
 
 POINT = "frame int, pid long, x int, y int, z int, r int, g int, b int"
 
@@ -182,3 +182,188 @@ def test_normal_pipeline_on_a_plane(spark):
     points = [(0, 10 * i + j, i, j, 3) for i in range(8) for j in range(8)]
     got = found(orientation.pipeline(cloud(spark, points), 9, 2, viewpoint=(0.0, 0.0, 50.0)))
     assert {k: tuple(np.round(v, 6) + 0.0) for k, v in got.items()} == {(0, p[1]): (0.0, 0.0, 1.0) for p in points}
+
+
+# ---- patches --------------------------------------------------------------------------------------------------------
+
+AXES = [(0, 2, 1), (1, 2, 0), (2, 0, 1)]
+
+
+def plain_segments(points, planes, lim):
+    """Round after round over one frame: members by (round, start), pixels, open points."""
+    place = {p[1]: p[2:5] for p in points}
+    colour = {p[1]: p[5:8] for p in points}
+    near = neighbours_of(points, lim.neighbours)
+    adjacent, d2 = {p: set() for p in place}, lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for _, a, b in near:
+        adjacent[a].add(b)
+        adjacent[b].add(a)
+    open_, members, pixels, flagged, r = dict.fromkeys(place, float("inf")), {}, {}, set(), 0
+    while True:
+        comps, done = [], set()
+        for p in sorted(open_):
+            if p in done:
+                continue
+            comp, stack = {p}, [p]
+            while stack:
+                for b in adjacent[stack.pop()]:
+                    if b in open_ and b not in comp and planes[b] == planes[p]:
+                        comp.add(b)
+                        stack.append(b)
+            done |= comp
+            far = [q for q in comp if open_[q] > lim.detection]
+            if len(comp) >= lim.least_points and far:
+                comps.append((min(far), comp))
+        if not comps:
+            break
+        taken = {}
+        if lim.expand:
+            order = sorted(comps, key=lambda c: (-len(c[1]), c[0]))
+            full = dict(comps)
+            for start, comp in order:
+                flagged |= comp
+                plane = planes[start]
+                more = {n for _, a, n in near if a in comp and n not in flagged and d2(place[a], place[n]) <= 2 and planes[n] != plane and abs(planes[n] - plane) != 3}
+                flagged |= more
+                taken[start] = more
+            comps = [(s, full[s] | taken[s]) for s in sorted(full)]
+        made = set()
+        for start, comp in comps:
+            plane = planes[start]
+            k, t, bt = AXES[plane % 3]
+            way = 1 if plane < 3 else -1
+            flat = {p: (place[p][t], place[p][bt], way * place[p][k]) for p in comp}
+            u1, v1, least = (min(f[i] for f in flat.values()) for i in range(3))
+            low = least // lim.level * lim.level
+            low = low if plane < 3 else min(low, 0)
+            tops, peak = {}, {}
+            for p, (u, v, d) in flat.items():
+                tops[u, v] = min(tops.get((u, v), (d, p)), (d, p))
+            for (u, v), (d, _) in tops.items():
+                b = ((u - u1) // lim.block, (v - v1) // lim.block)
+                peak[b] = min(peak.get(b, d), d)
+            for (u, v), (d, p) in tops.items():
+                if d - peak[(u - u1) // lim.block, (v - v1) // lim.block] > lim.peak or d + lim.thickness > low + lim.deepest:
+                    continue
+                layer = [f[2] for q, f in flat.items() if f[:2] == (u, v) and f[2] - d <= lim.thickness and all(abs(x - y) < lim.colour for x, y in zip(colour[q], colour[p]))]
+                pixels[r, start, u, v] = (way * d, way * max(layer))
+                for e in pixels[r, start, u, v]:
+                    at = [0, 0, 0]
+                    at[k], at[t], at[bt] = e, u, v
+                    made.add(tuple(at))
+            members |= {(r, start, p): plane for p in comp}
+        r += 1
+        open_ = {p: min([o, *(d2(place[p], m) for m in made)]) for p, o in open_.items()}
+        open_ = {p: o for p, o in open_.items() if o > lim.selection}
+        if not open_:
+            break
+    return members, pixels, set(open_)
+
+
+def folded(seed, n=220):
+    """A surface with a fold, a second sheet behind it, some stray points and repeated places."""
+    rng, points, planes = random.Random(seed), [], {}
+    for i in range(n):
+        x, y = rng.randrange(14), rng.randrange(14)
+        z = abs(x - 7) * (seed % 3) + rng.choice([0, 0, 0, 1, 6])
+        points.append((0, i, x, y, z, *(rng.choice([10, 200]) if k == seed % 3 else 50 for k in range(3))))
+        planes[i] = rng.choice([2, 2, 2, 2, 5, 0]) if seed % 2 else (2 if x < 7 else 3)
+    for i in range(n, n + 5):
+        points.append((0, i, *(rng.randrange(100) for _ in "xyz"), 1, 2, 3))
+        planes[i] = rng.randrange(6)
+    return points, planes
+
+
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"level": 4, "deepest": 6, "thickness": 2}), (3, {"expand": True, "detection": 4}), (4, {"expand": True, "peak": 2, "block": 4})])
+def test_segments(spark, seed, more):
+    limits = patch_segmentation.Limits(**{"neighbours": 6, "least_points": 5, "detection": 2, "selection": 1, "thickness": 3} | more)
+    points, planes = folded(seed)
+    members, pixels, left = plain_segments(points, planes, limits)
+    found = patch_segmentation.segment(cloud(spark, points), spark.createDataFrame([(0, p, j) for p, j in planes.items()], "frame int, pid long, plane int"), limits)
+    names = {r.patch: (r.round, r.start) for r in found.patches.collect()}
+    assert sorted(names) == list(range(len(names))) and [names[k] for k in sorted(names)] == sorted(names.values())
+    got = [(*names[r.patch], r.pid) for r in found.members.collect()]
+    assert sorted(got) == sorted(members)
+    assert {(*names[r.patch], r.u, r.v): (r.d0, r.d1) for r in found.pixels.collect()} == pixels
+    assert {r.pid for r in found.raw.collect()} == left
+
+
+def test_segments_of_nothing(spark):
+    found = patch_segmentation.segment(cloud(spark, []), spark.createDataFrame([], "frame int, pid long, plane int"))
+    assert [df.count() for df in (found.members, found.pixels, found.patches, found.raw)] == [0] * 4
+
+
+def test_pipeline_of_a_box(spark):
+    """The six sides of a hollow box become six patches, whatever side a normal pointed to."""
+    side = range(12)
+    points = sorted({(x, y, z) for x in side for y in side for z in side if 0 in (x, y, z) or 11 in (x, y, z)})
+    found = patch_segmentation.pipeline(cloud(spark, [(0, i, *p) for i, p in enumerate(points)]), patch_segmentation.Limits(neighbours=9, least_points=20), 9)
+    sizes = [r.n for r in found.patches.collect()]
+    assert len(sizes) == 6 and min(sizes) > 80 and found.raw.count() == 0
+
+
+# ---- voxels ---------------------------------------------------------------------------------------------------------
+
+
+def plain_refined(points, normals, planes, edge, reach, neighbours, strength, rounds):
+    cells, first = {}, {}
+    for p in sorted(points, key=lambda p: p[1]):
+        c = tuple((v + edge // 2) // edge for v in p[2:5])
+        cells.setdefault(c, []).append(p[1])
+        first.setdefault(c, p[1])
+    order = sorted(cells, key=first.get)
+    planes = dict(planes)
+    score = lambda c: [sum(planes[p] == j for p in cells[c]) for j in range(6)]
+    scores = {c: score(c) for c in order}
+    kind = {c: "single" if len(cells[c]) == 1 else "none" if sum(map(bool, scores[c])) == 1 else "multi" for c in order}
+    best = {c: int(np.argmax(scores[c])) for c in order}
+    heard, weight, span, sizes = {}, {}, 1 if edge >= 4 else 2, []
+    for c in order:
+        total, heard[c] = 0, []
+        for _, _, o in sorted((d, first[o], o) for o in order if (d := sum((a - b) ** 2 for a, b in zip(c, o))) <= reach):
+            heard[c].append(o)
+            total += len(cells[o])
+            if total >= neighbours:
+                break
+        weight[c] = strength / total
+    for _ in range(rounds):
+        changed = []
+        for c in order:
+            if kind[c] == "none":
+                continue
+            smooth = np.sum([scores[o] for o in heard[c]], axis=0)
+            for o in heard[c]:
+                if max(abs(a - b) for a, b in zip(c, o)) <= span and kind[o] == "none" and best[o] != int(np.argmax(smooth)):
+                    kind[o] = "indirect"
+            if kind[c] != "multi" and np.count_nonzero(smooth) == 1 and smooth[best[c]] > 0:
+                continue
+            changed.append(c)
+            for p in cells[c]:
+                x, y, z = normals[p]
+                planes[p] = int(np.argmax([a + weight[c] * s for a, s in zip((x, y, z, -x, -y, -z), smooth)]))
+        for c in order:
+            scores[c] = score(c)
+        for c in changed:
+            best[c] = int(np.argmax(scores[c]))
+            if kind[c] != "single":
+                kind[c] = "none" if sum(map(bool, scores[c])) == 1 else "multi"
+        sizes.append(len(changed))
+    return planes, sizes
+
+
+@pytest.mark.parametrize(("edge", "reach", "neighbours", "strength"), [(2, 4, 16, 3.0), (4, 3, 40, 1.0), (2, 9, 200, 8.0)])
+def test_grid_refinement(spark, edge, reach, neighbours, strength):
+    """Planes and the voxels of each round are those of a walk in order; fewer voxels are recomputed than there are."""
+    rng = random.Random(edge * reach)
+    points, normals, planes = [], {}, {}
+    for i in range(420):
+        x, y = rng.randrange(20), rng.randrange(20)
+        points.append((0, i, x, y, (x + y) // 9))
+        planes[i] = (2 if x < 10 else 0) if rng.random() < 0.93 else rng.randrange(6)
+        v = np.array([rng.uniform(-0.2, 0.2) + (x >= 10), rng.uniform(-0.3, 0.3), rng.uniform(-0.2, 0.2) + (x < 10)])
+        normals[i] = tuple(float(c) for c in v / np.linalg.norm(v))
+    expected, sizes = plain_refined(points, normals, planes, edge, reach, neighbours, strength, 4)
+    rows = cloud(spark, points).join(spark.createDataFrame([(0, p, j) for p, j in planes.items()], "frame int, pid long, plane int"), ["frame", "pid"])
+    df, got_sizes = voxels.refined(rows, spark.createDataFrame([(0, i, *v) for i, v in normals.items()], NORMAL), edge, reach, neighbours, strength, 4)
+    assert {r.pid: r.plane for r in df.collect()} == expected
+    assert got_sizes == sizes and sizes[-1] < len({tuple((v + edge // 2) // edge for v in p[2:5]) for p in points})
