@@ -1,75 +1,77 @@
 """Nearest-neighbour and radius joins between point tables (frame, pid, x, y, z), by grids of cells.
 
-A cell and its 26 neighbours hold all points within a cell's edge, so a join on cells is an equi-join that spreads over frames and
-cells. The nearest-neighbour join takes points whose answer lies within the edge and doubles the edge for the others, so sparse
-regions cost further rounds of fewer points and the result is exact.
+A ball of a given radius reaches one or two cells on each axis when cells are three radii wide, so a point of one side goes to few cells, a
+point of the other side to its own, and balls meet points by an equi-join that spreads over frames and cells. The nearest-neighbour
+join takes points whose answer lies within the radius and doubles it for the others, so sparse regions cost further rounds of fewer
+points and the result is exact.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrus.plans.lineage import cut
 
 
-def _around(points: DataFrame, edge: int, reach: int = 1) -> DataFrame:
-    """Each point once for each cell within reach, as kx, ky, kz."""
+def _pairs(a: DataFrame, b: DataFrame, squared_radius: int) -> DataFrame:
+    """All pairs of a frame whose squared distance is at most squared_radius: frame, pid, nn_pid, d2."""
+    radius = math.isqrt(squared_radius)
+    edge = max(2, 3 * radius)
+    left = a.select("frame", "pid", "x", "y", "z")
     for c in "xyz":
-        cell = F.floor(F.col(c) / edge).cast("long")
-        points = points.withColumn(f"k{c}", F.explode(F.sequence(cell - reach, cell + reach)))
-    return points
-
-
-def _pairs(a: DataFrame, b: DataFrame, edge: int) -> DataFrame:
-    left = _around(a.select("frame", "pid", "x", "y", "z"), edge)
-    right = b.select("frame", F.col("pid").alias("nn_pid"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[F.floor(F.col(c) / edge).cast("long").alias(f"k{c}") for c in "xyz"])
+        left = left.withColumn(f"k{c}", F.explode(F.sequence(F.floor((F.col(c) - radius) / edge), F.floor((F.col(c) + radius) / edge))))
+    right = b.select("frame", F.col("pid").alias("nn_pid"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[F.floor(F.col(c) / edge).alias(f"k{c}") for c in "xyz"])
     d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0)).cast("long")
-    return left.join(right, ["frame", "kx", "ky", "kz"]).select("frame", "pid", "nn_pid", d2.alias("d2"))
+    return left.join(right, ["frame", "kx", "ky", "kz"]).where(d2 <= squared_radius).select("frame", "pid", "nn_pid", d2.alias("d2"))
 
 
 def within(a: DataFrame, b: DataFrame, squared_radius: int) -> DataFrame:
-    """All pairs of a frame whose squared distance is at most squared_radius: frame, pid, nn_pid, d2."""
-    edge = max(1, int(squared_radius**0.5 + 0.999999))
-    return _pairs(a, b, edge).where(F.col("d2") <= squared_radius)
+    """All pairs of a frame whose squared distance is at most squared_radius: frame, pid, nn_pid, d2. Coordinates are whole numbers."""
+    return _pairs(a, b, squared_radius)
 
 
 def within_first(a: DataFrame, b: DataFrame, squared_radius: int, k: int) -> DataFrame:
     """within(), but of each point's pairs only the k nearest, with rank from 1; equal distances by smaller pid."""
-    return _best(within(a, b, squared_radius), k, False)
+    return _best(within(a, b, squared_radius), k, False).drop("has")
 
 
 def _best(pairs: DataFrame, k: int, ties: bool) -> DataFrame:
-    """The k nearest of each point's pairs, with rank. The nearest alone is an aggregate, which combines before the shuffle."""
+    """The k nearest of each point's pairs, with rank, and has, how many it had. The nearest alone is an aggregate, which combines before the shuffle."""
     if k == 1 and not ties:
         least = pairs.groupBy("frame", "pid").agg(F.min(F.struct("d2", "nn_pid")).alias("n"))
-        return least.select("frame", "pid", "n.nn_pid", "n.d2", F.lit(1).cast("long").alias("rank"))
+        return least.select("frame", "pid", "n.nn_pid", "n.d2", F.lit(1).cast("long").alias("rank"), F.lit(1).cast("long").alias("has"))
     each = Window.partitionBy("frame", "pid")
     rank = F.rank().over(each.orderBy("d2")) if ties else F.row_number().over(each.orderBy("d2", "nn_pid"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return pairs.withColumns({"rank": rank.cast("long"), "has": F.count("*").over(each)}).where(F.col("rank") <= k)
 
 
-def nearest(a: DataFrame, b: DataFrame, k: int = 1, edge: int = 2, ties: bool = False) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, k: int = 1, radius: int | None = None, ties: bool = False) -> DataFrame:
     """The k nearest points of b for each point of a: frame, pid, rank (from 1), nn_pid, d2; equal distances by smaller pid.
 
     With ties, all points as near as the k-th come, and equal distances have equal ranks. Where a frame of b has fewer than k points, all of
-    them come.
+    them come. The first round looks within the radius, by default one that holds k points of a closed surface.
     """
-    spread = b.groupBy("frame").agg(F.count("*").alias("has"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    reach = a.join(spread, "frame").agg(F.max(F.greatest(*[F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))) for c in "xyz"]))).first()[0]
-    done, open_ = [], a.select("frame", "pid", "x", "y", "z")
+    radius = radius or max(2, math.ceil(math.sqrt(k / math.pi)))
+    done, open_, reach = [], a.select("frame", "pid", "x", "y", "z"), None
     while True:
-        near = _best(_pairs(open_, b, edge), k, ties)
-        if reach is None or edge >= reach:
+        if done and reach is None:  # how far a point of a frame can lie from one of b
+            spread = b.groupBy("frame").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+            far = sum((F.pow(F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(c) - F.col(f"hi{c}"))), 2) for c in "xyz"), F.lit(0.0))
+            reach = open_.join(spread, "frame").agg(F.max(far)).first()[0] or 0
+        near = _best(_pairs(open_, b, radius * radius), k, ties)
+        if reach is not None and radius * radius >= reach:
             done.append(near)
             break
-        near = cut(near.where(F.col("d2") <= edge * edge))
-        full = near.groupBy("frame", "pid").count().where(F.col("count") >= k).select("frame", "pid")
-        done.append(near.join(full, ["frame", "pid"], "left_semi"))
-        open_ = cut(open_.join(full, ["frame", "pid"], "left_anti"))
+        near = cut(near)
+        full = F.col("has") >= k
+        done.append(near.where(full))
+        open_ = cut(open_.join(near.where(full & (F.col("rank") == 1)).select("frame", "pid"), ["frame", "pid"], "left_anti"))
         if open_.isEmpty():
             break
-        edge *= 2
+        radius *= 2
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -77,5 +79,5 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, edge: int = 2, ties: bool =
 
 
 def tied(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All points of b at the least distance from each point of a: frame, pid, nn_pid, d2. They lie in the same cells as the nearest one."""
+    """All points of b at the least distance from each point of a: frame, pid, nn_pid, d2. They lie within the same radius as the nearest one."""
     return nearest(a, b, ties=True).select("frame", "pid", "nn_pid", "d2")

@@ -19,7 +19,7 @@ def duck():
 
 
 def names():
-    from cirrus.plans import atlas_queries, frame_queries, more_queries, queries  # noqa: F401
+    from cirrus.plans import atlas_queries, frame_queries, more_queries, queries, surface_queries  # noqa: F401
     from cirrus.plans.registry import ORACLES
 
     return sorted(ORACLES)
