@@ -13,39 +13,50 @@ def cell_means(points: DataFrame, edge: int) -> DataFrame:
     return points.groupBy("frame", *cells).agg(F.count("*").alias("n"), *sums, (F.max("patch") > F.min("patch")).alias("mixed"))
 
 
-def weighted_centroids(points: DataFrame, edge: int) -> DataFrame:
-    """Mean (cx, cy, cz) of the up to eight cells around each point, weighted by how near their centres are, and weight w, where patches meet.
+def _eight(points: DataFrame, edge: int) -> DataFrame:
+    """Each point with the eight cells around it (kx, ky, kz), the weight of each (w, of all (2 * edge) ** 3), and the first one (lx, ly, lz).
 
-    A point lies between two cells on each axis: the weights are its distances, in units of the edge, from the farther cell.
+    On an axis, a point lies between the centres of two cells; twice its distance from the one's centre, plus one, is the other's weight.
     """
-    low = lambda c: F.floor((F.col(c) - edge // 2) / edge).cast("int")
-    rows = points.select("frame", "pid", "x", "y", "z", *[low(c).alias(f"l{c}") for c in "xyz"])
-    rows = rows.select("*", *[((F.col(c) - edge // 2) - F.col(f"l{c}") * edge).alias(f"w{c}") for c in "xyz"])
+    low = lambda c: (F.floor(F.col(c) / edge) - (F.col(c) % edge < edge // 2).cast("int")).cast("int")
+    rows = points.select("*", *[low(c).alias(f"l{c}") for c in "xyz"])
     for c in "xyz":
         rows = rows.withColumn(f"o{c}", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(f"k{c}", F.col(f"l{c}") + F.col(f"o{c}"))
-    part = lambda c: F.when(F.col(f"o{c}") == 0, edge - F.col(f"w{c}")).otherwise(F.col(f"w{c}"))
-    weight = part("x") * part("y") * part("z") * F.col("n")
-    means = cell_means(points, edge)
-    both = rows.join(means, ["frame", "kx", "ky", "kz"]).withColumn("w", weight)
-    moved = [F.sum(F.col("w") * F.col(f"s{c}") / F.col("n")).alias(f"t{c}") for c in "xyz"]
-    out = both.groupBy("frame", "pid").agg(F.sum("w").alias("w"), F.bool_or("mixed").alias("mixed"), *moved)
-    return out.where("mixed and w > 0").select("frame", "pid", "w", *[(F.col(f"t{c}") / F.col("w")).alias(f"c{c}") for c in "xyz"])
+    along = lambda c: (F.col(c) - F.col(f"l{c}") * edge - edge // 2) * 2 + 1
+    part = lambda c: F.when(F.col(f"o{c}") == 0, 2 * edge - along(c)).otherwise(along(c))
+    return rows.withColumn("w", (part("x") * part("y") * part("z")).cast("long"))
+
+
+def weighted_centroids(points: DataFrame, edge: int) -> DataFrame:
+    """For points around which patches meet in a cell: the mean place (cx, cy, cz) of the eight cells around, weighted by nearness, and n, the points
+    that it stands for, as a whole number. An empty cell counts with the point's own place, and with no points."""
+    means = cell_means(points, edge).select("frame", "kx", "ky", "kz", "n", "mixed", *[(F.col(f"s{c}") / F.col("n")).alias(f"m{c}") for c in "xyz"])
+    both = _eight(points.select("frame", "pid", "x", "y", "z"), edge).join(means, ["frame", "kx", "ky", "kz"], "left")
+    whole = (2 * edge) ** 3
+    moved = [(F.sum(F.col("w") * F.coalesce(f"m{c}", c)) / whole).alias(f"c{c}") for c in "xyz"]
+    stands = F.floor(F.sum(F.col("w") * F.coalesce("n", F.lit(0))) / whole).alias("n")
+    out = both.groupBy("frame", "pid").agg(F.coalesce(F.bool_or("mixed"), F.lit(False)).alias("mixed"), stands, *moved)
+    return out.where("mixed").select("frame", "pid", "n", "cx", "cy", "cz")
 
 
 def grid_centroids(points: DataFrame, edge: int) -> DataFrame:
     """weighted_centroids() to four digits."""
-    return weighted_centroids(points, edge).select("frame", "pid", *[F.round(f"c{c}", 4).alias(f"c{c}") for c in "xyz"])
+    return weighted_centroids(points, edge).select("frame", "pid", "n", *[F.round(f"c{c}", 4).alias(f"c{c}") for c in "xyz"])
 
 
-def grid_smoothed(points: DataFrame, edge: int, threshold: int) -> DataFrame:
-    """All points; one whose centroid is far moves to it (rounded) and gets the type 3, others keep place and type 0.
+def grid_smoothed(points: DataFrame, edge: int, threshold: int, size: int) -> DataFrame:
+    """All points (with boundary: whether a point lies at a patch's edge); a boundary point whose centroid is far moves to it (rounded) and gets type 3.
 
-    Far: n times the squared distance plus 0.5 is at least twice the larger of threshold and n, with n the points the centroid stands for.
+    Far: n times the squared distance plus 0.5 is at least twice the larger of threshold and n, with n the points the centroid stands for. Points
+    within half a cell of the ends of a space of size places stay, and so do those that are no boundary points.
     """
-    found = weighted_centroids(points, edge).withColumn("n", F.floor(F.col("w") / edge**3))
-    both = points.select("frame", "pid", "x", "y", "z").join(found, ["frame", "pid"], "left")
+    margin, end = max(edge // 2, 1), edge * (size // edge)
+    within = F.lit(True)
+    for c in "xyz":
+        within = within & (F.col(c) >= margin) & (F.col(c) + margin < end)
+    both = points.select("frame", "pid", "x", "y", "z", "boundary").join(weighted_centroids(points, edge), ["frame", "pid"], "left")
     d2 = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
-    far = (F.col("n") > 0) & (F.round(d2 * F.col("n"), 6) + 0.5 >= 2 * F.greatest(F.lit(threshold), F.col("n")))
+    far = F.coalesce(F.col("boundary") & within & (F.col("n") > 0) & (F.round(d2 * F.col("n"), 6) + 0.5 >= 2 * F.greatest(F.lit(threshold), F.col("n"))), F.lit(False))
     return both.select("frame", "pid", *[F.when(far, F.floor(F.round(f"c{c}", 6) + 0.5).cast("int")).otherwise(F.col(c)).alias(c) for c in "xyz"], F.when(far, 3).otherwise(0).alias("type"))
 
 

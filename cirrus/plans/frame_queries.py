@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cirrus.functions import geometry
 from cirrus.operators import images, metrics, neighbours, normals, patches, segmentation, smoothing, tiles, voxels
 from cirrus.plans.lineage import shared_dir
-from cirrus.plans.queries import _CELLS, _D2, _EIGHT, _WEIGHT, _patched, sql
+from cirrus.plans.queries import _CENTRES, _D2, _EIGHT, _patched, sql
 from cirrus.plans.registry import query
 from cirrus.sources import sidecar
 from cirrus.sources.derived import table
@@ -208,15 +208,15 @@ def filled_pixels(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "R46_smoothed_points",
     sql(
-        f"WITH {_CELLS}, t AS (SELECT p.frame, p.pid, {_WEIGHT} AS w, m.mixed, m.sx / m.n AS ax, m.sy / m.n AS ay, m.sz / m.n AS az FROM cloud_src p JOIN {_EIGHT} JOIN m ON m.frame = p.frame AND m.kx = (p.x - 3) // 6 + ox AND m.ky = (p.y - 3) // 6 + oy AND m.kz = (p.z - 3) // 6 + oz), "
-        "c AS (SELECT frame, pid, sum(w * ax) / sum(w) AS cx, sum(w * ay) / sum(w) AS cy, sum(w * az) / sum(w) AS cz, floor(sum(w) / 216) AS n FROM t GROUP BY frame, pid HAVING bool_or(mixed) AND sum(w) > 0), "
-        "d AS (SELECT p.frame, p.pid, p.x, p.y, p.z, cx, cy, cz, coalesce(n > 0 AND round(n * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2), 6) + 0.5 >= 2 * greatest(4, n), false) AS far FROM cloud_src p LEFT JOIN c ON p.frame = c.frame AND p.pid = c.pid) "
+        f"WITH {_CENTRES}, d AS (SELECT p.frame, p.pid, p.x, p.y, p.z, cx, cy, cz, coalesce(((p.x - 8) % 16 IN (0, 1, 14, 15) OR (p.y - 8) % 16 IN (0, 1, 14, 15)) AND least(p.x, p.y, p.z) >= 3 AND greatest(p.x, p.y, p.z) + 3 < 1020 "
+        "AND n > 0 AND round(n * ((p.x - cx) ** 2 + (p.y - cy) ** 2 + (p.z - cz) ** 2), 6) + 0.5 >= 2 * greatest(4, n), false) AS far FROM cloud_src p LEFT JOIN c ON p.frame = c.frame AND p.pid = c.pid) "
         "SELECT frame, pid, " + ", ".join(f"CASE WHEN far THEN CAST(floor(round(c{c}, 6) + 0.5) AS INTEGER) ELSE {c} END AS {c}" for c in "xyz") + ", CASE WHEN far THEN 3 ELSE 0 END AS type FROM d",
         "cloud_src",
     ),
 )
 def smoothed_points(spark: SparkSession, sf: str) -> DataFrame:
-    return smoothing.grid_smoothed(_patched(spark, sf), 6, 4)
+    edge = " OR ".join(f"({c} - 8) % 16 IN (0, 1, 14, 15)" for c in "xy")
+    return smoothing.grid_smoothed(_patched(spark, sf).withColumn("boundary", F.expr(edge)), 6, 4, 1024)
 
 
 _TINTED = "pt AS (SELECT frame, pid, x, y, z, ((x - 8) // 16) * 3 + (y - 8) // 16 AS patch, g * 256 AS c0, r * 256 AS c1, b * 256 AS c2 FROM cloud_src)"

@@ -385,19 +385,18 @@ def attribute_fetch(spark: SparkSession, sf: str) -> DataFrame:
     return at.join(table(spark, sf, "pixels"), ["frame", "x", "y"]).select("frame", "pid", "c0", "c1", "c2")
 
 
-_CELLS = "m AS (SELECT frame, x // 6 AS kx, y // 6 AS ky, z // 6 AS kz, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, count(DISTINCT ((x - 8) // 16) * 3 + (y - 8) // 16) > 1 AS mixed FROM cloud_src GROUP BY ALL)"
 _EIGHT = " JOIN ".join(f"(VALUES (0), (1)) o{c}(o{c}) ON true" for c in "xyz")
-_WEIGHT = " * ".join(f"(CASE WHEN o{c} = 0 THEN 6 - ({c} - 3) % 6 ELSE ({c} - 3) % 6 END)" for c in "xyz") + " * m.n"
+#: A point's place (x2) between the centres of the cells x0 and x0 + 1 of 6 places, as 2 w + 1; the cells' points; the eight weights and means.
+_CENTRES = (
+    "p AS (SELECT frame, pid, x, y, z, " + ", ".join(f"({c} - 3) // 6 AS {c}0, 2 * ({c} - 3 - 6 * (({c} - 3) // 6)) + 1 AS {c}2" for c in "xyz") + " FROM cloud_src), "
+    "m AS (SELECT x // 6 AS kx, y // 6 AS ky, z // 6 AS kz, frame, count(*) AS held, avg(x) AS ax, avg(y) AS ay, avg(z) AS az, count(DISTINCT ((x - 8) // 16) * 3 + (y - 8) // 16) > 1 AS mixed FROM cloud_src GROUP BY ALL), "
+    "e AS (SELECT p.*, m.mixed, coalesce(m.held, 0) AS held, coalesce(m.ax, p.x) AS ax, coalesce(m.ay, p.y) AS ay, coalesce(m.az, p.z) AS az, CAST((CASE WHEN i = 0 THEN 12 - x2 ELSE x2 END) * (CASE WHEN j = 0 THEN 12 - y2 ELSE y2 END) * (CASE WHEN k = 0 THEN 12 - z2 ELSE z2 END) AS BIGINT) AS weight "
+    "FROM p, range(2) AS r1(i), range(2) AS r2(j), range(2) AS r3(k) LEFT JOIN m ON m.frame = p.frame AND m.kx = x0 + i AND m.ky = y0 + j AND m.kz = z0 + k), "
+    "c AS (SELECT frame, pid, CAST(sum(weight * held) // 1728 AS BIGINT) AS n, sum(weight * ax) / 1728 AS cx, sum(weight * ay) / 1728 AS cy, sum(weight * az) / 1728 AS cz FROM e GROUP BY frame, pid HAVING bool_or(mixed))"
+)
 
 
-@query(
-    "R45_grid_centroids",
-    sql(
-        f"WITH {_CELLS}, t AS (SELECT p.frame, p.pid, {_WEIGHT} AS w, m.mixed, m.sx / m.n AS ax, m.sy / m.n AS ay, m.sz / m.n AS az FROM cloud_src p JOIN {_EIGHT} JOIN m ON m.frame = p.frame AND m.kx = (p.x - 3) // 6 + ox AND m.ky = (p.y - 3) // 6 + oy AND m.kz = (p.z - 3) // 6 + oz) "
-        "SELECT frame, pid, round(sum(w * ax) / sum(w), 4) AS cx, round(sum(w * ay) / sum(w), 4) AS cy, round(sum(w * az) / sum(w), 4) AS cz FROM t GROUP BY frame, pid HAVING bool_or(mixed) AND sum(w) > 0",
-        "cloud_src",
-    ),
-)
+@query("R45_grid_centroids", sql(f"WITH {_CENTRES} SELECT frame, pid, n, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz FROM c", "cloud_src"))
 def grid_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return smoothing.grid_centroids(_patched(spark, sf), 6)
 
