@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.operators import colour_transfer, orientation, patch_segmentation, voxels
+from cirrus.operators import chroma, colour_transfer, orientation, patch_segmentation, voxels
 from cirrus.operators.colour_transfer import Way
 from cirrus.plans.queries import _D2, sql
 from cirrus.plans.registry import query
 from cirrus.sources.derived import table
+from cirrus.streaming import tracks
 
 # ---- normals --------------------------------------------------------------------------------------------------------
 
@@ -157,3 +158,105 @@ def boundary_colour(spark: SparkSession, sf: str) -> DataFrame:
     edge = " OR ".join(f"({c} - 8) % 16 IN (0, 15)" for c in "xy")
     rec = _wide(table(spark, sf, "cloud_rec")).withColumn("type", F.when(F.expr(edge), 3).otherwise(0))
     return colour_transfer.boundary_transferred(rec, _wide(table(spark, sf, "cloud_src")), Way(4), Way(2), 1, 65535, 2000)
+
+
+# ---- tracks ---------------------------------------------------------------------------------------------------------
+
+
+@query("J11_patch_tracks")
+def patch_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.tracks(table(spark, sf, "patches"), 4)
+
+
+# ---- chroma filters -------------------------------------------------------------------------------------------------
+
+_DENSE = (
+    "s AS (SELECT frame, CAST(max(x) // 2 * 2 + 2 AS INT) AS w, CAST(max(y) // 2 * 2 + 2 AS INT) AS h FROM {px} GROUP BY frame), "
+    "im AS (SELECT s.frame, w, h, x.x, y.y, coalesce(p.u, 0.0::DOUBLE) AS u, coalesce(p.v, 0.0::DOUBLE) AS v FROM s, range(w) AS x(x), range(h) AS y(y) LEFT JOIN {px} p ON p.frame = s.frame AND p.x = x.x AND p.y = y.y)"
+)
+
+
+def _fir_sql(name: str, image: str, taps: tuple[float, ...], shift: int, along: str, at: str, back: int, places: str, number: str) -> str:
+    """Sums of taps along an axis of a dense image, at the places of a range, which number names."""
+    end = {"x": "w", "y": "h"}[along]
+    values = ", ".join(f"({t}, {float(v)}::DOUBLE)" for t, v in enumerate(taps))
+    rest = "y" if along == "x" else "x"
+    return (
+        f"{name} AS (SELECT q.frame, q.w, q.h, q.{rest}, {number} AS {along}, sum(tap * im.u) / {float(1 << shift)}::DOUBLE AS u, sum(tap * im.v) / {float(1 << shift)}::DOUBLE AS v "
+        f"FROM (SELECT DISTINCT frame, w, h, {rest}, j FROM {image}, {places}) q, (VALUES {values}) AS k(t, tap) JOIN {image} im ON im.frame = q.frame AND im.{rest} = q.{rest} AND im.{along} = least(greatest({at} + t - {back}, 0), q.{end} - 1) GROUP BY ALL)"
+    )
+
+
+def _halved_sql(taps: chroma.Down, image: str = "im") -> str:
+    across = _fir_sql("half_w", image, taps.horizontal, taps.shift, "x", "2 * j", (len(taps.horizontal) - 1) // 2, "range(w // 2) AS r(j)", "q.j")
+    down = _fir_sql("small", "half_w", taps.vertical, taps.shift, "y", "2 * j", (len(taps.vertical) - 1) // 2, "range(h // 2) AS r(j)", "q.j")
+    return f"{across}, {down}"
+
+
+def _doubled_sql(taps: chroma.Up, image: str) -> str:
+    parts = []
+    for n, (along, size, source, even, odd) in enumerate((("y", "h", image, taps.vertical0, taps.vertical1), ("x", "w", "tall", taps.horizontal0, taps.horizontal1))):
+        parts.append(_fir_sql(f"even{n}", source, even, 8, along, "j", (len(even) + 1) // 2, f"range({size}) AS r(j)", "2 * q.j"))
+        parts.append(_fir_sql(f"odd{n}", source, odd, 8, along, "j + 1", (len(odd) + 1) // 2, f"range({size}) AS r(j)", "2 * q.j + 1"))
+        columns = "frame, x, y, " + ("w, 2 * h AS h" if along == "y" else "2 * w AS w, h") + ", u, v"
+        parts.append(f"{'tall' if n == 0 else 'large'} AS (SELECT {columns} FROM even{n} UNION ALL SELECT {columns} FROM odd{n})")
+    return ", ".join(parts)
+
+
+_PX = "px AS (SELECT frame, x, y, CAST(c1 AS DOUBLE) AS u, CAST(c2 AS DOUBLE) AS v FROM pixels)"
+_AT = "frame, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y"
+
+
+def _planes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pixels").select("frame", "x", "y", F.col("c1").alias("u"), F.col("c2").alias("v"))
+
+
+def _four(df: DataFrame, *channels: str) -> DataFrame:
+    """To four digits; a negative zero as zero."""
+    return df.select("frame", "x", "y", *[F.when(F.round(c, 4) == 0, 0.0).otherwise(F.round(c, 4)).alias(c) for c in channels])
+
+
+_FOUR = ", ".join(f"CASE WHEN round({c}, 4) = 0 THEN 0.0::DOUBLE ELSE round({c}, 4) END AS {c}" for c in "uv")
+
+
+@query("I07_halved_chroma", sql(f"WITH {_PX}, {_DENSE.format(px='px')}, {_halved_sql(chroma.DOWN['FV'])} SELECT {_AT}, {_FOUR} FROM small", "pixels"))
+def halved_chroma(spark: SparkSession, sf: str) -> DataFrame:
+    return _four(chroma.halved(_planes(spark, sf), ["u", "v"], chroma.DOWN["FV"]), "u", "v")
+
+
+@query("I08_doubled_chroma", sql(f"WITH {_PX}, {_DENSE.format(px='px')}, {_doubled_sql(chroma.UP['LS3'], 'im')} SELECT {_AT}, {_FOUR} FROM large", "pixels"))
+def doubled_chroma(spark: SparkSession, sf: str) -> DataFrame:
+    return _four(chroma.doubled(_planes(spark, sf), ["u", "v"], chroma.UP["LS3"]), "u", "v")
+
+
+_TO_UNIT = "px AS (SELECT frame, x, y, " + ", ".join(f"least(greatest({e}, -0.5::DOUBLE), 0.5::DOUBLE) AS {n}" for n, e in (("u", "-0.114572::DOUBLE * (c0 / 255.0::DOUBLE) - 0.385428::DOUBLE * (c1 / 255.0::DOUBLE) + 0.5::DOUBLE * (c2 / 255.0::DOUBLE)"), ("v", "0.5::DOUBLE * (c0 / 255.0::DOUBLE) - 0.454153::DOUBLE * (c1 / 255.0::DOUBLE) - 0.045847::DOUBLE * (c2 / 255.0::DOUBLE)"))) + " FROM pixels)"
+_SMALL = f"{_TO_UNIT}, {_DENSE.format(px='px')}, {_halved_sql(chroma.DOWN['F0'])}, wh AS (SELECT frame, x, y, w // 2 AS w, h // 2 AS h, " + ", ".join(f"CAST(least(greatest(round(255.0::DOUBLE * round({c}, 9) + 128.0), 0), 255) AS INTEGER) AS {c}" for c in "uv") + " FROM small)"
+
+
+def _rgb(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pixels").select("frame", "x", "y", F.col("c0").alias("r"), F.col("c1").alias("g"), F.col("c2").alias("b"))
+
+
+@query("I09_yuv420_chroma", sql(f"WITH {_SMALL} SELECT {_AT}, u, v FROM wh", "pixels"))
+def yuv420_chroma(spark: SparkSession, sf: str) -> DataFrame:
+    return chroma.rgb_to_yuv420(_rgb(spark, sf))[1]
+
+
+_LUMA = "l AS (SELECT frame, x, y, CAST(least(greatest(round(255.0::DOUBLE * round(least(greatest(0.2126::DOUBLE * (c0 / 255.0::DOUBLE) + 0.7152::DOUBLE * (c1 / 255.0::DOUBLE) + 0.0722::DOUBLE * (c2 / 255.0::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE), 9)), 0), 255) AS INTEGER) AS luma FROM pixels)"
+_UNITS = "un AS (SELECT frame, x, y, w, h, " + ", ".join(f"least(greatest(({c} - 128) / 255.0::DOUBLE, -0.5::DOUBLE), 0.5::DOUBLE) AS {c}" for c in "uv") + " FROM wh)"
+_BACK = f"{_SMALL}, {_LUMA}, {_UNITS}, {_doubled_sql(chroma.UP['F0'], 'un')}, z AS (SELECT l.frame, l.x, l.y, l.luma / 255.0::DOUBLE AS l, u, v FROM l JOIN large g ON l.frame = g.frame AND l.x = g.x AND l.y = g.y)"
+_WHOLE16 = "CAST(least(greatest(round(65535.0::DOUBLE * round({c}, 9) + {o}), 0), 65535) AS INTEGER) AS {n}"
+
+
+@query("I11_yuv444_frame", sql(f"WITH {_BACK} SELECT {_AT}, {_WHOLE16.format(c='l', o='0.0', n='luma')}, {_WHOLE16.format(c='u', o='32768.0', n='u')}, {_WHOLE16.format(c='v', o='32768.0', n='v')} FROM z", "pixels"))
+def yuv444_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return chroma.yuv420_to_yuv444(*chroma.rgb_to_yuv420(_rgb(spark, sf)))
+
+
+_TO_RGB = ", ".join(f"CAST(floor(round(255.0::DOUBLE * least(greatest({e}, 0.0::DOUBLE), 1.0::DOUBLE), 6) + 0.5) AS INTEGER) AS {n}" for n, e in (("r", "l + 1.5748::DOUBLE * v"), ("g", "l - 0.18733::DOUBLE * u - 0.46813::DOUBLE * v"), ("b", "l + 1.85563::DOUBLE * u")))
+
+
+@query("I12_rgb_frame", sql(f"WITH {_BACK} SELECT {_AT}, {_TO_RGB} FROM z", "pixels"))
+def rgb_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames taken to 4:2:0 and back."""
+    return chroma.yuv420_to_rgb(*chroma.rgb_to_yuv420(_rgb(spark, sf)))
