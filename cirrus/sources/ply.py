@@ -2,13 +2,12 @@
 
 spark.read.format("ply").load("folder/cloud_%04d.ply") with options start and end reads a sequence up to its first missing file, or
 a folder as a whole. Header: ascii or binary, little or big endian; scalar properties of a vertex; other elements are skipped. Values are decoded by their
-declared types. Writing puts each frame of a task's rows into a file of its own, so rows are first dealt by frame.
+declared types. Writing puts each frame of a task's rows into a file of its own, so rows are first dealt by frame; files are published when the job commits.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from cirrus.sources.staged import Parts, Stage
+
 #: The scalar types of PLY and their aliases.
 TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
@@ -63,7 +64,8 @@ def text_of(columns: dict[str, np.ndarray], ascii_form: bool) -> bytes:
     out = ("\n".join([*head, "end_header"]) + "\n").encode()
     used = [*"xyz", *("rgb" if with_colour else "")]
     if ascii_form:
-        return out + "".join(" ".join(f"{int(v)}" for v in row) + "\n" for row in zip(*(columns[c] for c in used))).encode()
+        # Nine significant digits bring any float back.
+        return out + "".join(" ".join(f"{float(v):.9g}" for v in row) + "\n" for row in zip(*(columns[c] for c in used))).encode()
     rows = np.zeros(n, np.dtype([(c, "<f4" if c in "xyz" else "u1") for c in used]))
     for c in used:
         rows[c] = columns[c]
@@ -87,7 +89,7 @@ class PlySource(DataSource):
         return PlyReader(self.options["path"], self.options)
 
     def writer(self, schema, overwrite: bool) -> PlyWriter:
-        return PlyWriter(self.options["path"], self.options.get("form", "binary") == "ascii")
+        return PlyWriter(self.options["path"], self.options.get("form", "binary") == "ascii", int(self.options.get("first", 0)))
 
 
 class PlyReader(DataSourceReader):
@@ -122,25 +124,20 @@ class PlyReader(DataSourceReader):
 
 
 class PlyWriter(DataSourceArrowWriter):
-    """Rows of a frame come together (see write()); a file appears under its name when it is whole."""
+    """Rows of a frame come together (see write()). Files appear under their names when all tasks are through, or not at all."""
 
-    def __init__(self, path: str, ascii_form: bool):
-        self.path, self.ascii_form = path, ascii_form
+    def __init__(self, path: str, ascii_form: bool, first: int):
+        folder, _, name = path.rpartition("/") if "%" in path else (path, "", "cloud_%08d.ply")
+        self.stage, self.name, self.ascii_form, self.first = Stage(folder), name, ascii_form, first
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, top = fs.FileSystem.from_uri(self.path)
-        system.create_dir(top, recursive=True)
-        frame, held = None, []
+        parts, frame, held = Parts(), None, []
 
         def close() -> None:
             if held:
                 table = pa.Table.from_batches(held)
                 columns = {c: np.asarray(table.column(c)) for c in table.column_names if table.column(c).null_count == 0}
-                name = f"{top}/cloud_{frame:08d}.ply"
-                part = f"{top}/.{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(text_of(columns, self.ascii_form))
-                system.move(part, name)
+                self.stage.put(parts, self.name % (self.first + frame), text_of(columns, self.ascii_form))
 
         for batch in batches:
             frames = np.asarray(batch.column("frame"))
@@ -152,14 +149,25 @@ class PlyWriter(DataSourceArrowWriter):
                         frame, held = int(frames[a]), []
                     held.append(batch.slice(a, b - a))
         close()
-        return WriterCommitMessage()
+        return parts
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.stage.publish(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.stage.drop()
+
 
+def write(points: DataFrame, path: str, form: str = "binary", first: int = 0) -> int:
+    """One file for each frame (a frame is what one task holds), points in pid order; returns the number that follows the last frame's.
 
-def write(points: DataFrame, path: str, form: str = "binary") -> None:
-    """One file for each frame (a frame is what one task holds), points in pid order."""
+    path is a folder, or a pattern like folder/cloud_%04d.ply; a frame's file has the number first + frame. Of a job that fails, no file appears.
+    """
     points.sparkSession.dataSource.register(PlySource)
     dealt = points.repartition("frame").sortWithinPartitions("frame", "pid").select("frame", "x", "y", "z", "r", "g", "b")
-    dealt.write.format("ply").mode("append").option("path", path).option("form", form).save()
+    dealt.write.format("ply").mode("append").option("path", path).option("form", form).option("first", first).save()
+    last = points.agg({"frame": "max"}).first()[0]
+    return first if last is None else first + last + 1
 
 
 def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
