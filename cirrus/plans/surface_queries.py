@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.operators import chroma, colour_transfer, orientation, patch_segmentation, voxels
+from cirrus.operators import chroma, colour_transfer, neighbours, orientation, patch_segmentation, quality, voxels
 from cirrus.operators.colour_transfer import Way
 from cirrus.plans.queries import _D2, sql
 from cirrus.plans.registry import query
@@ -20,9 +20,9 @@ def _given(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return src, src.select("frame", "pid", *[((F.col(c) - 128) / 128.0).alias(n) for c, n in zip("rgb", orientation.N)])
 
 
-def _short(df: DataFrame) -> DataFrame:
-    """To five digits; a negative zero as zero."""
-    return df.select("frame", "pid", *[F.when(F.round(c, 5) == 0, 0.0).otherwise(F.round(c, 5)).alias(c) for c in orientation.N])
+def _short(df: DataFrame, digits: int = 5) -> DataFrame:
+    """To so many digits; a negative zero as zero."""
+    return df.select("frame", "pid", *[F.when(F.round(c, digits) == 0, 0.0).otherwise(F.round(c, digits)).alias(c) for c in orientation.N])
 
 
 @query("R03_tree_normals")
@@ -260,3 +260,69 @@ _TO_RGB = ", ".join(f"CAST(floor(round(255.0::DOUBLE * least(greatest({e}, 0.0::
 def rgb_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Frames taken to 4:2:0 and back."""
     return chroma.yuv420_to_rgb(*chroma.rgb_to_yuv420(_rgb(spark, sf)))
+
+
+# ---- distortion -----------------------------------------------------------------------------------------------------
+
+_MERGED = ", ".join(f"{n} AS (SELECT frame, x, y, z, min(pid) AS pid, " + ", ".join(f"CAST(sum({c}) // count(*) AS INTEGER) AS {c}" for c in ("r", "g", "b", "reflectance")) + f" FROM {{{n}}} GROUP BY frame, x, y, z)" for n in "ab")
+_SHINE = "(SELECT *, CAST(pid % 1000 AS INTEGER) AS reflectance FROM {})"
+_GIVEN = ", ".join(f"({c} - 128) / 128.0::DOUBLE AS n{n}" for c, n in zip("rgb", "xyz"))
+_MEAN = ", ".join(f"avg(n{c}) AS n{c}" for c in "xyz")
+
+
+def _tied_sql(name: str, a: str, b: str) -> str:
+    return f"{name} AS (SELECT frame, pid, nn_pid, d2 FROM (SELECT a.frame, a.pid, b.pid AS nn_pid, {_D2} AS d2, min({_D2}) OVER (PARTITION BY a.frame, a.pid) AS least FROM {a} a JOIN {b} b ON a.frame = b.frame) t WHERE d2 = least)"
+
+
+def _scaled_sql(points: str, normals: str, ahead: str, back: str) -> str:
+    return (
+        f"given AS (SELECT t.frame, t.nn_pid AS pid, {_MEAN} FROM {ahead} t JOIN {normals} n ON t.frame = n.frame AND t.pid = n.pid GROUP BY t.frame, t.nn_pid), "
+        f"nb AS (SELECT * FROM given UNION ALL SELECT t.frame, t.pid, {_MEAN} FROM {back} t JOIN {normals} n ON t.frame = n.frame AND t.nn_pid = n.pid WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.frame = t.frame AND g.pid = t.pid) GROUP BY t.frame, t.pid)"
+    )
+
+
+def _one_way_sql(name: str, way: str, a: str, b: str, near: str, normals: str) -> str:
+    along = " + ".join(f"(p.{c} - q.{c}) * n.n{c}" for c in "xyz")
+    each = f"(SELECT t.frame, t.pid, any_value(t.d2) AS d2, any_value(p.r) AS r, any_value(p.g) AS g, any_value(p.b) AS b, any_value(p.reflectance) AS shine, arg_min(q.reflectance, q.pid) AS shine2, avg(({along}) * ({along})) AS plane, " + ", ".join(f"floor(avg(q.{c}) + 0.5) AS {c}2" for c in "rgb")
+    each += f" FROM {near} t JOIN {a} p ON t.frame = p.frame AND t.pid = p.pid JOIN {b} q ON t.frame = q.frame AND t.nn_pid = q.pid JOIN {normals} n ON t.frame = n.frame AND t.nn_pid = n.pid GROUP BY t.frame, t.pid)"
+    yuv = {"y": (0.2126, 0.7152, 0.0722), "u": (-0.1146, -0.3854, 0.5), "v": (0.5, -0.4542, -0.0458)}
+    differ = ", ".join("avg(pow((" + " + ".join(f"{w}::DOUBLE * ({c} - {c}2)" for w, c in zip(ws, "rgb")) + f") / 255.0::DOUBLE, 2)) AS mse_{k}" for k, ws in yuv.items())
+    return f"{name} AS (SELECT frame, '{way}' AS way, count(*) AS n, avg(d2) AS mse, CAST(max(d2) AS DOUBLE) AS hausdorff, avg(plane) AS plane_mse, max(plane) AS plane_hausdorff, {differ}, avg(pow(CAST(shine - shine2 AS DOUBLE), 2)) AS mse_r FROM {each} e GROUP BY frame)"
+
+
+def _psnr_columns() -> str:
+    parts = []
+    for m, factor in quality.MEASURES.items():
+        peak = 65535.0 if m == "mse_r" else 1.0 if m.startswith("mse_") else 1023.0
+        parts.append(f"round(CASE WHEN {m} = 0 THEN 'Infinity'::DOUBLE ELSE 10 * log10({factor * peak * peak}::DOUBLE / nullif({m}, 0)) END, 5) AS psnr_{m.removeprefix('mse_') if m.startswith('mse_') else m}")
+    return ", ".join([f"round({m}, 6) AS {m}" for m in quality.MEASURES] + parts)
+
+
+def _shining(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return table(spark, sf, name).withColumn("reflectance", (F.col("pid") % 1000).cast("int"))
+
+
+def _normal_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    src = table(spark, sf, "cloud_src")
+    return src.select("frame", "pid", *"xyz", *[((F.col(c) - 128) / 128.0).alias(n) for c, n in zip("rgb", quality.N)])
+
+
+@query("J08_scaled_normals", sql(f"WITH {_tied_sql('f', 'cloud_src', 'cloud_rec')}, {_tied_sql('k', 'cloud_rec', 'cloud_src')}, na AS (SELECT frame, pid, {_GIVEN} FROM cloud_src), {_scaled_sql('cloud_rec', 'na', 'f', 'k')} SELECT frame, pid, " + ", ".join(f"CASE WHEN n{c} = 0 THEN 0.0::DOUBLE ELSE round(n{c}, 12) END AS n{c}" for c in "xyz") + " FROM nb", "cloud_src", "cloud_rec"))
+def scaled_normals(spark: SparkSession, sf: str) -> DataFrame:
+    """Normals of the first cloud carried over to the second one."""
+    src, rec = table(spark, sf, "cloud_src"), table(spark, sf, "cloud_rec")
+    return _short(quality.scaled_normals(rec, _given(spark, sf)[1], neighbours.tied(src, rec), neighbours.tied(rec, src)), 12)
+
+
+_QUALITY = (
+    f"WITH {_MERGED.format(a=_SHINE.format('cloud_src'), b=_SHINE.format('cloud_rec'))}, {_tied_sql('f', 'a', 'b')}, {_tied_sql('k', 'b', 'a')}, "
+    f"spot AS (SELECT frame, x, y, z, arg_max(r, pid) AS r, arg_max(g, pid) AS g, arg_max(b, pid) AS b FROM cloud_src GROUP BY frame, x, y, z), na AS (SELECT a.frame, a.pid, {_GIVEN.replace('(r', '(spot.r').replace('(g', '(spot.g').replace('(b', '(spot.b')} FROM a JOIN spot ON a.frame = spot.frame AND a.x = spot.x AND a.y = spot.y AND a.z = spot.z), "
+    f"{_scaled_sql('b', 'na', 'f', 'k')}, {_one_way_sql('w1', '1', 'a', 'b', 'f', 'nb')}, {_one_way_sql('w2', '2', 'b', 'a', 'k', 'na')}, w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2), "
+    "whole AS (SELECT * FROM w UNION ALL SELECT frame, 'F', max(n), " + ", ".join(f"max({m})" for m in ("mse", "hausdorff", "plane_mse", "plane_hausdorff", "mse_y", "mse_u", "mse_v", "mse_r")) + " FROM w GROUP BY frame)"
+)
+
+
+@query("A12_sequence_quality", sql(f"{_QUALITY} SELECT frame, way, n, {_psnr_columns()} FROM whole", "cloud_src", "cloud_rec"))
+def sequence_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Both directions and the worse one, for each frame: places, planes, colours and reflectance (with A07, A09 and A13)."""
+    return quality.evaluated(_shining(spark, sf, "cloud_src"), _shining(spark, sf, "cloud_rec"), _normal_cloud(spark, sf))
