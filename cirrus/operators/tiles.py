@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrus.functions import geometry
 from cirrus.operators.patches import block_owner
 
 
-def of_segments(patches: DataFrame, least: int) -> DataFrame:
-    """frame, patch, place and tile: the three largest patches are in tile 0, of the others those below least across in 1, the rest in 2.
+def of_segments(patches: DataFrame, least: int, block: int = 16) -> DataFrame:
+    """frame, patch, place, side, own and tile: the three largest patches are in tile 0, of the others those below least across in 1, the rest in 2.
 
-    Where one of the tiles 1 and 2 is empty and the other isn't, it borrows the other's last patch. Patches of a frame are few.
+    Larger is what has the longer side, then the longer shorter side, then the smaller index; side is the longer one in whole blocks. Where one of
+    the tiles 1 and 2 is empty and the other isn't, it borrows the other's last patch; own is the tile before that. Patches of a frame are few.
     """
-    order = Window.partitionBy("frame").orderBy((F.col("size_u") * F.col("size_v")).desc(), "patch")
-    side = F.greatest("size_u", "size_v")
+    long, short = F.greatest("size_u", "size_v"), F.least("size_u", "size_v")
+    order = Window.partitionBy("frame").orderBy(long.desc(), short.desc(), "patch")
+    side = (F.ceil(long / block) * block).cast("int")
     rows = patches.select("frame", "patch", side.alias("side"), F.row_number().over(order).alias("place"))
-    rows = rows.withColumn("tile", F.when(F.col("place") <= 3, 0).when(F.col("side") < least, 1).otherwise(2))
+    rows = rows.withColumn("own", F.when(F.col("place") <= 3, 0).when(F.col("side") < least, 1).otherwise(2))
     frame = Window.partitionBy("frame")
-    small, large = (F.count_if(F.col("tile") == t).over(frame) for t in (1, 2))
+    small, large = (F.count_if(F.col("own") == t).over(frame) for t in (1, 2))
     last = F.col("place") == F.max("place").over(frame)
-    lends = last & (F.col("tile") > 0) & ((small == 0) | (large == 0))
-    return rows.select("frame", "patch", "place", "side", F.when(lends, 3 - F.col("tile")).otherwise(F.col("tile")).alias("tile"))
+    lends = last & (F.col("own") > 0) & ((small == 0) | (large == 0))
+    return rows.select("frame", "patch", "place", "side", "own", F.when(lends, 3 - F.col("own")).otherwise(F.col("own")).alias("tile"))
 
 
 def layout(tiled: DataFrame, raw: DataFrame, width: int, least: int, raw_width: int) -> DataFrame:
     """frame, tile, left_, top, width, height: tile 0 at the origin, 1 right of it, 2 below it, raw points (frame, n) in 3 below all of them.
 
-    Tiles 0 and 2 are width across, 1 is least; a tile is as high as its longest patch, or has no height.
+    Tiles 0 and 2 are width across, 1 is least; a tile is as high as its longest patch, or has no height. A borrowed patch counts where it was.
     """
-    high = tiled.groupBy("frame").agg(*[F.coalesce(F.max(F.when(F.col("tile") == t, F.col("side"))), F.lit(0)).alias(f"h{t}") for t in range(3)])
+    high = tiled.groupBy("frame").agg(*[F.coalesce(F.max(F.when(F.col("own") == t, F.col("side"))), F.lit(0)).alias(f"h{t}") for t in range(3)])
     both = high.join(raw, "frame", "left").withColumn("h3", F.ceil(F.coalesce("n", F.lit(0)) / raw_width).cast("int"))
     zero, below = F.lit(0), F.greatest(F.col("h0") + F.col("h2"), F.col("h1"))
     corner = [(zero, zero, width), (F.lit(width), zero, least), (zero, F.col("h0"), width), (zero, below, raw_width)]
@@ -62,3 +65,25 @@ def padded_blocks(blocks: DataFrame, patches: DataFrame, group: int) -> DataFram
     grid = sized.withColumn("bu", F.explode(F.sequence(F.lit(0), F.col("wu") - 1))).withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("wv") - 1)))
     full = blocks.select("frame", "patch", "bu", "bv", F.lit(1).alias("occ")).distinct()
     return grid.join(full, ["frame", "patch", "bu", "bv"], "left").select("frame", "patch", "bu", "bv", F.coalesce("occ", F.lit(0)).alias("occ"))
+
+
+def roi_chunks(points: DataFrame, rois: list[tuple[list[int], list[int]]], cuts: tuple[int, int, int]) -> DataFrame:
+    """frame, pid and chunk: which part of which region a point is in; a point of several regions is in several chunks, one of none in none.
+
+    A region (low and high corner, ends included) shrinks to the box of a frame's points in it. Its longest side (of equal ones the first axis) is cut into
+    cuts[0] ranges, the next one into cuts[1], the shortest into cuts[2]; ranges are of equal length up to rounding and don't overlap. Chunks are numbered by
+    region, then by their range on x, y and z.
+    """
+    inside = [F.when(geometry.inside([F.col(c) for c in "xyz"], low, high), F.lit(i)) for i, (low, high) in enumerate(rois)]
+    rows = points.select("frame", "pid", *"xyz", F.explode(F.array_compact(F.array(*inside))).alias("roi"))
+    tight = rows.groupBy("frame", "roi").agg(*[F.min(c).alias(f"l{c}") for c in "xyz"], *[(F.max(c) - F.min(c) + 1).alias(f"n{c}") for c in "xyz"])
+    for k, c in enumerate("xyz"):
+        before = sum(((F.col(f"n{o}") >= F.col(f"n{c}") if j < k else F.col(f"n{o}") > F.col(f"n{c}")).cast("int") for j, o in enumerate("xyz") if o != c), F.lit(0))
+        tight = tight.withColumn(f"cuts_{c}", F.element_at(F.array(*[F.lit(n) for n in cuts]), before + 1))
+    found = rows.join(tight, ["frame", "roi"])
+    for c in "xyz":
+        found = found.withColumn(f"at_{c}", F.explode(F.sequence(F.lit(0), F.col(f"cuts_{c}") - 1)))
+        edge = lambda i, c=c: F.round(i * F.col(f"n{c}") / F.col(f"cuts_{c}")) + F.col(f"l{c}")
+        found = found.where((F.col(c) >= edge(F.col(f"at_{c}"))) & (F.col(c) < edge(F.col(f"at_{c}") + 1)))
+    chunk = F.col("roi") * (cuts[0] * cuts[1] * cuts[2]) + (F.col("at_x") * F.col("cuts_y") + F.col("at_y")) * F.col("cuts_z") + F.col("at_z")
+    return found.select("frame", "pid", chunk.cast("int").alias("chunk"))

@@ -82,16 +82,25 @@ def metric_report(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.report(metrics.two_way(table(spark, sf, "cloud_src"), table(spark, sf, "cloud_rec")))
 
 
-@query("U05_roi_chunks", sql("WITH b AS (SELECT frame, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) - min(x) + 1 AS nx, max(y) - min(y) + 1 AS ny, max(z) - min(z) + 1 AS nz FROM cloud_src GROUP BY frame), p AS (SELECT s.frame, s.pid, CASE WHEN nx >= ny AND nx >= nz THEN s.x - lx WHEN ny >= nz THEN s.y - ly ELSE s.z - lz END AS away, greatest(nx, ny, nz) AS len FROM cloud_src s JOIN b ON s.frame = b.frame) SELECT frame, pid, chunk FROM p JOIN (VALUES (0), (1), (2)) c(chunk) ON away * 3 >= chunk * len - 6 AND away * 3 < (chunk + 1) * len + 6", "cloud_src"))
+#: Regions of a frame, and cuts along the longest, the next and the shortest side.
+_ROIS, _CUTS = [([8, 8, 0], [40, 60, 200]), ([30, 20, 10], [500, 500, 60])], (4, 2, 3)
+
+
+def _chunk_sql() -> str:
+    roi = ", ".join(f"({i}, {', '.join(map(str, low + high))})" for i, (low, high) in enumerate(_ROIS))
+    sides = " UNION ALL ".join(f"SELECT frame, roi, {k} AS axis, min({c}) AS low, max({c}) - min({c}) + 1 AS len FROM q GROUP BY frame, roi" for k, c in enumerate("xyz"))
+    cuts = "CASE row_number() OVER (PARTITION BY frame, roi ORDER BY len DESC, axis) " + " ".join(f"WHEN {i + 1} THEN {n}" for i, n in enumerate(_CUTS)) + " END"
+    ranges = "rg AS (SELECT s.*, i, low + round(i * (len / cuts::DOUBLE)) AS first, low + round((i + 1) * (len / cuts::DOUBLE) - 1) AS last FROM s, range(10) AS r(i) WHERE i < cuts)"
+    joins = " ".join(f"JOIN rg r{c} ON r{c}.frame = q.frame AND r{c}.roi = q.roi AND r{c}.axis = {k} AND q.{c} BETWEEN r{c}.first AND r{c}.last" for k, c in enumerate("xyz"))
+    return (
+        f"WITH roi(roi, lx, ly, lz, hx, hy, hz) AS (VALUES {roi}), q AS (SELECT p.frame, p.pid, p.x, p.y, p.z, roi FROM cloud_src p JOIN roi ON p.x BETWEEN lx AND hx AND p.y BETWEEN ly AND hy AND p.z BETWEEN lz AND hz), "
+        f"s AS (SELECT *, {cuts} AS cuts FROM ({sides}) t), {ranges} SELECT q.frame, q.pid, CAST(q.roi * {_CUTS[0] * _CUTS[1] * _CUTS[2]} + (rx.i * ry.cuts + ry.i) * rz.cuts + rz.i AS INTEGER) AS chunk FROM q {joins}"
+    )
+
+
+@query("U05_roi_chunks", sql(_chunk_sql(), "cloud_src"))
 def roi_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Three overlapping chunks along the longest side of a frame's box (the first of equal ones); a point near a cut is in two."""
-    src = table(spark, sf, "cloud_src")
-    box = src.groupBy("frame").agg(*[F.min(c).alias(f"l{c}") for c in "xyz"], *[(F.max(c) - F.min(c) + 1).alias(f"n{c}") for c in "xyz"])
-    length = F.greatest("nx", "ny", "nz")
-    at = F.coalesce(*[F.when(F.col(f"n{c}") == length, F.col(c) - F.col(f"l{c}")) for c in "xyz"]) * 3
-    chunk = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("chunk")
-    rows = src.join(box, "frame").select("frame", "pid", at.alias("away"), length.alias("len"), chunk)
-    return rows.where("away >= chunk * len - 6 AND away < (chunk + 1) * len + 6").select("frame", "pid", "chunk")
+    return tiles.roi_chunks(table(spark, sf, "cloud_src"), _ROIS, _CUTS)
 
 
 @query(
@@ -117,19 +126,19 @@ def reference_frames(spark: SparkSession, sf: str) -> DataFrame:
 # ---- tiles and tracks -----------------------------------------------------------------------------------------------
 
 _TILES = (
-    "o AS (SELECT frame, patch, greatest(size_u, size_v) AS side, row_number() OVER (PARTITION BY frame ORDER BY size_u * size_v DESC, patch) AS n FROM patches), "
+    "o AS (SELECT frame, patch, CAST(ceil(greatest(size_u, size_v) / 4.0) * 4 AS INTEGER) AS side, row_number() OVER (PARTITION BY frame ORDER BY greatest(size_u, size_v) DESC, least(size_u, size_v) DESC, patch) AS n FROM patches), "
     "t AS (SELECT *, CASE WHEN n <= 3 THEN 0 WHEN side < 16 THEN 1 ELSE 2 END AS t0 FROM o), c AS (SELECT frame, count(*) FILTER (WHERE t0 = 1) AS c1, count(*) FILTER (WHERE t0 = 2) AS c2, max(n) AS m FROM t GROUP BY frame), "
-    "tl AS (SELECT t.frame, t.patch, t.side, CASE WHEN n = m AND n > 3 AND c1 = 0 THEN 1 WHEN n = m AND n > 3 AND c2 = 0 THEN 2 ELSE t0 END AS tile FROM t JOIN c ON t.frame = c.frame)"
+    "tl AS (SELECT t.frame, t.patch, t.side, t0, CASE WHEN n = m AND n > 3 AND c1 = 0 THEN 1 WHEN n = m AND n > 3 AND c2 = 0 THEN 2 ELSE t0 END AS tile FROM t JOIN c ON t.frame = c.frame)"
 )
 _LAYOUT = (
-    "h AS (SELECT frame, coalesce(max(side) FILTER (WHERE tile = 0), 0) AS h0, coalesce(max(side) FILTER (WHERE tile = 1), 0) AS h1, coalesce(max(side) FILTER (WHERE tile = 2), 0) AS h2 FROM tl GROUP BY frame), "
+    "h AS (SELECT frame, coalesce(max(side) FILTER (WHERE t0 = 0), 0) AS h0, coalesce(max(side) FILTER (WHERE t0 = 1), 0) AS h1, coalesce(max(side) FILTER (WHERE t0 = 2), 0) AS h2 FROM tl GROUP BY frame), "
     "rw AS (SELECT frame, count(*) AS n FROM cloud_src WHERE pri = '1-URGENT' GROUP BY frame), b AS (SELECT h.*, CAST(ceil(coalesce(n, 0) / 64.0) AS INTEGER) AS h3 FROM h LEFT JOIN rw ON h.frame = rw.frame), "
     "pl AS (SELECT frame, 0 AS tile, 0 AS left_, 0 AS top, 48 AS width, h0 AS height FROM b UNION ALL SELECT frame, 1, 48, 0, 16, h1 FROM b UNION ALL SELECT frame, 2, 0, h0, 48, h2 FROM b UNION ALL SELECT frame, 3, 0, greatest(h0 + h2, h1), 64, h3 FROM b)"
 )
 
 
 def _tiled(spark: SparkSession, sf: str) -> DataFrame:
-    return tiles.of_segments(table(spark, sf, "patches"), 16)
+    return tiles.of_segments(table(spark, sf, "patches"), 16, 4)
 
 
 def _laid(spark: SparkSession, sf: str) -> DataFrame:
