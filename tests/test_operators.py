@@ -222,7 +222,7 @@ def test_tiles_borrow_and_layout(spark):
     assert {(r.frame, r.patch): r.tile for r in tiled.collect()} == {(0, 0): 0, (0, 1): 0, (0, 2): 0, (0, 3): 2, (0, 4): 1, (1, 0): 0}
     raw = spark.createDataFrame([(0, 65)], "frame int, n long")
     placed = {(r.frame, r.tile): (r.left_, r.top, r.width, r.height) for r in tiles.layout(tiled, raw, 48, 16, 64).collect()}
-    assert placed == {(0, 0): (0, 0, 48, 30), (0, 1): (48, 0, 16, 18), (0, 2): (0, 30, 48, 20), (0, 3): (0, 50, 64, 2), (1, 0): (0, 0, 48, 5), (1, 1): (48, 0, 16, 0), (1, 2): (0, 5, 48, 0), (1, 3): (0, 5, 64, 0)}
+    assert placed == {(0, 0): (0, 0, 48, 32), (0, 1): (48, 0, 16, 0), (0, 2): (0, 32, 48, 32), (0, 3): (0, 64, 64, 2), (1, 0): (0, 0, 48, 16), (1, 1): (48, 0, 16, 0), (1, 2): (0, 16, 48, 0), (1, 3): (0, 16, 64, 0)}
     assert tiles.of_segments(patches.limit(0), 16).count() == 0
 
 
