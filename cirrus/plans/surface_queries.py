@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.operators import chroma, colour_transfer, neighbours, orientation, patch_segmentation, quality, voxels
+from cirrus.operators import chroma, colour_transfer, dilation, neighbours, orientation, patch_segmentation, quality, voxels
 from cirrus.operators.colour_transfer import Way
 from cirrus.plans.queries import _D2, sql
 from cirrus.plans.registry import query
@@ -262,6 +262,11 @@ def rgb_frame(spark: SparkSession, sf: str) -> DataFrame:
     return chroma.yuv420_to_rgb(*chroma.rgb_to_yuv420(_rgb(spark, sf)))
 
 
+@query("I38_dilated_frame")
+def dilated_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return dilation.dilated(table(spark, sf, "pixels"), ["c0", "c1", "c2"])
+
+
 # ---- distortion -----------------------------------------------------------------------------------------------------
 
 _MERGED = ", ".join(f"{n} AS (SELECT frame, x, y, z, min(pid) AS pid, " + ", ".join(f"CAST(sum({c}) // count(*) AS INTEGER) AS {c}" for c in ("r", "g", "b", "reflectance")) + f" FROM {{{n}}} GROUP BY frame, x, y, z)" for n in "ab")
