@@ -64,7 +64,7 @@ def test_components_of_edges(spark, m):
 
 
 def test_components_of_a_long_path(spark):
-    order = list(range(300))
+    order = list(range(100))
     random.Random(2).shuffle(order)
     edges = [(0, min(a, b), max(a, b)) for a, b in zip(order, order[1:])]
     assert {r.root for r in contraction.components(spark.createDataFrame(edges, "frame int, u long, v long")).collect()} == {0}
@@ -274,7 +274,7 @@ def folded(seed, n=220):
     return points, planes
 
 
-@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"level": 4, "deepest": 6, "thickness": 2}), (3, {"expand": True, "detection": 4}), (4, {"expand": True, "peak": 2, "block": 4})])
+@pytest.mark.parametrize(("seed", "more"), [(3, {"expand": True, "detection": 4}), (4, {"peak": 2, "block": 4, "level": 4, "deepest": 9, "thickness": 2})])
 def test_segments(spark, seed, more):
     limits = patch_segmentation.Limits(**{"neighbours": 6, "least_points": 5, "detection": 2, "selection": 1, "thickness": 3} | more)
     points, planes = folded(seed)
@@ -295,11 +295,11 @@ def test_segments_of_nothing(spark):
 
 def test_pipeline_of_a_box(spark):
     """The six sides of a hollow box become six patches, whatever side a normal pointed to."""
-    side = range(12)
-    points = sorted({(x, y, z) for x in side for y in side for z in side if 0 in (x, y, z) or 11 in (x, y, z)})
+    side = range(9)
+    points = sorted({(x, y, z) for x in side for y in side for z in side if 0 in (x, y, z) or 8 in (x, y, z)})
     found = patch_segmentation.pipeline(cloud(spark, [(0, i, *p) for i, p in enumerate(points)]), patch_segmentation.Limits(neighbours=9, least_points=20), 9)
     sizes = [r.n for r in found.patches.collect()]
-    assert len(sizes) == 6 and min(sizes) > 80 and found.raw.count() == 0
+    assert len(sizes) == 6 and min(sizes) > 40 and found.raw.count() == 0
 
 
 # ---- voxels ---------------------------------------------------------------------------------------------------------
