@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.operators import chroma, colour_transfer, dilation, neighbours, orientation, patch_segmentation, quality, voxels
+from cirrus.operators import chroma, colour_transfer, dilation, fills, neighbours, orientation, patch_segmentation, quality, voxels
 from cirrus.operators.colour_transfer import Way
 from cirrus.plans.queries import _D2, sql
 from cirrus.plans.registry import query
@@ -267,6 +267,54 @@ def dilated_frame(spark: SparkSession, sf: str) -> DataFrame:
     return dilation.dilated(table(spark, sf, "pixels"), ["c0", "c1", "c2"])
 
 
+_CHANNELS = ("c0", "c1", "c2")
+
+
+def _smoothed_push_pull_sql(depth: int) -> str:
+    """Canvases of at most 4 * 2 ** depth on each side. In layer i, f is the filled layer, s its states between rounds of smoothing."""
+    each = lambda form: ", ".join(form.format(c=c) for c in _CHANNELS)
+    ctes = ["b0 AS (SELECT frame, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY frame HAVING max(occ) = 1)", f"l0 AS MATERIALIZED (SELECT frame, x, y, {each('{c}')} FROM pixels WHERE occ = 1)"]
+    for i in range(1, depth + 1):
+        ctes += [f"b{i} AS (SELECT frame, (w + 1) // 2 AS w, (h + 1) // 2 AS h FROM b{i - 1})", f"l{i} AS MATERIALIZED (SELECT frame, x // 2 AS x, y // 2 AS y, {each('sum({c}) // count(*) AS {c}')} FROM l{i - 1} GROUP BY frame, x // 2, y // 2)"]
+    ends = " ".join(f"WHEN b{i}.w <= 4 OR b{i}.h <= 4 THEN {i}" for i in range(1, depth + 1))
+    ctes.append(f"ends AS MATERIALIZED (SELECT b0.frame, CASE {ends} END AS low FROM b0 " + " ".join(f"JOIN b{i} ON b0.frame = b{i}.frame" for i in range(1, depth + 1)) + ")")
+    ctes.append("around AS (SELECT * FROM (SELECT unnest([-1, 0, 1]) AS i) a, (SELECT unnest([-1, 0, 1]) AS j) b WHERE i <> 0 OR j <> 0)")
+    for i in range(depth, -1, -1):
+        ctes.append(f"g{i} AS MATERIALIZED (SELECT t.frame, w, h, low, x, CAST(unnest(range(h)) AS BIGINT) AS y FROM (SELECT b.frame, w, h, low, CAST(unnest(range(w)) AS BIGINT) AS x FROM b{i} b JOIN ends e ON b.frame = e.frame WHERE low >= {i}) t)")
+        last = f"SELECT g.frame, g.x, g.y, {each('coalesce(l.{c}, 0) AS {c}')} FROM g{i} g LEFT JOIN l{i} l ON g.frame = l.frame AND g.x = l.x AND g.y = l.y WHERE low = {i}"
+        if i == depth:
+            ctes.append(f"f{i} AS MATERIALIZED ({last})")
+            continue
+        weight = "(CASE WHEN m.x = e.x // 2 THEN 12 ELSE 4 END) * (CASE WHEN m.y = e.y // 2 THEN 12 ELSE 4 END)"
+        ctes.append(
+            f"s{i}_0 AS MATERIALIZED (SELECT g.frame, w, h, low, g.x, g.y, {each('l.{c}')}, true AS known FROM g{i} g JOIN l{i} l ON g.frame = l.frame AND g.x = l.x AND g.y = l.y WHERE low > {i} "
+            f"UNION ALL SELECT e.frame, w, h, low, e.x, e.y, {each('sum(m.{c} * ' + weight + ') // sum(' + weight + ') AS {c}')}, false FROM (SELECT g.* FROM g{i} g ANTI JOIN l{i} l ON g.frame = l.frame AND g.x = l.x AND g.y = l.y WHERE low > {i}) e "
+            f"JOIN f{i + 1} m ON m.frame = e.frame AND m.x IN (e.x // 2, e.x // 2 - 1 + 2 * (e.x % 2)) AND m.y IN (e.y // 2, e.y // 2 - 1 + 2 * (e.y % 2)) GROUP BY e.frame, w, h, low, e.x, e.y)"
+        )
+        rounds = min(4 + depth - 1 - i, 16)
+        for k in range(1, rounds + 1):
+            due = f"NOT known AND {k} <= least(4 + low - 1 - {i}, 16)"
+            ctes.append(
+                f"s{i}_{k} AS MATERIALIZED (SELECT * FROM s{i}_{k - 1} WHERE NOT ({due}) UNION ALL SELECT t.frame, t.w, t.h, t.low, t.x, t.y, {each('(sum(u.{c}) + 4) // 8 AS {c}')}, false FROM (SELECT s.*, "
+                f"least(greatest(x + i, 0), w - 1) AS ux, least(greatest(y + j, 0), h - 1) AS uy FROM s{i}_{k - 1} s, around WHERE {due}) t JOIN s{i}_{k - 1} u ON t.frame = u.frame AND u.x = ux AND u.y = uy GROUP BY t.frame, t.w, t.h, t.low, t.x, t.y)"
+            )
+        whole = f" UNION ALL {last}" if i else ""
+        ctes.append(f"f{i} AS MATERIALIZED (SELECT frame, x, y, {each('{c}')} FROM s{i}_{rounds}{whole})")
+    return f"WITH {', '.join(ctes)} SELECT frame, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {each('CAST({c} AS INTEGER) AS {c}')} FROM f0"
+
+
+@query("I47_smoothed_push_pull", sql(_smoothed_push_pull_sql(4), "pixels"))
+def smoothed_push_pull(spark: SparkSession, sf: str) -> DataFrame:
+    return fills.smoothed_push_pull(table(spark, sf, "pixels"))
+
+
+@query("I42_harmonic_fill")
+def harmonic_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Values between the occupied pixels (with I43 and I44), cut off after two digits are rounded."""
+    filled = fills.harmonic_fill(table(spark, sf, "pixels"))
+    return filled.select("frame", "x", "y", *[F.floor(F.round(c, 2)).cast("int").alias(c) for c in _CHANNELS])
+
+
 # ---- distortion -----------------------------------------------------------------------------------------------------
 
 _MERGED = ", ".join(f"{n} AS (SELECT frame, x, y, z, min(pid) AS pid, " + ", ".join(f"CAST(sum({c}) // count(*) AS INTEGER) AS {c}" for c in ("r", "g", "b", "reflectance")) + f" FROM {{{n}}} GROUP BY frame, x, y, z)" for n in "ab")
