@@ -228,6 +228,66 @@ def smoothed_points(spark: SparkSession, sf: str) -> DataFrame:
     return smoothing.grid_smoothed(_patched(spark, sf).withColumn("boundary", F.expr(edge)), 6, 4, 1024)
 
 
+_AT_EDGE = "(x - 8) % 16 IN (0, 1, 14, 15) OR (y - 8) % 16 IN (0, 1, 14, 15)"
+_EDGED = f"pt AS (SELECT *, ((x - 8) // 16) * 3 + (y - 8) // 16 AS patch, ({_AT_EDGE}) AS boundary FROM cloud_src)"
+
+
+def _edged(spark: SparkSession, sf: str) -> DataFrame:
+    return _patched(spark, sf).withColumn("boundary", F.expr(_AT_EDGE))
+
+
+@query(
+    "R44_smoothed_frames",
+    sql(
+        f"WITH {_EDGED}, ends AS (SELECT frame, 5 * ((greatest(max(x), max(y), max(z)) + 4) // 5) AS top FROM pt GROUP BY frame), inner_ AS (SELECT pt.* FROM pt JOIN ends USING (frame) WHERE least(x, y, z) >= 2 AND greatest(x, y, z) + 2 < top), "
+        "m AS (SELECT frame, x // 5 AS kx, y // 5 AS ky, z // 5 AS kz, count(*) AS held, avg(x) AS ax, avg(y) AS ay, avg(z) AS az, count(DISTINCT patch) > 1 AS mixed FROM inner_ GROUP BY ALL), "
+        "e AS (SELECT p.frame, p.pid, mixed, coalesce(held, 0) AS held, coalesce(ax, p.x) AS ax, coalesce(ay, p.y) AS ay, coalesce(az, p.z) AS az, "
+        + " * ".join(f"(CASE WHEN o{c} = 0 THEN 9 - 2 * ((p.{c} - 2) % 5) ELSE 2 * ((p.{c} - 2) % 5) + 1 END)" for c in "xyz")
+        + f" AS w FROM inner_ p JOIN {_EIGHT} LEFT JOIN m ON m.frame = p.frame AND " + " AND ".join(f"m.k{c} = (p.{c} - 2) // 5 + o{c}" for c in "xyz") + " WHERE p.boundary), "
+        "c AS (SELECT frame, pid, CAST(sum(w * held) // 1000 AS BIGINT) AS n, sum(w * ax) / 1000 AS cx, sum(w * ay) / 1000 AS cy, sum(w * az) / 1000 AS cz FROM e GROUP BY frame, pid HAVING bool_or(coalesce(mixed, false))), "
+        "d AS (SELECT p.*, cx, cy, cz, coalesce(n > 0 AND round(n * ((p.x - cx) ** 2 + (p.y - cy) ** 2 + (p.z - cz) ** 2), 6) + 0.5 >= 2 * greatest(1, n), false) AS moved FROM pt p LEFT JOIN c ON p.frame = c.frame AND p.pid = c.pid) "
+        "SELECT frame, pid, " + ", ".join(f"CASE WHEN moved THEN CAST(floor(round(c{c}, 6) + 0.5) AS INTEGER) ELSE {c} END AS {c}" for c in "xyz") + ", CASE WHEN moved THEN 3 WHEN boundary THEN 1 ELSE 0 END AS type, moved FROM d",
+        "cloud_src",
+    ),
+)
+def smoothed_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Each frame's own grid; points at its ends are in no cell."""
+    return smoothing.smoothed_frames(_edged(spark, sf), "grid", 5, 1)
+
+
+def _balls(squared_radius: int, k: int, where: str = "true") -> str:
+    return f"(SELECT * FROM (SELECT a.frame, a.pid, b.pid AS other, {_D2} AS d2, a.patch AS own, b.patch, b.x, b.y, b.z, b.r, b.g, b.b, row_number() OVER (PARTITION BY a.frame, a.pid ORDER BY {_D2}, b.pid) AS rank FROM pt a JOIN pt b ON a.frame = b.frame AND {_D2} <= {squared_radius} WHERE {where}) t WHERE rank <= {k})"
+
+
+@query(
+    "R47_moved_points",
+    sql(
+        f"WITH {_EDGED}, s AS (SELECT frame, pid, count(*) AS n, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS s{c}" for c in "xyz") + f", bool_or(d2 <= 9 AND patch <> own) AS met FROM {_balls(16, 40)} GROUP BY frame, pid), "
+        "d AS (SELECT pt.*, n, sx, sy, sz, met, met AND floor((sx - n * x) ** 2 + (sy - n * y) ** 2 + (sz - n * z) ** 2 + n / 2.0) / n >= 4 AS moved FROM pt JOIN s ON pt.frame = s.frame AND pt.pid = s.pid) "
+        "SELECT frame, pid, " + ", ".join(f"CAST(CASE WHEN moved THEN (s{c} + n // 2) // n ELSE {c} END AS INTEGER) AS {c}" for c in "xyz") + ", CASE WHEN met AND boundary THEN 2 WHEN boundary THEN 1 ELSE 0 END AS type, moved FROM d",
+        "cloud_src",
+    ),
+)
+def moved_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothing by balls: where another patch is near and the mean of the points around is far."""
+    return smoothing.smoothed_frames(_edged(spark, sf), "radius", threshold=4, k=40, squared_radius=16, squared_reach=9)
+
+
+@query(
+    "R51_presmoothed_colours",
+    sql(
+        f"WITH {_EDGED}, near AS (SELECT *, (2126 * r + 7152 * g + 722 * b) // 10000 AS luma FROM {_balls(16, 40, 'a.boundary')}), "
+        "p AS (SELECT frame, pid, count(*) AS c FROM near GROUP BY frame, pid, luma), h AS (SELECT frame, pid, -sum(c / n * log2(c / n)) AS entropy FROM (SELECT *, sum(c) OVER (PARTITION BY frame, pid) AS n FROM p) t GROUP BY frame, pid), "
+        "s AS (SELECT frame, pid, " + ", ".join(f"CAST((sum({c}) + count(*) // 2) // count(*) AS INTEGER) AS m{c}" for c in "rgb") + " FROM near GROUP BY frame, pid), "
+        "d AS (SELECT pt.*, mr, mg, mb, coalesce(abs(mr - r) + abs(mg - g) + abs(mb - b) >= 60 AND round(entropy, 9) < 4.9, false) AS taken FROM pt LEFT JOIN s ON pt.frame = s.frame AND pt.pid = s.pid LEFT JOIN h ON pt.frame = h.frame AND pt.pid = h.pid) "
+        "SELECT frame, pid, " + ", ".join(f"CASE WHEN taken THEN m{c} ELSE {c} END AS {c}" for c in "rgb") + ", taken FROM d",
+        "cloud_src",
+    ),
+)
+def presmoothed_colours(spark: SparkSession, sf: str) -> DataFrame:
+    return smoothing.presmoothed(_edged(spark, sf), 40, 16, 60, 4.9)
+
+
 _TINTED = "pt AS (SELECT frame, pid, x, y, z, ((x - 8) // 16) * 3 + (y - 8) // 16 AS patch, g * 256 AS c0, r * 256 AS c1, b * 256 AS c2 FROM cloud_src)"
 
 

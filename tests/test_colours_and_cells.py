@@ -131,3 +131,41 @@ def test_points_smoothed_over_cells(spark):
     assert moved[4] == (1, 9, 9, 0)  # within half a cell of the space's end
     still = smoothing.grid_smoothed(df.withColumn("boundary", df.pid < 0), 8, 0, 1024).collect()
     assert {(r.x, r.y, r.z, r.type) for r in still} == {(*p[2:5], 0) for p in points}
+
+
+PLACED = "frame int, pid long, x int, y int, z int, patch int, boundary boolean, r int, g int, b int"
+
+
+def test_smoothing_by_way(spark):
+    """A spike at a seam moves both ways; a point at the end of the grid, one of a single patch and a lone one stay; the way None changes nothing."""
+    flat = [(0, x * 10 + y, x, y, 20, int(x > 14), 13 <= x <= 16, 100, 100, 100) for x in range(9, 22) for y in range(9, 19)]
+    spiked = [(*p[:4], 23, *p[5:7], 250, 0, 0) if (p[2], p[3]) == (14, 13) else p for p in flat]
+    rows = [*spiked, (0, 9001, 0, 0, 0, 1, True, 1, 2, 3), (0, 9002, 39, 39, 39, 1, True, 1, 2, 3), (1, 1, 30, 30, 30, 0, True, 9, 9, 9)]
+    df = spark.createDataFrame(rows, PLACED)
+    spike = 14 * 10 + 13
+    for way, kind in (("grid", 3), ("radius", 2)):
+        got = {(r.frame, r.pid): r for r in smoothing.smoothed_frames(df, way, 8, 1, 40, 64, 16).collect()}
+        assert len(got) == len(rows) and got[0, spike].moved and got[0, spike].type == kind and got[0, spike].z < 23
+        for key in ((0, 9001), (0, 9002), (1, 1)):
+            assert not got[key].moved and got[key].type == 1
+        assert all(not got[0, r[1]].moved for r in rows if r[0] == 0 and r[2] == 9)
+    plain = {(r.frame, r.pid): (r.x, r.y, r.z, r.type, r.moved) for r in smoothing.smoothed_frames(df, None).collect()}
+    assert plain == {(r[0], r[1]): (*r[2:5], int(r[6]), False) for r in rows}
+    with pytest.raises(ValueError):
+        smoothing.smoothed_frames(df, "other")
+
+
+def test_presmoothing_of_colours(spark):
+    """An odd colour among equal ones gives way; among colours that all differ it stays, and so does one that is no boundary point."""
+    place = [(x, y) for x in range(5) for y in range(5)]
+    even = [(0, i, x, y, 3, 0, True, *((250, 0, 0) if (x, y) == (2, 2) else (100, 100, 100))) for i, (x, y) in enumerate(place)]
+    rough = [(1, i, x, y, 3, 0, True, 10 * i, 10 * i, 10 * i) for i, (x, y) in enumerate(place)]
+    inner = [(2, *r[1:6], False, *r[7:]) for r in even]
+    got = {(r.frame, r.pid): r for r in smoothing.presmoothed(spark.createDataFrame(even + rough + inner, PLACED), 25, 32, 20, 4.5).collect()}
+    assert [k for k, r in got.items() if r.taken] == [(0, 12)] and len(got) == 75
+    assert (got[0, 12].r, got[0, 12].g, got[0, 12].b) == (106, 96, 96) and (got[1, 0].r, got[2, 12].r) == (0, 250)
+
+
+def test_smoothing_of_nothing(spark):
+    none = spark.createDataFrame([], PLACED)
+    assert all(smoothing.smoothed_frames(none, way).count() == 0 for way in ("grid", "radius", None)) and smoothing.presmoothed(none).count() == 0
