@@ -1,4 +1,4 @@
-"""Unoccupied pixels filled from occupied ones: inside a block by waves, empty blocks from the block on their left or above.
+"""Unoccupied pixels filled from occupied ones: by depths near the cloud, inside a block by waves, empty blocks from the block on their left or above.
 
 A block is a bounded dense array that one task fills by itself; which block an empty one copies is a window over the blocks of a row.
 """
@@ -12,6 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrus.functions import geometry
+from cirrus.operators.neighbours import nearest
+from cirrus.operators.patches import block_owner, points_of
+from cirrus.plans.lineage import cut
+
 
 def filled(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """A block (height, width, channels), some of it known, filled in waves: a pixel next to the last wave takes the mean of its neighbours there,
@@ -78,3 +83,46 @@ def dilated(pixels: DataFrame, channels: list[str], block: int = 16) -> DataFram
     each = beside.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block * block - 1))))
     at = lambda b, inner: (F.col(b) * block + inner).cast("int")
     return each.select("frame", at("bx", F.col("k") % block).alias("x"), at("by", F.floor(F.col("k") / block)).alias("y"), *[pixel(c, F.col("k")).alias(c) for c in channels])
+
+
+def depth_padded(pixels: DataFrame, patches: DataFrame, cloud: DataFrame, precision: int = 4, block: int = 16, most: int = 255, reach: int = 8) -> DataFrame:
+    """Depths (frame, x, y, d0) for the unoccupied places of cells of precision that have an occupied pixel (frame, x, y, patch, d0, occ), from the cloud (frame, pid, x, y, z).
+
+    A place starts from the mean depth of its cell, cut off, in space as its block's patch has it. It takes the depth less than reach away (and no further than the mean is from 0 and
+    from most) whose point is nearest to the cloud; of equals the mean, then the one less far from it, then the larger. Places whose mean is in the cloud are asked about
+    once, and the others again with all depths. A frame without a cloud takes means. Sides of a canvas are below 2 ** 20, reach is at most 16.
+    """
+    held = pixels.where("occ = 1").select("frame", "x", "y", "d0")
+    cell = [F.floor(F.col(c) / precision).cast("int").alias(f"c{c}") for c in "xy"]
+    means = held.groupBy("frame", *cell).agg(F.expr("CAST(sum(d0) div count(*) AS INT)").alias("mean"))
+    inner = F.explode(F.sequence(F.lit(0), F.lit(precision - 1)))
+    places = means.withColumn("i", inner).withColumn("j", inner).select("frame", (F.col("cx") * precision + F.col("i")).alias("x"), (F.col("cy") * precision + F.col("j")).alias("y"), "mean")
+    owners = block_owner(pixels, block).select("frame", "block_x", "block_y", (F.col("owner") - 1).alias("patch"))
+    empty = places.join(held.select("frame", "x", "y"), ["frame", "x", "y"], "left_anti").withColumns({f"block_{c}": F.floor(F.col(c) / block).cast("int") for c in "xy"})
+    u, v = geometry.canvas_to_patch(*[F.col(c) for c in ("orientation", "x", "y", "u0", "v0", "size_u0", "size_v0")], block)
+    shapes = patches.select("frame", "patch", "orientation", "u0", "v0", "size_u0", "size_v0")
+    asked = empty.join(owners, ["frame", "block_x", "block_y"]).join(shapes, ["frame", "patch"]).select("frame", "patch", "x", "y", "mean", u.alias("u"), v.alias("v"))
+    place = ((F.shiftleft(F.col("y").cast("long"), 20) + F.col("x")) * 32).alias("place")
+    asked = cut(asked.withColumn("place", place))
+
+    def distances(candidates: DataFrame) -> DataFrame:
+        return nearest(points_of(candidates.select("frame", "patch", (F.col("place") + F.col("turn")).alias("pid"), "u", "v", "d0"), patches), cloud).select("frame", "pid", "d2")
+
+    first = cut(distances(asked.select("*", F.lit(0).alias("turn"), F.col("mean").alias("d0"))))
+    off = asked.join(first.where("d2 > 0").select("frame", F.col("pid").alias("place")), ["frame", "place"], "left_semi")
+    span = F.least(F.lit(reach), F.col("mean"))
+    span = F.when(F.col("mean") + span > most, most - F.col("mean")).otherwise(span)
+    around = off.withColumn("span", span).where("span > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("span") - 1)))
+    sides = F.explode(F.array(F.lit(1), F.lit(-1)))
+    further = around.withColumn("side", sides).select("frame", "patch", "place", "u", "v", (F.col("mean") + F.col("k") * F.col("side")).alias("d0"), F.when(F.col("side") > 0, 2 * F.col("k") - 1).otherwise(2 * F.col("k")).alias("turn"))
+    turn = F.col("pid") % 32
+    met = first.unionByName(distances(further)).select("frame", (F.col("pid") - turn).alias("place"), F.struct("d2", turn.alias("turn")).alias("best"))
+    best = met.groupBy("frame", "place").agg(F.min("best").alias("best"))
+    step = F.expr("CAST(CASE WHEN best.turn % 2 = 1 THEN (best.turn + 1) div 2 ELSE -(best.turn div 2) END AS INT)")
+    return asked.join(best, ["frame", "place"], "left").select("frame", "x", "y", (F.col("mean") + F.coalesce(step, F.lit(0))).alias("d0"))
+
+
+def padded(pixels: DataFrame, patches: DataFrame, cloud: DataFrame, precision: int = 4, block: int = 16, most: int = 255) -> DataFrame:
+    """All depths (frame, x, y, d0) of the frames' canvases: depth_padded() first, then dilated()."""
+    near = depth_padded(pixels, patches, cloud, precision, block, most).withColumn("occ", F.lit(1))
+    return dilated(pixels.select("frame", "x", "y", F.col("d0").cast("int").alias("d0"), "occ").unionByName(near), ["d0"], block)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrus.operators import chroma, colour_transfer, dilation, fills, neighbours, orientation, patch_segmentation, quality, voxels
+from cirrus.functions import geometry
+from cirrus.operators import chroma, colour_transfer, dilation, fills, neighbours, orientation, patch_segmentation, patches, quality, voxels
 from cirrus.operators.colour_transfer import Way
 from cirrus.plans.queries import _D2, sql
 from cirrus.plans.registry import query
@@ -267,6 +268,42 @@ def dilated_frame(spark: SparkSession, sf: str) -> DataFrame:
     return dilation.dilated(table(spark, sf, "pixels"), ["c0", "c1", "c2"])
 
 
+def _depth_sql() -> str:
+    """Every depth tried against every point."""
+    views = "views(view_id, turn, normal, tangent, bitangent, mode) AS (VALUES " + ", ".join(str((i, *v)) for i, v in enumerate(geometry.VIEWS)) + ")"
+    along = "CASE WHEN w.mode = 0 THEN {d} + p.d1 ELSE greatest(0, p.d1 - {d}) END"
+    axis = lambda k, d: f"CASE {k} WHEN w.normal THEN {along.format(d=d)} WHEN w.tangent THEN q.u + p.u1 ELSE q.v + p.v1 END"
+    seen = "JOIN patches p ON q.frame = p.frame AND q.patch = p.patch JOIN views w ON p.view_id = w.view_id"
+    return (
+        f"WITH {views}, cloud AS (SELECT q.frame, {axis(0, 'q.d0')} AS x, {axis(1, 'q.d0')} AS y, {axis(2, 'q.d0')} AS z FROM patch_pixels q {seen}), held AS (SELECT * FROM pixels WHERE occ = 1), "
+        "owner AS (SELECT frame, x // 16 AS bx, y // 16 AS by, max(patch) AS patch FROM held GROUP BY ALL), means AS (SELECT frame, x // 4 AS cx, y // 4 AS cy, sum(d0) // count(*) AS mean FROM held GROUP BY ALL), "
+        "places AS (SELECT frame, cx * 4 + i AS x, cy * 4 + j AS y, mean FROM means, range(4) a(i), range(4) b(j)), "
+        "q AS (SELECT e.*, o.patch, e.x - 16 * h.u0 AS u, e.y - 16 * h.v0 AS v, CASE WHEN mean + least(8, mean) > 60 THEN 60 - mean ELSE least(8, mean) END AS span FROM (SELECT * FROM places ANTI JOIN held USING (frame, x, y)) e "
+        "JOIN owner o ON e.frame = o.frame AND e.x // 16 = o.bx AND e.y // 16 = o.by JOIN patches h ON h.frame = o.frame AND h.patch = o.patch), "
+        f"c AS (SELECT q.*, k, {axis(0, '(mean + k)')} AS x3, {axis(1, '(mean + k)')} AS y3, {axis(2, '(mean + k)')} AS z3 FROM q JOIN (SELECT unnest(range(-7, 8)) AS k) ks ON k = 0 OR abs(k) < span {seen}), "
+        "d AS (SELECT c.frame, c.x, c.y, mean, k, min((x3 - l.x) ** 2 + (y3 - l.y) ** 2 + (z3 - l.z) ** 2) AS d2 FROM c JOIN cloud l ON c.frame = l.frame GROUP BY ALL) "
+        "SELECT frame, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(mean + k AS INTEGER) AS d0 FROM d QUALIFY row_number() OVER (PARTITION BY frame, x, y ORDER BY d2, abs(k), k DESC) = 1"
+    )
+
+
+def _padding_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pixels, patches (none turned on this canvas) and the cloud that all pixels stand for."""
+    upright = table(spark, sf, "patches").withColumn("orientation", F.lit(0))
+    return table(spark, sf, "pixels"), upright, patches.points_of(table(spark, sf, "patch_pixels"), upright)
+
+
+@query("I40_padded_depths", sql(_depth_sql(), "patch_pixels", "patches", "pixels"))
+def padded_depths(spark: SparkSession, sf: str) -> DataFrame:
+    """Depths of places that come in with whole cells of occupancy, by their distance to the cloud."""
+    return dilation.depth_padded(*_padding_input(spark, sf), most=60)
+
+
+@query("I39_padded_frame")
+def padded_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole canvas: those depths, then waves and copies of blocks."""
+    return dilation.padded(*_padding_input(spark, sf), most=60)
+
+
 _CHANNELS = ("c0", "c1", "c2")
 
 

@@ -48,3 +48,29 @@ def test_dilation(spark, seed, block, share):
 def test_dilation_of_nothing(spark):
     none = spark.createDataFrame([], "frame int, x int, y int, c int, occ int")
     assert dilation.dilated(none, ["c"]).count() == 0
+
+
+def test_depths_near_the_cloud(spark):
+    """Seen along z from below: a place in the cloud of its mean, one nearer to a higher point, one between two (the larger), one beyond reach, a frame without a cloud, a depth of 0."""
+    pixels = [(f, x, 0, 0, d, 1) for f, x, d in ((0, 0, 20), (0, 4, 20), (0, 8, 20), (0, 12, 21), (0, 12 + 1, 20), (1, 0, 9), (0, 16, 0))]
+    pixels += [(0, 17, 0, 1, 0, 1), (0, 40, 20, 0, 3, 0)]
+    cloud = [(0, 1, 1, 1, 20), (0, 2, 5, 1, 24), (0, 3, 9, 1, 23), (0, 4, 9, 1, 17), (0, 5, 13, 1, 60), (0, 6, 200, 200, 200)]
+    df = spark.createDataFrame(pixels, "frame int, x int, y int, patch int, d0 int, occ int")
+    canvas = spark.createDataFrame([(f, p, 0, 0, 0, 3, 1, 0, 0, 0, v) for f, p, v in ((0, 0, 0), (0, 1, 0), (1, 0, 0))], "frame int, patch int, orientation int, u0 int, v0 int, size_u0 int, size_v0 int, u1 int, v1 int, d1 int, view_id int")
+    points = spark.createDataFrame([(f, i, *upright(x, y, z)) for f, i, x, y, z in cloud], "frame int, pid long, x long, y long, z long")
+    got = {(r.frame, r.x, r.y): r.d0 for r in dilation.depth_padded(df, canvas, points).collect()}
+    assert len(got) == 6 * 16 - 8 and got[0, 1, 1] == 20 and got[0, 5, 1] == 24 and got[0, 9, 1] == 23
+    assert got[0, 13, 1] in range(13, 28) and got[1, 1, 1] == 9 and got[0, 18, 1] == 0
+    assert dilation.padded(df, canvas, points).where("frame = 0").count() == 48 * 32
+    none = df.limit(0)
+    assert dilation.depth_padded(none, canvas, points).count() == 0 and dilation.padded(none, canvas.limit(0), points.limit(0)).count() == 0
+
+
+def upright(u, v, depth):
+    """A point of view 0, as space has it."""
+    from cirrus.functions.geometry import VIEWS
+
+    _, normal, tangent, bitangent, _ = VIEWS[0]
+    out = [0, 0, 0]
+    out[normal], out[tangent], out[bitangent] = depth, u, v
+    return out
