@@ -70,7 +70,7 @@ def text_md5(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_groups(spark: SparkSession, sf: str) -> DataFrame:
     events = frames.stream(spark, f"{sf}/events.parquet")
     records = events.select(F.col("event_id").cast("int").alias("frame_id"), (F.col("user_id") * 20000).cast("long").alias("num_proj"))
-    return frames.drained(frames.groups_of_frames(records), "gof")
+    return frames.drained(frames.groups_of_frames(records), "gof", "gof")
 
 
 # ---- one expression or one aggregate each -------------------------------------------------------------------------
