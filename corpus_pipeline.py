@@ -46,11 +46,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the trained model, the sketches or the tokenizer; the tests hold each stage against a plain version.
+#: SQL can't express the trained model, the sketches or the tokenizer; the tests hold line dedup, near-duplicates and packing's limit against plain versions, the other stages against planted cases.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that all stages keep.
+
+    A null text counts as empty; empty texts, and texts that line dedup empties, are alike to nothing and stay. A row with a null doc_id goes through as any other. Of equal
+    rows with an id one stays, unless they are empty. Further columns come as they are up to packing, whatever their names. An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
