@@ -303,6 +303,14 @@ def test_html_drops_nothing_of_an_article_by_parts_of_names(spark, tmp_path):
     assert extracted(spark, tmp_path / "p", [(1, "http://h.example/a", page)]) == {1: "Head\n\nA x b\n\nC"}
 
 
+def test_html_shared_boxes_of_articles_go_and_quotations_stay(spark, tmp_path):
+    """Differencing decides inside a marked article too: a box that the neighbour has goes, the body and lines of it that both have stay."""
+    page = lambda a: f'<html><body><article><h1>Head {a}</h1><div class="body"><p>One {a}</p><p>Both quote this</p><p>Two {a}</p><p>Three {a}</p><ul><li>Item {a}</li><li>Both list this</li></ul></div><div class="box"><p>Write to us</p><ul><li>By mail</li></ul></div></article></body></html>'
+    text = lambda a: "\n\n".join([f"Head {a}", f"One {a}", "Both quote this", f"Two {a}", f"Three {a}", f"Item {a}", "Both list this"])
+    pages = [(i, f"http://h.example/a/{i}", page(i)) for i in range(4)] + [(9, "http://i.example/a", page(9))]
+    assert extracted(spark, tmp_path / "p", pages) == {**{i: text(i) for i in range(4)}, 9: text(9) + "\n\nWrite to us\n\nBy mail"}
+
+
 def test_decontamination(spark, docs, empty):
     texts = corpus()
     items = [(1, texts[0][1]), (2, " ".join(texts[1][1].split()[5:20])), (3, "one two"), (10, None), (11, ""), (None, texts[60 % len(texts)][1]), (2, "be")]
