@@ -76,6 +76,15 @@ def holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
+def packed(piece: np.ndarray) -> bytes:
+    """A piece of a filter as it travels: a task sets few bits of a filter that is as large as the table asks for, so nearly all of it is zeros."""
+    return pa.compress(piece.tobytes(), codec="lz4", asbytes=True)
+
+
+def unpacked(piece: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(piece, decompressed_size=size, codec="lz4", asbytes=True), np.uint8)
+
+
 def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
     """The twice-seen filter of all line keys, as bytes."""
     spark, size = docs.sparkSession, min(bits, PIECE_BITS) // 8
@@ -92,23 +101,23 @@ def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
             put(once, twice, np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2))
         pieces = once.reshape(-1, size), twice.reshape(-1, size)
         some = np.flatnonzero(pieces[0].any(axis=1)).tolist()
-        yield from rows(TaskContext.get().partitionId(), ((k, pieces[0][k].tobytes(), pieces[1][k].tobytes()) for k in some))
+        yield from rows(TaskContext.get().partitionId(), ((k, packed(pieces[0][k]), packed(pieces[1][k])) for k in some))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by piece and part; a task holds one piece at a time."""
         at, once, twice = None, None, None
         for batch in batches:
             for piece, part, o, t in zip(*(c.to_pylist() for c in batch.columns)):
-                o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
+                o, t = unpacked(o, size), unpacked(t, size)
                 if (piece, part) == at:
                     twice = twice | t | (once & o)
                     once = once | o
                     continue
                 if at:
-                    yield from rows(at[1], [(at[0], once.tobytes(), twice.tobytes())])
+                    yield from rows(at[1], [(at[0], packed(once), packed(twice))])
                 at, once, twice = (piece, part), o, t
         if at:
-            yield from rows(at[1], [(at[0], once.tobytes(), twice.tobytes())])
+            yield from rows(at[1], [(at[0], packed(once), packed(twice))])
 
     found = docs.select("text").mapInArrow(build, schema)
     width = max(1, docs.rdd.getNumPartitions())
@@ -121,7 +130,7 @@ def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
             break
     bitmap = np.zeros((bits // 8 // size, size), np.uint8)
     for row in found.select("piece", "twice").toLocalIterator():
-        bitmap[row["piece"]] = np.frombuffer(row["twice"], np.uint8)
+        bitmap[row["piece"]] = unpacked(row["twice"], size)
     return bitmap.ravel()
 
 

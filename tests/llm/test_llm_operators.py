@@ -193,6 +193,15 @@ def test_line_dedup(docs, empty):
     assert out.columns == docs.columns and out.where("text IS NULL").count() == 1
 
 
+def test_pieces_of_filters_travel_small():
+    """A task's filters take as much memory on their way as they have bits set, not as they have bits, and come out the same."""
+    once, twice = np.zeros(line_dedup.PIECE_BITS // 8, np.uint8), np.zeros(line_dedup.PIECE_BITS // 8, np.uint8)
+    line_dedup.put(once, twice, np.random.default_rng(3).integers(0, 1 << 63, (100, 2), np.int64).view(np.uint64))
+    for piece in (once, twice, ~once, np.random.default_rng(4).integers(0, 256, len(once), np.int64).astype(np.uint8)):
+        assert (line_dedup.unpacked(line_dedup.packed(piece), len(piece)) == piece).all()
+    assert len(line_dedup.packed(once)) < len(once) // 20 and len(line_dedup.packed(twice)) < len(twice) // 100
+
+
 def test_line_dedup_with_a_full_filter_is_the_same(docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEAST_BITS", 64)
     monkeypatch.setattr(line_dedup, "MOST_BITS", 64)
