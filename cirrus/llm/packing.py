@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.llm.common import slices, small_batches, utf8
+from cirrus.llm.common import hand_back, slices, small_batches, utf8
 
 #: Pieces that one task packs: their lengths take a few megabytes. With ids, 4096 for a piece at most, they are up to 64 MB.
 PIECES_PER_TASK, PIECES_WITH_IDS_PER_TASK = 50_000, 4_000
@@ -45,7 +45,7 @@ class WordTokens:
     def forget(self) -> None:
         """Words are remembered for a task: a worker lives on, and other tasks need its memory."""
         self.known, self.older = {}, {}
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     def encode(self, words: list[bytes]) -> None:
         """Words without a comma go to the tokenizer as one text with commas between, at whose token the ids are cut; others go one by one."""

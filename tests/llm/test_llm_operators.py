@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cirrus.llm import chaining, decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
+from cirrus.llm import chaining, common, decontamination, html_text, line_dedup, media, near_dedup, packing, sharding, suffix_dedup, toxicity
 from llm_helpers import corpus, frame
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -193,6 +193,17 @@ def test_line_dedup(docs, empty):
     assert out.columns == docs.columns and out.where("text IS NULL").count() == 1
 
 
+def test_freed_memory_goes_back():
+    """What a task freed below something that is still there doesn't stay with the worker."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    blocks = [bytearray(2000) for _ in range(50_000)]
+    last = blocks[-1]
+    held = resident()
+    del blocks
+    common.hand_back()
+    assert held - resident() > 50_000_000 and len(last) == 2000
+
+
 def test_pieces_of_filters_travel_small():
     """A task's filters take as much memory on their way as they have bits set, not as they have bits, and come out the same."""
     once, twice = np.zeros(line_dedup.PIECE_BITS // 8, np.uint8), np.zeros(line_dedup.PIECE_BITS // 8, np.uint8)
