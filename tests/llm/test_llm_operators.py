@@ -31,6 +31,33 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def test_plain_words_spare_the_tokenizer():
+    """Words of letters, and marks behind them, are not sent through normaliser and pattern one by one, and their ids are the tokenizer's."""
+
+    class Counting:
+        def __init__(self, of):
+            self.of, self.model, self.sent = of, of.model, 0
+
+        def encode(self, text, **more):
+            return self.of.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            self.sent += sum(map(len, texts))
+            return self.of.encode_batch_fast(texts, **more)
+
+    find, rng = packing.WordTokens(packing.tokenizer_path()), random.Random(3)
+    whole = find.tokenizer
+    letters = "etaoinshrdlucmfwypvbgkjqxzßàäéñöüÿ"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 14))) + rng.choice(["", "", ",", ".", "$$$", ".%%%", "!!", ",***"]) for _ in range(3000)] + ["a" * 5000]
+    find.tokenizer = Counting(whole)
+    ids = find.ids(pa.array([" ".join(words)]))[0]
+    assert ids == np.array(whole.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert find.tokenizer.sent < 100
+    odd = ["", " \n", "it's", "don't.", "x'", "x's!", "x.'s", "a.b.", "İ.", "Ñe.", "ÿ", "÷", "e\u0301.", "éx\u0301", "<|endoftext|>.", "a<|endoftext|>.", "fi.", "ª.", "...", "$a$", "a1.", "日本.", "ж!!", "a)", "a),", "a;:", "ǆ.", "Σ.", "aς#"]
+    for w in odd:
+        assert find.ids(pa.array([w]))[0] == np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
