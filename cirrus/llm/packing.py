@@ -26,7 +26,9 @@ from cirrus.llm.common import hand_back, slices, small_batches, utf8
 #: Pieces that one task packs: their lengths take a few megabytes. With ids, 4096 for a piece at most, they are up to 64 MB.
 PIECES_PER_TASK, PIECES_WITH_IDS_PER_TASK = 50_000, 4_000
 #: Words whose tokens a Python worker remembers before it drops those that it hasn't met since it last had so many.
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 200_000
+#: Bytes of texts that are cut into words at a time (or one longer text).
+SLICE = 1 << 20
 
 #: Letters that the tokenizer's normaliser leaves as they are whatever stands beside them, and words of nothing else (UTF-8).
 PLAIN_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -145,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = tokens(tokenizer)
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", SLICE):
             rows, out = [], []
             for i, ids in enumerate(find.ids(batch.column("text"))):
                 ids += end

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -220,6 +221,21 @@ def test_line_dedup(docs, empty):
     assert out.columns == docs.columns and out.where("text IS NULL").count() == 1
 
 
+def test_scoring_takes_little_memory():
+    """A task scores a small part of an Arrow batch at a time, with the scores of the whole."""
+    rng = random.Random(2)
+    texts = pa.array([" ".join(f"{rng.randrange(100_000):x}" for _ in range(6000)) for _ in range(64)])
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([texts], ["text"])], names=["doc"])
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.0, 0.0)
+    whole = model.score(texts)
+    tracemalloc.start()
+    got = list(toxicity.scored(iter([batch]), model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate([np.asarray(b.column("score")) for b in got]), whole)
+    assert peak < 60_000_000
+
+
 def test_freed_memory_goes_back():
     """What a task freed below something that is still there doesn't stay with the worker."""
     resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
