@@ -1,6 +1,7 @@
 """Unoccupied pixels filled from occupied ones: by depths near the cloud, inside a block by waves, empty blocks from the block on their left or above.
 
 A block is a bounded dense array that one task fills by itself; which block an empty one copies is a window over the blocks of a row.
+Places, blocks and patches grow with the input, so joins on them are hinted: their packed files look small enough to be broadcast, their rows are not.
 """
 
 from __future__ import annotations
@@ -66,14 +67,14 @@ def dilated(pixels: DataFrame, channels: list[str], block: int = 16) -> DataFram
 
     blocks = gathered.mapInArrow(fill, "frame int, bx int, by int, " + ", ".join(f"`{c}` array<int>" for c in channels))
     grid = sizes.select("frame", "wide", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("by")).select("frame", "by", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("bx"))
-    rows = grid.join(blocks, ["frame", "bx", "by"], "left")
+    rows = grid.join(blocks.hint("merge"), ["frame", "bx", "by"], "left")
     left = Window.partitionBy("frame", "by").orderBy("bx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = lambda c: F.when(F.col(c).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda y: F.element_at(F.col(c), y * block + block)))
     # The blocks at the left end alone, and the last row of the lowest one with pixels so far.
     first = rows.where("bx = 0").select("frame", "by", *[F.slice(c, block * (block - 1) + 1, block).alias(f"base_{c}") for c in channels])
     down = Window.partitionBy("frame").orderBy("by").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = first.select("frame", "by", *[F.last(f"base_{c}", ignorenulls=True).over(down).alias(f"base_{c}") for c in channels])
-    beside = rows.withColumns({f"edge_{c}": F.last(edge(c), ignorenulls=True).over(left) for c in channels}).join(base, ["frame", "by"])
+    beside = rows.withColumns({f"edge_{c}": F.last(edge(c), ignorenulls=True).over(left) for c in channels}).join(base.hint("merge"), ["frame", "by"])
 
     def pixel(c: str, k: Column) -> Column:
         above = F.when(F.col("bx") == 0, F.element_at(f"base_{c}", k % block + 1)).otherwise(F.element_at(f"base_{c}", block))
@@ -92,18 +93,19 @@ def depth_padded(pixels: DataFrame, patches: DataFrame, cloud: DataFrame, precis
     from most) whose point is nearest to the cloud; of equals the mean, then the one less far from it, then the larger. Places whose mean is in the cloud are asked about
     once, and the others again with all depths. A frame without a cloud takes means. Sides of a canvas are below 2 ** 20, reach is at most 16.
     """
+    patches = patches.hint("merge")
     held = pixels.where("occ = 1").select("frame", "x", "y", "d0")
     cell = [F.floor(F.col(c) / precision).cast("int").alias(f"c{c}") for c in "xy"]
     means = held.groupBy("frame", *cell).agg(F.expr("CAST(sum(d0) div count(*) AS INT)").alias("mean"))
     inner = F.explode(F.sequence(F.lit(0), F.lit(precision - 1)))
     places = means.withColumn("i", inner).withColumn("j", inner).select("frame", (F.col("cx") * precision + F.col("i")).alias("x"), (F.col("cy") * precision + F.col("j")).alias("y"), "mean")
     owners = block_owner(pixels, block).select("frame", "block_x", "block_y", (F.col("owner") - 1).alias("patch"))
-    empty = places.join(held.select("frame", "x", "y"), ["frame", "x", "y"], "left_anti").withColumns({f"block_{c}": F.floor(F.col(c) / block).cast("int") for c in "xy"})
+    empty = places.join(held.select("frame", "x", "y").hint("merge"), ["frame", "x", "y"], "left_anti").withColumns({f"block_{c}": F.floor(F.col(c) / block).cast("int") for c in "xy"})
     u, v = geometry.canvas_to_patch(*[F.col(c) for c in ("orientation", "x", "y", "u0", "v0", "size_u0", "size_v0")], block)
     shapes = patches.select("frame", "patch", "orientation", "u0", "v0", "size_u0", "size_v0")
-    asked = empty.join(owners, ["frame", "block_x", "block_y"]).join(shapes, ["frame", "patch"]).select("frame", "patch", "x", "y", "mean", u.alias("u"), v.alias("v"))
+    asked = empty.join(owners.hint("merge"), ["frame", "block_x", "block_y"]).join(shapes, ["frame", "patch"]).select("frame", "patch", "x", "y", "mean", u.alias("u"), v.alias("v"))
     place = ((F.shiftleft(F.col("y").cast("long"), 20) + F.col("x")) * 32).alias("place")
-    asked = cut(asked.withColumn("place", place))
+    asked = cut(asked.withColumn("place", place)).hint("merge")
 
     def distances(candidates: DataFrame) -> DataFrame:
         return nearest(points_of(candidates.select("frame", "patch", (F.col("place") + F.col("turn")).alias("pid"), "u", "v", "d0"), patches), cloud).select("frame", "pid", "d2")

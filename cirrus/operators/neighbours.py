@@ -4,6 +4,8 @@ A ball of a given radius reaches one or two cells on each axis when cells are th
 point of the other side to its own, and balls meet points by an equi-join that spreads over frames and cells. The nearest-neighbour
 join takes points whose answer lies within the radius and doubles it for the others, so sparse regions cost further rounds of fewer
 points and the result is exact.
+
+Spark sizes a table by its packed files, before any copies, so joins here are hinted: neither copies nor points are collected and broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def _pairs(a: DataFrame, b: DataFrame, squared_radius: int) -> DataFrame:
         left = left.withColumn(f"k{c}", F.explode(F.sequence(F.floor((F.col(c) - radius) / edge), F.floor((F.col(c) + radius) / edge))))
     right = b.select("frame", F.col("pid").alias("nn_pid"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[F.floor(F.col(c) / edge).alias(f"k{c}") for c in "xyz"])
     d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0)).cast("long")
-    return left.join(right, ["frame", "kx", "ky", "kz"]).where(d2 <= squared_radius).select("frame", "pid", "nn_pid", d2.alias("d2"))
+    return left.hint("merge").join(right, ["frame", "kx", "ky", "kz"]).where(d2 <= squared_radius).select("frame", "pid", "nn_pid", d2.alias("d2"))
 
 
 def within(a: DataFrame, b: DataFrame, squared_radius: int) -> DataFrame:
@@ -68,7 +70,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, radius: int | None = None, t
         near = cut(near)
         full = F.col("has") >= k
         done.append(near.where(full))
-        open_ = cut(open_.join(near.where(full & (F.col("rank") == 1)).select("frame", "pid"), ["frame", "pid"], "left_anti"))
+        open_ = cut(open_.join(near.where(full & (F.col("rank") == 1)).select("frame", "pid").hint("merge"), ["frame", "pid"], "left_anti"))
         if open_.isEmpty():
             break
         radius *= 2

@@ -288,7 +288,7 @@ def _depth_sql() -> str:
 
 def _padding_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pixels, patches (none turned on this canvas) and the cloud that all pixels stand for."""
-    upright = table(spark, sf, "patches").withColumn("orientation", F.lit(0))
+    upright = table(spark, sf, "patches").withColumn("orientation", F.lit(0)).hint("merge")
     return table(spark, sf, "pixels"), upright, patches.points_of(table(spark, sf, "patch_pixels"), upright)
 
 

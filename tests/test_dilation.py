@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from cirrus.operators import dilation
+from cirrus.operators import dilation, neighbours
 
 
 def plain(pixels, wide, high, block):
@@ -74,3 +74,12 @@ def upright(u, v, depth):
     out = [0, 0, 0]
     out[normal], out[tangent], out[bitangent] = depth, u, v
     return out
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """Small tables, which Spark would rather broadcast: places, their copies in cells, blocks and patches are shuffled."""
+    pixels = spark.createDataFrame([(0, 0, 0, 0, 20, 1), (0, 20, 0, 0, 24, 1)], "frame int, x int, y int, patch int, d0 int, occ int")
+    canvas = spark.createDataFrame([(0, 0, 0, 0, 0, 2, 1, 0, 0, 0, 0)], "frame int, patch int, orientation int, u0 int, v0 int, size_u0 int, size_v0 int, u1 int, v1 int, d1 int, view_id int")
+    points = spark.createDataFrame([(0, 1, 1, 1, 21), (0, 2, 9, 9, 9)], "frame int, pid long, x long, y long, z long")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (dilation.depth_padded(pixels, canvas, points), dilation.padded(pixels, canvas, points), neighbours.within(points, points, 9))]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
