@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.operators.neighbours import within_first
+from cirrus.operators.neighbours import CELL, listed, within_first
 
 
 def cell_means(points: DataFrame, edge: int) -> DataFrame:
@@ -81,12 +81,10 @@ def radius_smoothed(points: DataFrame, k: int, squared_radius: int, squared_reac
 
     Far: n times the squared distance, half a unit added and cut off to parts of n, is at least threshold. Places are whole non-negative numbers; means are rounded.
     """
-    own = points.select("frame", "pid", "x", "y", "z", "patch", "boundary")
-    other = points.select("frame", F.col("pid").alias("nn_pid"), *[F.col(c).alias(f"{c}2") for c in "xyz"], F.col("patch").alias("patch2"))
-    met = within_first(points, points, squared_radius, k).join(other, ["frame", "nn_pid"]).join(own.select("frame", "pid", "patch"), ["frame", "pid"])
+    met = listed(points, points, squared_radius, k, ("patch", "boundary"), ("patch",))
     foreign = F.bool_or((F.col("d2") <= squared_reach) & ~F.col("patch2").eqNullSafe(F.col("patch"))).alias("foreign")
-    means = met.groupBy("frame", "pid").agg(F.count("*").alias("n"), *[F.sum(f"{c}2").alias(f"s{c}") for c in "xyz"], foreign)
-    both = own.join(means, ["frame", "pid"])
+    own = ["pid", "x", "y", "z", "patch", "boundary"]
+    both = met.groupBy(*CELL, *own).agg(F.count("*").alias("n"), *[F.sum(f"{c}2").alias(f"s{c}") for c in "xyz"], foreign).select("frame", *own, "n", "sx", "sy", "sz", "foreign")
     gap = sum(((F.col(f"s{c}") - F.col("n") * F.col(c)) * (F.col(f"s{c}") - F.col("n") * F.col(c)) for c in "xyz"), F.lit(0))
     both = both.withColumn("moved", F.col("foreign") & (gap + F.expr("n div 2") >= F.col("n") * threshold))
     place = [F.when(F.col("moved"), F.expr(f"CAST((s{c} + n div 2) div n AS INT)")).otherwise(F.col(c)).alias(c) for c in "xyz"]

@@ -276,3 +276,12 @@ def test_sidecar_of_groups(spark, tmp_path):
     sidecar.write(sums, str(tmp_path / "sums"), 4)
     got = sorted((r.gof, r.place, r.md5) for r in sidecar.read(spark, str(tmp_path / "sums")).collect())
     assert got == [(f // 4, f % 4, f"ab{f:02d}") for f in range(6)]
+
+
+def test_ranked_pairs_stay_in_their_cells(spark):
+    """Points and their copies are shuffled once each; no pair is, whatever is ranked or summed over a point's pairs."""
+    from cirrus.operators import smoothing
+
+    points = cloud(spark, random_rows(20)).selectExpr("*", "pid % 2 AS patch", "true AS boundary")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (smoothing.radius_smoothed(points, 40, 16, 9, 4), neighbours.within_first(points, points, 16, 40))]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 2]
