@@ -1,17 +1,23 @@
-"""Graphs shrunk in rounds: connected components, and spanning forests of the best edges with a sign carried along them.
+"""Connected components, and spanning forests of the best edges with a sign carried along them.
 
-In a round each vertex hooks onto one neighbour, the trees that arise are flattened by pointer doubling, and what is left are edges
+Frames of up to HELD edges are dealt out, and a task contracts each as arrays. Larger frames are shrunk in rounds by all tasks. In a round each vertex hooks onto one neighbour, the trees that arise are flattened by pointer doubling, and what is left are edges
 between different trees, one for each pair. Vertices at least halve (in components, local minima stay), edges go with them, and each
-round's map is written once. Rounds work on the frames of all inputs at once; no task holds a frame or a component.
+round's map is written once. Rounds work on all large frames at once; no task holds such a frame or a component of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirrus.plans.lineage import cut
 
+#: Edges of a frame that one task takes at most (some 60 MB with all that is made from them).
+HELD = 1 << 18
 #: Steps of pointer doubling between two looks at whether a round's trees are flat.
 DOUBLINGS = 3
 
@@ -72,10 +78,61 @@ def _contracted(edges: DataFrame, hooked: Column | None, best: Column) -> DataFr
     return cut(whole.select("frame", F.col("a").alias("pid"), F.col("parent").alias("root"), "sign"))
 
 
+def grown(u: np.ndarray, v: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vertices of edges in order, for each the number of its tree's root, and the product of the signs on the way, in the forest of the edges that come first.
+
+    As in the rounds below: each tree takes its first edge to another one, of two that take the same the smaller is the root, and pointers are doubled.
+    """
+    vertex, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, me = ends[: len(u)], ends[len(u) :], np.arange(len(vertex))
+    root, turn = me, np.ones(len(vertex), np.int64)
+    while len(a):
+        first = np.full(len(vertex), -1)
+        first[np.stack([a, b], 1).ravel()[::-1]] = np.repeat(np.arange(len(a)), 2)[::-1]  # the last one written is the first edge
+        some = np.flatnonzero(first >= 0)
+        up, way = me.copy(), np.ones(len(vertex), np.int64)
+        up[some], way[some] = a[first[some]] + b[first[some]] - some, sign[first[some]]
+        top = (up[up] == me) & (me < up)
+        up[top], way[top] = me[top], 1
+        while (up[up] != up).any():
+            way, up = way * way[up], up[up]
+        turn, root = turn * way[root], up[root]
+        a, b, sign = up[a], up[b], sign * way[a] * way[b]
+        apart = a != b
+        a, b, sign = a[apart], b[apart], sign[apart]
+    return vertex, root, turn
+
+
+def _dealt(edges: DataFrame, tree: Callable[[pa.Table], tuple[np.ndarray, ...]], rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """frame, pid, root and sign for each vertex of edges: of small frames by tree, of the others by rounds."""
+    edges = cut(edges)
+    sizes = edges.groupBy("frame").count()
+    most = sizes.agg(F.max("count")).first()[0]
+    if most is None:
+        return rounds(edges)
+    kinds = [edges.schema[c].dataType.simpleString() for c in ("frame", "u", "u", "sign")]
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = tree(rows)
+        return pa.table([pa.repeat(rows.column("frame")[0], len(got[0])), *map(pa.array, got)], names=["frame", "pid", "root", "sign"])
+
+    small = edges if most <= HELD else edges.join(sizes.where(F.col("count") > HELD).hint("merge"), "frame", "left_anti")
+    found = cut(small.groupBy("frame").applyInArrow(run, ", ".join(f"{c} {kind}" for c, kind in zip(("frame", "pid", "root", "sign"), kinds))))
+    return found if most <= HELD else found.unionByName(rounds(edges.join(sizes.where(F.col("count") > HELD).hint("merge"), "frame", "left_semi")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """frame, pid and root, the least vertex of its component, for each vertex of edges (frame, u, v)."""
-    found = _contracted(edges.select("frame", "u", "v", F.lit(1).alias("sign")), F.col("b") < F.col("a"), -F.col("b"))
-    return found.select("frame", "pid", "root")
+
+    def tree(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        u, v, sign = (rows.column(c).to_numpy() for c in ("u", "v", "sign"))
+        vertex, root, turn = grown(u, v, sign)
+        least = np.empty(len(vertex), np.int64)
+        least[root[::-1]] = np.arange(len(vertex))[::-1]
+        return vertex, vertex[least[root]], turn.astype(sign.dtype)
+
+    rounds = lambda e: _contracted(e, F.col("b") < F.col("a"), -F.col("b"))
+    return _dealt(edges.select("frame", "u", "v", F.lit(1).alias("sign")), tree, rounds).select("frame", "pid", "root")
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -84,5 +141,13 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     edges: frame, u < v, weight, sign (1 or -1). Of equal weights the edge with the smaller ends goes first, so the forest is the
     only one there is. Roots are arbitrary vertices of their trees.
     """
-    given = edges.select("frame", "u", "v", "sign", "weight", (-F.col("u")).alias("first"), (-F.col("v")).alias("second"))
-    return _contracted(given, None, F.struct("weight", "first", "second"))
+
+    def tree(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        u, v, sign = (rows.column(c).to_numpy() for c in ("u", "v", "sign"))
+        weight = rows.column("weight").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+        order = np.lexsort((v, u, -weight, ~np.isnan(weight)))  # to Spark, NaN is the greatest
+        vertex, root, turn = grown(u[order], v[order], sign[order])
+        return vertex, vertex[root], turn.astype(sign.dtype)
+
+    given = lambda e: e.select("frame", "u", "v", "sign", "weight", (-F.col("u")).alias("first"), (-F.col("v")).alias("second"))
+    return _dealt(edges.select("frame", "u", "v", "sign", "weight"), tree, lambda e: _contracted(given(e), None, F.struct("weight", "first", "second")))

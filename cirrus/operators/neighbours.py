@@ -86,7 +86,7 @@ def _best(a: DataFrame, b: DataFrame, squared_radius: int, k: int, ties: bool, c
 
 def nearest(a: DataFrame, b: DataFrame, k: int = 1, radius: int | None = None, ties: bool = False, places: bool = False) -> DataFrame:
     """The k nearest points of b for each point of a: frame, pid, rank (from 1), nn_pid, d2; equal distances by smaller pid. With places, x2, y2 and z2 too,
-    where the point of b is.
+    where the point of b is, and all rows are in written tables, fit to be read several times.
 
     With ties, all points as near as the k-th come, and equal distances have equal ranks. Where a frame of b has fewer than k points, all of
     them come. The first round looks within the radius, by default one that holds k points of a closed surface.
@@ -103,7 +103,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, radius: int | None = None, t
         # All points of a are open at first; later on they are few, and it is they who are copied.
         near = _best(open_, b, radius * radius, k, ties, "a" if done else "b", more).select(*columns, "has")
         if reach is not None and radius * radius >= reach:
-            done.append(near)
+            done.append(cut(near) if places else near)
             break
         near = cut(near)
         full = F.col("has") >= k

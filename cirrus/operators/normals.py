@@ -15,14 +15,14 @@ from cirrus.plans.lineage import cut
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 
 
-def normals(points: DataFrame, k: int = 16, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """frame, pid and the direction in which the k nearest points spread least, turned towards the viewpoint.
+def normals(points: DataFrame, k: int = 16, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0), near: DataFrame | None = None) -> DataFrame:
+    """frame, pid and the direction in which the k nearest points (near, if known with their places) spread least, turned towards the viewpoint.
 
     Sums of coordinates and their products combine before the shuffle; only the 3 by 3 eigenproblems run in numpy, for whole batches.
     """
-    near = nearest(points, points, k).join(points.select("frame", F.col("pid").alias("nn_pid"), "x", "y", "z"), ["frame", "nn_pid"])
-    sums = [F.avg(F.col(a).cast("double") * F.col(b)).alias(a + b) for a, b in _PAIRS]
-    moments = near.groupBy("frame", "pid").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], *sums)
+    near = nearest(points, points, k, places=True) if near is None else near
+    sums = [F.avg(F.col(f"{a}2").cast("double") * F.col(f"{b}2")).alias(a + b) for a, b in _PAIRS]
+    moments = near.groupBy("frame", "pid").agg(*[F.avg(f"{c}2").alias(f"m{c}") for c in "xyz"], *sums)
     rows = moments.join(points.select("frame", "pid", "x", "y", "z"), ["frame", "pid"]).select("frame", "pid", "x", "y", "z", "mx", "my", "mz", *[a + b for a, b in _PAIRS])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,10 +58,10 @@ def _agreed(sides: DataFrame, near: DataFrame, normals_of: DataFrame) -> DataFra
     return turned.join(sums, ["frame", "pid"], "left").select("frame", "pid", F.when(against, -F.col("side")).otherwise(F.col("side")).alias("side"))
 
 
-def oriented(points: DataFrame, normals_of: DataFrame, strategy: str = "tree", k: int = 16, squared_radius: int | None = None, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+def oriented(points: DataFrame, normals_of: DataFrame, strategy: str = "tree", k: int = 16, squared_radius: int | None = None, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0), near: DataFrame | None = None) -> DataFrame:
     """frame, pid and normal (nx, ny, nz) of each point, its direction kept or reversed.
 
-    'viewpoint': towards the viewpoint. 'tree': neighbours (k nearest, within the radius if one is given) are joined by the spanning forest of
+    'viewpoint': towards the viewpoint. 'tree': neighbours (k nearest, within the radius if one is given; near, if they are known) are joined by the spanning forest of
     the most parallel normals, and along it normals point to one side; the point with the least pid of each tree faces the viewpoint, and
     a frame of which more than half then looks away is reversed as a whole. 'cube': the outermost points as six faces see them, made to agree with
     each other, are given; the forest carries their sides to all others, and trees without one start at their least pid.
@@ -70,7 +70,7 @@ def oriented(points: DataFrame, normals_of: DataFrame, strategy: str = "tree", k
     if strategy == "viewpoint":
         away = _towards(viewpoint) < 0
         return rows.select("frame", "pid", *[F.when(away, -F.col(n)).otherwise(F.col(n)).alias(n) for n in N])
-    near = _near(points, k, squared_radius)
+    near = _near(points, k, squared_radius) if near is None else near.where("pid <> nn_pid").select("frame", "pid", "nn_pid")
     edges = alike(near, normals_of)
     sides = None
     if strategy == "cube":
@@ -99,9 +99,10 @@ def oriented(points: DataFrame, normals_of: DataFrame, strategy: str = "tree", k
     return out.join(half, "frame").select("frame", "pid", *[F.when(F.col("reverse"), -F.col(n)).otherwise(F.col(n)).alias(n) for n in N])
 
 
-def pipeline(points: DataFrame, k: int = 16, smoothing_rounds: int = 0, smoothing: tuple[int, int, float] = (3, 16, 0.5), strategy: str = "tree", viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """Normals estimated from k neighbours, smoothed (squared radius, neighbours, weight) in rounds, and oriented."""
-    found = cut(normals.normals(points, k, viewpoint))
+def pipeline(points: DataFrame, k: int = 16, smoothing_rounds: int = 0, smoothing: tuple[int, int, float] = (3, 16, 0.5), strategy: str = "tree", viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0), near: DataFrame | None = None) -> DataFrame:
+    """Normals estimated from k neighbours (near, if they are known with their places), smoothed (squared radius, neighbours, weight) in rounds, and oriented."""
+    near = nearest(points, points, k, places=True) if near is None else near
+    found = cut(normals.normals(points, k, viewpoint, near))
     if smoothing_rounds:
         found = cut(normals.smoothed(points, found, *smoothing, smoothing_rounds))
-    return oriented(points, found, strategy, k, None, viewpoint)
+    return oriented(points, found, strategy, k, None, viewpoint, near)

@@ -100,8 +100,8 @@ def expanded(members: DataFrame, near: DataFrame, planes: DataFrame, flagged: Da
     return free.groupBy("frame", "pid").agg(F.min_by(F.struct("round", "start", "plane"), "turn").alias("to")).select("frame", "to.round", "to.start", "pid", "to.plane")
 
 
-def segment(points: DataFrame, planes: DataFrame, limits: Limits = Limits()) -> Segmentation:  # noqa: B008
-    """Patches of points (frame, pid, x, y, z, r, g, b) with planes (frame, pid, plane 0 to 5).
+def segment(points: DataFrame, planes: DataFrame, limits: Limits = Limits(), near: DataFrame | None = None) -> Segmentation:  # noqa: B008
+    """Patches of points (frame, pid, x, y, z, r, g, b) with planes (frame, pid, plane 0 to 5); near: their nearest neighbours, if they are known.
 
     Neighbours are taken both ways: two points are adjacent if one is among the nearest of the other. A component of open points on one plane becomes a
     patch if it has enough points, one of them far from all that is projected so far; its start is the least pid of those, and patches of a frame are
@@ -109,7 +109,7 @@ def segment(points: DataFrame, planes: DataFrame, limits: Limits = Limits()) ->
     component is left; raw are the points that then are open. Points at equal places are points of their own.
     """
     rows = cut(points.select("frame", "pid", *"xyzrgb").join(planes, ["frame", "pid"]))
-    near = cut(nearest(points, points, limits.neighbours).select("frame", "pid", "nn_pid", "d2"))
+    near = (cut(nearest(points, points, limits.neighbours)) if near is None else near).select("frame", "pid", "nn_pid", "d2")
     end = lambda c: rows.select("frame", F.col("pid").alias(c), F.col("plane").alias(f"{c}_plane"))
     edges = cut(contraction.undirected(near).join(end("u"), ["frame", "u"]).join(end("v"), ["frame", "v"]).where("u_plane = v_plane").select("frame", "u", "v"))
     open_ = rows.select("frame", "pid", F.lit(None).cast("long").alias("d2"))
@@ -151,7 +151,9 @@ def segment(points: DataFrame, planes: DataFrame, limits: Limits = Limits()) ->
 
 
 def pipeline(points: DataFrame, limits: Limits = Limits(), k: int = 16, rounds: int = 4, strength: float = 3.0, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> Segmentation:  # noqa: B008
-    """From points to patches: normals oriented along the spanning tree, the plane of each, planes refined by votes of neighbours, segments."""
-    found = cut(orientation.pipeline(points, k))
-    planes = cut(transfer.refined_planes(points, found, k, rounds, strength, list(weights)) if rounds else patches.initial_planes(found, list(weights)))
-    return segment(points, planes, limits)
+    """From points to patches: normals oriented along the spanning tree, the plane of each, planes refined by votes of neighbours, segments.
+    Neighbours are looked for once."""
+    near = nearest(points, points, k, places=True)
+    found = cut(orientation.pipeline(points, k, near=near))
+    planes = cut(transfer.refined_planes(points, found, k, rounds, strength, list(weights), near) if rounds else patches.initial_planes(found, list(weights)))
+    return segment(points, planes, limits, near if limits.neighbours == k else None)

@@ -35,13 +35,13 @@ def mixed(target: DataFrame, source: DataFrame, steps: int = 10) -> DataFrame:
     return both.join(best, "frame").select("frame", "pid", F.round(at).cast("int").alias("r"))
 
 
-def refined_planes(points: DataFrame, normals: DataFrame, k: int, rounds: int, strength: float, weights: list[float]) -> DataFrame:
-    """frame, pid and plane after rounds of votes: a plane scores the normal along it plus strength / k for each neighbour that has it.
+def refined_planes(points: DataFrame, normals: DataFrame, k: int, rounds: int, strength: float, weights: list[float], near: DataFrame | None = None) -> DataFrame:
+    """frame, pid and plane after rounds of votes: a plane scores the normal along it plus strength / k for each neighbour (near, if they are known) that has it.
 
     A point whose scores are all negative keeps its plane. All points change at once in a round; a round's planes are written as a table.
     """
     signed: list[tuple[str, float]] = [(c, s) for s in (1.0, -1.0) for c in ("nx", "ny", "nz")]
-    near = cut(nearest(points, points, k).select("frame", "pid", "nn_pid"))
+    near = (cut(nearest(points, points, k)) if near is None else near).select("frame", "pid", "nn_pid")
     planes = cut(initial_planes(normals, weights))
     for _ in range(rounds):
         votes = near.join(planes.withColumnRenamed("pid", "nn_pid"), ["frame", "nn_pid"]).groupBy("frame", "pid").agg(*[F.count_if(F.col("plane") == j).alias(f"v{j}") for j in range(6)])

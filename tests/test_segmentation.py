@@ -367,3 +367,23 @@ def test_grid_refinement(spark, edge, reach, neighbours, strength):
     df, got_sizes = voxels.refined(rows, spark.createDataFrame([(0, i, *v) for i, v in normals.items()], NORMAL), edge, reach, neighbours, strength, 4)
     assert {r.pid: r.plane for r in df.collect()} == expected
     assert got_sizes == sizes and sizes[-1] < len({tuple((v + edge // 2) // edge for v in p[2:5]) for p in points})
+
+
+def test_large_frames_and_small_ones_have_one_forest(spark, monkeypatch):
+    """Frames that one task contracts against rounds over all tasks: equal components, trees and signs along them, and frames of both kinds in one table."""
+    rng = random.Random(7)
+    edges = {(f, *sorted(rng.sample(range(40), 2))) for f, n in ((0, 30), (1, 200), (2, 3)) for _ in range(n)}
+    rows = [(f, u, v, rng.randrange(4) / 4 if f else float("nan") if rng.random() < 0.1 else 0.5, rng.choice((1, -1))) for f, u, v in sorted(edges)]
+    df = spark.createDataFrame(rows, "frame int, u long, v long, weight double, sign int")
+    found, kinds = [], []
+    rounds = contraction._contracted
+    monkeypatch.setattr(contraction, "_contracted", lambda e, *more: (kinds.append({r.frame for r in e.select("frame").distinct().collect()}), rounds(e, *more))[1])
+    for held in (1 << 18, 0, 50):
+        monkeypatch.setattr(contraction, "HELD", held)
+        trees = {}
+        for r in contraction.spanning_forest(df).collect():
+            trees.setdefault((r.frame, r.root), []).append((r.pid, r.sign))
+        first = {k: dict(t)[min(t)[0]] for k, t in trees.items()}  # roots are arbitrary, signs count against the least vertex
+        found.append(({(k[0], *sorted((p, s * first[k]) for p, s in t)) for k, t in trees.items()}, sorted(map(tuple, contraction.components(df).collect()))))
+    assert found[0] == found[1] == found[2]
+    assert kinds == [{0, 1, 2}] * 2 + [{1}] * 2  # no rounds for frames that a task takes
