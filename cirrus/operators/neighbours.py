@@ -77,11 +77,11 @@ def _ranked(pairs: DataFrame, k: int, ties: bool, by: list[str] = CELL) -> DataF
 
 
 def _best(a: DataFrame, b: DataFrame, squared_radius: int, k: int, ties: bool, copied: str, more: list[str]) -> DataFrame:
-    """The k nearest of each point's pairs with more columns, rank, and has, how many it had."""
+    """The k nearest of each point's pairs with more columns, rank, and has, how many these are."""
     if k == 1 and not ties:
         return _nearest_pair(_pairs(a, b, squared_radius), *more)
     by = CELL if copied == "b" else ["frame"]
-    return _ranked(_pairs(a, b, squared_radius, copied), k, ties, by).withColumn("has", F.count("*").over(_each(by))).where(F.col("rank") <= k)
+    return _ranked(_pairs(a, b, squared_radius, copied), k, ties, by).where(F.col("rank") <= k).withColumn("has", F.count("*").over(_each(by)))
 
 
 def nearest(a: DataFrame, b: DataFrame, k: int = 1, radius: int | None = None, ties: bool = False, places: bool = False) -> DataFrame:
@@ -89,9 +89,10 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, radius: int | None = None, t
     where the point of b is, and all rows are in written tables, fit to be read several times.
 
     With ties, all points as near as the k-th come, and equal distances have equal ranks. Where a frame of b has fewer than k points, all of
-    them come. The first round looks within the radius, by default one that holds k points of a closed surface.
+    them come. The first round looks within the radius, by default one that holds k points of a closed surface even at its rim,
+    so that few points are left for further rounds.
     """
-    radius = radius or max(2, math.ceil(math.sqrt(k / math.pi)))
+    radius = radius or max(2, math.ceil(math.sqrt(2 * k / math.pi)))
     more = ["x2", "y2", "z2"] if places else []
     columns = ["frame", "pid", "rank", "nn_pid", "d2", *more]
     done, open_, reach = [], a.select("frame", "pid", "x", "y", "z"), None

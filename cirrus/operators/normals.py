@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrus.operators.neighbours import nearest, within_first
+from cirrus.operators.neighbours import CELL, listed, nearest
 from cirrus.plans.lineage import cut
 
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
@@ -54,17 +54,16 @@ def point_to_plane(a: DataFrame, b: DataFrame, normals_b: DataFrame) -> DataFram
 def smoothed(points: DataFrame, normals_of: DataFrame, squared_radius: int, k: int, weight: float, rounds: int = 1) -> DataFrame:
     """Normals mixed with the direction of their neighbours' sum: up to k - 1 others within the radius, each turned to the point's side.
 
-    All points change at once in a round, so the order of points doesn't matter. A vector of length 0 stays as it is.
+    All points change at once in a round, so the order of points doesn't matter; normals go with the points, and sums are made where pairs arise. A vector of length 0 stays as it is.
     """
-    near = within_first(points, points, squared_radius, k).where("pid <> nn_pid").select("frame", "pid", "nn_pid")
-    near = cut(near) if rounds > 1 else near
     n = ("nx", "ny", "nz")
     unit = lambda v: [F.when(length > 0, c / length).otherwise(c) for length in [F.sqrt(sum((x * x for x in v), F.lit(0.0)))] for c in v]
     out = normals_of.select("frame", "pid", *n)
     for _ in range(rounds):
-        others = near.join(out.select("frame", F.col("pid").alias("nn_pid"), *[F.col(c).alias(f"o{c}") for c in n]), ["frame", "nn_pid"]).join(out, ["frame", "pid"])
-        side = F.when(sum((F.col(c) * F.col(f"o{c}") for c in n), F.lit(0.0)) < 0, -1).otherwise(1)
-        sums = others.groupBy("frame", "pid").agg(*[F.sum(side * F.col(f"o{c}")).alias(f"s{c}") for c in n])
+        rows = points.select("frame", "pid", *"xyz").join(out, ["frame", "pid"], "left")
+        others = listed(rows, rows, squared_radius, k, n, n).where("pid <> nn_pid")
+        side = F.when(sum((F.col(c) * F.col(f"{c}2") for c in n), F.lit(0.0)) < 0, -1).otherwise(1)
+        sums = others.groupBy(*CELL, "pid").agg(*[F.sum(side * F.col(f"{c}2")).alias(f"s{c}") for c in n]).select("frame", "pid", *[f"s{c}" for c in n])
         both = out.join(sums, ["frame", "pid"], "left")
         mean = unit([F.coalesce(f"s{c}", F.lit(0.0)) for c in n])
         new = unit([(1 - weight) * F.col(c) + weight * m for c, m in zip(n, mean)])

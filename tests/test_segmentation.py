@@ -387,3 +387,18 @@ def test_large_frames_and_small_ones_have_one_forest(spark, monkeypatch):
         found.append(({(k[0], *sorted((p, s * first[k]) for p, s in t)) for k, t in trees.items()}, sorted(map(tuple, contraction.components(df).collect()))))
     assert found[0] == found[1] == found[2]
     assert kinds == [{0, 1, 2}] * 2 + [{1}] * 2  # no rounds for frames that a task takes
+
+
+def test_neighbours_are_looked_for_once(spark, monkeypatch):
+    """Estimated, smoothed and oriented normals share one search for nearest points, and smoothing shuffles no pairs."""
+    from cirrus.operators import neighbours, normals
+
+    calls, real = [], neighbours.nearest
+    for module in (normals, orientation):
+        monkeypatch.setattr(module, "nearest", lambda *a, **more: (calls.append(a[2]), real(*a, **more))[1])
+    rng = random.Random(3)
+    points = cloud(spark, [(0, i, rng.randrange(9), rng.randrange(9), 0) for i in range(30)])
+    assert orientation.pipeline(points, 5, 1, (3, 5, 0.5), "tree", (4.0, 4.0, 99.0)).count() == 30 and calls == [5]
+    given = points.selectExpr("frame", "pid", "0.0D AS nx", "0.0D AS ny", "1.0D AS nz")
+    plan = normals.smoothed(points, given, 3, 5, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert not any("nn_pid" in line for line in plan.split("\n") if "Exchange hashpartitioning(frame" in line and "kx" not in line)
