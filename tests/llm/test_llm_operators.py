@@ -355,6 +355,25 @@ def test_html_compares_with_another_article(spark, tmp_path):
     assert html_text.shared_lines(run, 0) == html_text.shared_lines(run, 1) == html_text.shared_lines(run, 2) == [0, 3]
 
 
+def test_html_neighbours_of_another_article_beyond_the_run(spark, tmp_path, monkeypatch):
+    """Versions of one article fill several runs; whatever the length of a run, each page is compared with the nearest other article of its host."""
+    page = lambda a, i: f"<div>Menu {a[0]}</div><div>Foot</div><article><p>One {a}</p><p>Two {a}</p><p>Three {a}</p><p>v {i}</p></article><aside>x</aside><ul><li>List {a[0]}</li></ul>"
+    names = ["p"] + ["q"] * 23 + ["pz"] + ["q"] * 9 + ["px"] * 2
+    rows = [(i, f"http://h.example/{i:03}", page(a, i)) for i, a in enumerate(names)] + [(90 + i, f"http://i.example/{i:03}", page("r", i)) for i in range(9)]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(path)
+    found = [sorted((r.page_id, sorted(s)) for r, s in ((r, r.shared) for r in shared_by_page(spark.read.parquet(path), monkeypatch, n))) for n in (256, 4)]
+    assert found[0] == found[1] and {i for i, _ in found[0]} == set(range(len(names)))
+
+
+def shared_by_page(pages, monkeypatch, run):
+    from cirrus.llm.common import with_rid
+
+    monkeypatch.setattr(html_text, "RUN", run)
+    shared = html_text.template_lines(with_rid(pages, "url", "html"))
+    return with_rid(pages, "page_id").join(shared, "rid").select("page_id", "shared").collect()
+
+
 def test_html_equal_pages_have_equal_texts(spark, tmp_path):
     page = lambda a: f"<html><body><div><p>About this site</p></div><div><p>Text {a}</p></div></body></html>"
     pages = [(i, f"http://h.example/a/{i}", page(0)) for i in range(5)] + [(9, "http://h.example/z", page(1))]
